@@ -170,9 +170,8 @@ def version_parts(tag: Column) -> Column:
     )
 
 
-def version_key(tag: Column) -> Column:
-    """One DECIMAL(38,0) that orders tags by meaning; null for unknown shapes."""
-    parts = version_parts(tag)
+def version_key(parts: Column) -> Column:
+    """One DECIMAL(38,0) that orders :func:`version_parts` by meaning; null for unknown shapes."""
     base = F.lit("1000000").cast("decimal(7,0)")
     total = F.lit(0).cast("decimal(38,0)")
     for name in ("major", "minor", "patch", "stage", "stage_no"):

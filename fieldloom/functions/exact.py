@@ -1,4 +1,4 @@
-"""Order-independent sums, packed ordering keys and reproducible hash fractions.
+"""Order-independent sums, packed ordering keys and reproducible hashes.
 
 A double sum depends on the order in which tasks finish. Reductions that must
 agree bit for bit between runs (or between one long run and two merged
@@ -52,7 +52,6 @@ def time_order(ts: Column, step: Column) -> Column:
     return order_key(micros(ts), step.cast("bigint"))
 
 
-def hash_fraction(text: Column) -> Column:
-    """Reproducible number in [0, 1) from the first 32 bits of an md5."""
-    head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return head / F.lit(4294967296.0)
+def hash32(text: Column) -> Column:
+    """Reproducible number in [0, 2**32): the first 32 bits of an md5, as BIGINT."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")

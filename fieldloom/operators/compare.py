@@ -143,12 +143,7 @@ def release_delta(tags: DataFrame) -> DataFrame:
 
 def latest_per_line(tags: DataFrame, tag: str = "tag", by: Sequence[str] = ()) -> DataFrame:
     """Greatest tag by meaning per release line (name, major, minor); unknown shapes are left out."""
-    parts = version_parts(F.col(tag))
-    keyed = tags.withColumn("_key", version_key(F.col(tag))).filter(F.col("_key").isNotNull())
-    return (
-        keyed.withColumn("line", parts["line"])
-        .withColumn("major", parts["major"])
-        .withColumn("minor", parts["minor"])
-        .groupBy(*by, "line", "major", "minor")
-        .agg(F.max_by(tag, "_key").alias("latest"), F.count_distinct(tag).alias("n_tags"))
+    keyed = tags.withColumn("_v", version_parts(F.col(tag))).filter(F.col("_v").isNotNull())
+    return keyed.groupBy(*by, "_v.line", "_v.major", "_v.minor").agg(
+        F.max_by(tag, version_key(F.col("_v"))).alias("latest"), F.count_distinct(tag).alias("n_tags")
     )

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.exact import exact_sum, from_fixed
 from fieldloom.operators.ensemble import MAX_MEMBERS
-from fieldloom.operators.skew import spread_join
 
 # Aggregates per pass of the covariance; keeps each plan small.
-PAIRS_PER_PASS = 400
+FIELDS_PER_PASS = 100
 
 
 def global_mean(
@@ -25,14 +24,14 @@ def global_mean(
     values: Sequence[str] = ("value",),
     by: Sequence[str] = ("member", "field"),
     digits: int | None = None,
-    spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """Area-weighted mean per ``by``; several value columns share one pass.
 
-    ``area`` holds (cell, w). Spark broadcasts it when it is small; otherwise
-    the join splits cells that hold too many samples.
+    ``area`` holds (cell, w). Spark broadcasts it when it turns out small;
+    otherwise adaptive execution splits cells that hold too many samples, which
+    the following grouping on other keys allows.
     """
-    joined = spread_join(history, area, ["cell"], spread or [*by, *values]) if spread is not None else history.join(area, "cell")
+    joined = history.join(area, "cell")
     weight = F.col("w")
     return joined.groupBy(*by).agg(
         *[
@@ -79,26 +78,21 @@ def covariance(z: DataFrame, value: str = "z", fields: Sequence[str] | None = No
     """Field x field sample covariance over members.
 
     The table is members x fields, at most 2000 x 2000, however many samples
-    lie behind it. It is laid out wide and each pair of fields is one
-    aggregate, so no pair rows are shuffled.
+    lie behind it. Each value meets its member's wide row inside one task and
+    adds to one aggregate per field; only partial moments are shuffled.
     """
     names = list(fields) if fields is not None else field_list(z)
     wide = z.groupBy("member").pivot("field", names).agg(F.first(value))
     wide = wide.select(*[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    each = F.array(*[F.struct(F.lit(n).alias("_field"), F.col(f"f{i}").alias("_x")) for i, n in enumerate(names)])
+    rows = wide.select("*", F.inline(each))
     out: DataFrame | None = None
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at : at + PAIRS_PER_PASS]
-        row = wide.agg(*[F.covar_samp(f"f{i}", f"f{j}").alias(f"c{i}_{j}") for i, j in part])
-        cells = F.array(
-            *[
-                F.struct(F.lit(names[a]).alias("f1"), F.lit(names[b]).alias("f2"), F.col(f"c{i}_{j}").alias("cov"))
-                for i, j in part
-                for a, b in {(i, j), (j, i)}
-            ]
-        )
-        rows = row.select(F.inline(cells))
-        out = rows if out is None else out.unionByName(rows)
+    for at in range(0, len(names), FIELDS_PER_PASS):
+        some = range(at, min(at + FIELDS_PER_PASS, len(names)))
+        moments = rows.groupBy("_field").agg(*[F.covar_samp("_x", f"f{i}").alias(f"c{i}") for i in some])
+        cells = F.array(*[F.struct(F.lit(names[i]).alias("f2"), F.col(f"c{i}").alias("cov")) for i in some])
+        part = moments.select(F.col("_field").alias("f1"), F.inline(cells))
+        out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fields")
     return out

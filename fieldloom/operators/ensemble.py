@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.codes import member_key
-from fieldloom.functions.exact import hash_fraction
+from fieldloom.functions.exact import hash32
 
 # Largest ensemble, and per band of member numbers
 # (last member, first block of 100, base, growth per block, growth per pair).
@@ -18,19 +18,17 @@ BANDS = [
     (1900, 18, 1, 0, 2),
     (2000, 19, 2, 0, 2),
 ]
-MAGNITUDE = "d-13"
+EXPONENT = 13
+
+# Odd step near 2**32 divided by the golden ratio: spreads members evenly around the circle.
+TURN = 2654435769
 
 # Fixed values: (how many runs are drawn, from how many members) per kind of test.
 DRAWS = {"pop": (1, 40), "cam": (3, 150), "uf": (3, 350)}
 
 
-def pertlim_text(member: Column) -> Column:
-    """Perturbation of a member as written in settings; ``0`` for member 0.
-
-    Numbers come in +/- pairs; digits are padded to three but never cut, so
-    ``0.1000d-13`` (member 999) and ``0.100d-13`` (member 1999) stay distinct
-    texts although they are the same number.
-    """
+def _digits(member: Column) -> Column:
+    """Unsigned digits of a member's perturbation; members come in +/- pairs."""
     i = member.cast("int")
     block = F.floor((i - 1) / 100).cast("int")
     pair = F.floor(((i - 1) % 100) / 2).cast("int")
@@ -38,20 +36,40 @@ def pertlim_text(member: Column) -> Column:
     for last, first_block, base, per_block, per_pair in reversed(BANDS):
         band = base + per_block * (block - first_block) + per_pair * pair
         digits = F.when(i <= last, band).otherwise(digits)
-    text = digits.cast("string")
+    return F.when(i > 0, digits)
+
+
+def pertlim_text(member: Column) -> Column:
+    """Perturbation of a member as written in settings; ``0`` for member 0, null above 2000.
+
+    Digits are padded to three but never cut, so ``0.1000d-13`` (member 999)
+    and ``0.100d-13`` (member 1999) stay distinct texts of the same number.
+    """
+    text = _digits(member).cast("string")
     padded = F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)
-    sign = F.when(i % 2 == 0, "-").otherwise("")
-    known = F.concat(sign, F.lit("0."), padded, F.lit(MAGNITUDE))
-    return F.when(i == 0, "0").when((i > 0) & (i <= MAX_MEMBERS), known)
+    sign = F.when(member % 2 == 0, "-").otherwise("")
+    return F.when(member == 0, "0").otherwise(F.concat(sign, F.lit("0."), padded, F.lit(f"d-{EXPONENT}")))
 
 
 def pertlim_number(text: Column) -> Column:
+    """Number written as text with a ``d`` exponent."""
     return F.replace(text, F.lit("d"), F.lit("e")).cast("double")
 
 
+def pertlim_value(member: Column) -> Column:
+    """The same perturbation as a double, without going through text.
+
+    One division of two exactly representable numbers, hence the very double
+    that reading the text gives.
+    """
+    digits = _digits(member)
+    places = F.when(digits >= 1000, F.lit(10.0 ** (EXPONENT + 4))).otherwise(F.lit(10.0 ** (EXPONENT + 3)))
+    size = digits / places
+    return F.when(member == 0, F.lit(0.0)).when(member % 2 == 0, -size).otherwise(size)
+
+
 def with_perturbation(df: DataFrame, member: str = "member") -> DataFrame:
-    text = pertlim_text(F.col(member))
-    return df.withColumn("pertlim", text).withColumn("pertlim_num", pertlim_number(F.col("pertlim")))
+    return df.withColumn("pertlim", pertlim_text(F.col(member))).withColumn("pertlim_num", pertlim_value(F.col(member)))
 
 
 def perturbation_table(spark: SparkSession, n: int) -> DataFrame:
@@ -89,14 +107,17 @@ def fanout(base: DataFrame, size: int, col: str, cell: str, start: int = 0) -> D
 
     A copy is made by exploding a member sequence, so it needs neither a join
     nor a shuffle, and the copies stay with the partition of their source row.
-    The perturbation is relative, with a hash of (cell, member) in [-1, 1).
+    The perturbation is relative: a cell's hash, turned by the member number
+    around [-1, 1), so that the digest is taken once per source row.
     """
     if not 0 <= start < size <= MAX_MEMBERS:
         raise ValueError("need 0 <= start < size <= 2000")
-    copies = base.withColumn("member", F.explode(F.sequence(F.lit(start), F.lit(size - 1))))
-    u = hash_fraction(F.concat_ws(":", F.col(cell).cast("string"), F.col("member").cast("string"))) * 2.0 - 1.0
+    hashed = base.withColumn("_hash", hash32(F.col(cell).cast("string")))
+    copies = hashed.withColumn("member", F.explode(F.sequence(F.lit(start), F.lit(size - 1))))
+    turned = F.pmod(F.col("_hash") + F.col("member").cast("bigint") * TURN, F.lit(2**32))
+    u = turned / F.lit(float(2**32)) * 2.0 - 1.0
     perturbed = F.when(F.col("member") == 0, F.col(col)).otherwise(F.col(col) * (F.col("pertlim_num") * u + 1.0))
-    return with_perturbation(copies).withColumn(col, perturbed)
+    return with_perturbation(copies).withColumn(col, perturbed).drop("_hash")
 
 
 def replace_setting(lines: DataFrame, key: str, value: Column | str, col: str = "line", scope: str = "scope") -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.exact import exact_sum, micros
 from fieldloom.operators.ordered import carry, ordered_slices
-from fieldloom.operators.skew import ROWS_PER_TASK, spread_join
 
 
 def remap(
@@ -19,18 +18,19 @@ def remap(
     by: Sequence[str] = ("field", "ts"),
     norm: bool = False,
     digits: int | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Destination value = sum of w * source value, divided by the sum of w when ``norm``.
 
-    Samples of the same (by, cell) are summed before they meet the weights, and
-    source cells that still hold too many rows are salted.
+    Samples of the same (by, cell) are summed before they meet the weights, so
+    a cell with a third of all samples enters the join with one row per
+    ``by``. The join is followed by a grouping on other keys, which leaves
+    adaptive execution free to split what is still uneven.
     """
     v = F.col("value")
     summed = field.withColumn("src_cell", F.col("cell")).groupBy(*by, "src_cell").agg(
         exact_sum(v, digits).alias("_v"), F.count(v).alias("_n")
     )
-    joined = spread_join(summed, weights, ["src_cell"], list(by), rows_per_task=rows_per_task)
+    joined = summed.join(weights, "src_cell")
     more = None if digits is None else digits + 2
     value = exact_sum(F.col("w") * F.col("_v"), more)
     if norm:

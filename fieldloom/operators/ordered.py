@@ -67,18 +67,13 @@ def carry(
     edge = F.max("_sample") if forward else F.min("_sample")
     ends = marked.filter(F.col("_sample").isNotNull()).groupBy(*keys, SLICE).agg(edge.alias("_edge"))
     present = marked.select(*keys, SLICE).distinct().join(ends, [*keys, SLICE], "left")
-    if forward:
-        beyond = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-        near = F.last("_edge", ignorenulls=True).over(beyond)
-        local = F.last("_sample", ignorenulls=True).over(
-            W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        )
-    else:
-        beyond = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(1, W.unboundedFollowing)
-        near = F.first("_edge", ignorenulls=True).over(beyond)
-        local = F.first("_sample", ignorenulls=True).over(
-            W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-        )
+    # Looking back in reversed order is linear; a frame that reaches forward to
+    # the end would be evaluated anew for every row.
+    way = F.asc if forward else F.desc
+    beyond = W.partitionBy(*keys).orderBy(way(SLICE)).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, SLICE).orderBy(*[way(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    near = F.last("_edge", ignorenulls=True).over(beyond)
+    local = F.last("_sample", ignorenulls=True).over(inside)
     carried = present.select(*keys, SLICE, near.alias("_carried"))
     return (
         marked.withColumn("_local", local)

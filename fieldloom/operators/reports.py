@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.codes import extract_cost
-from fieldloom.operators.skew import ROWS_PER_TASK
+from fieldloom.operators.skew import ROWS_PER_TASK, spread_join
 
 HOURS_PER_DAY = 24
 
@@ -19,13 +19,14 @@ def with_cost(df: DataFrame, note: str) -> DataFrame:
     return df.withColumn("ypd", cost["ypd"]).withColumn("pe_hours", cost["pe_hours"])
 
 
-def footprint(parts: DataFrame, by: Sequence[str] = ("layout",), tol: float = 0.02) -> DataFrame:
-    """Resources of a layout = max(root + ntasks); recomputed cost and whether it meets the stated one."""
-    rows = parts.groupBy(*by).agg(
-        F.max(F.col("root") + F.col("ntasks")).alias("footprint"),
-        F.max("ypd").alias("ypd"),
-        F.max("pe_hours").alias("pe_hours"),
-    )
+def footprint(parts: DataFrame, notes: DataFrame, by: Sequence[str] = ("layout",), tol: float = 0.02) -> DataFrame:
+    """Resources of a layout = max(root + ntasks), and its recomputed cost against the stated one.
+
+    ``notes`` holds one cost note per layout; it is read after the parts have
+    been reduced to one row per layout.
+    """
+    rows = parts.groupBy(*by).agg(F.max(F.col("root") + F.col("ntasks")).alias("footprint"))
+    rows = with_cost(rows.join(notes.select(*by, "note"), list(by), "left"), "note").drop("note")
     cost = F.col("footprint") * HOURS_PER_DAY / F.nullif(F.col("ypd"), F.lit(0.0))
     return rows.withColumn("recomputed", cost).withColumn(
         "agrees", F.abs(F.col("recomputed") - F.col("pe_hours")) <= F.col("pe_hours") * tol
@@ -46,8 +47,7 @@ def overlaps(
     A part is copied into every bucket of ``width`` it touches and meets only
     parts of the same bucket; a pair is reported in the bucket where the later
     one starts, so no duplicates have to be removed. A bucket holding more than
-    ``rows_per_task`` parts is salted: its left rows are dealt out, its right
-    rows copied per salt.
+    ``rows_per_task`` parts is salted.
     """
     start = F.floor(F.col("_lo") / width).cast("bigint")
     end = F.floor((F.col("_hi") - 1) / width).cast("bigint")
@@ -58,39 +58,20 @@ def overlaps(
         .withColumn("_bucket", F.explode(F.sequence(start, end)))
     )
     keys = [*group, "_bucket"]
-    hot = (
-        bucketed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
-    )
-    salted = bucketed.join(hot, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    left = salted.select(
-        *keys,
-        F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int").alias("_salt"),
-        F.col("_id").alias("part_a"),
-        F.col("_lo").alias("_lo_a"),
-        F.col("_hi").alias("_hi_a"),
-        F.col("_first").alias("_first_a"),
-    )
-    right = salted.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"),
-        F.col("_id").alias("part_b"),
-        F.col("_lo").alias("_lo_b"),
-        F.col("_hi").alias("_hi_b"),
-        F.col("_first").alias("_first_b"),
-    )
+    sides = [
+        bucketed.select(*keys, *[F.col(c).alias(f"{c}{side}") for c in ("_id", "_lo", "_hi", "_first")])
+        for side in ("_a", "_b")
+    ]
     meets = (
-        (F.col("part_a") < F.col("part_b"))
+        (F.col("_id_a") < F.col("_id_b"))
         & (F.col("_lo_a") < F.col("_hi_b"))
         & (F.col("_lo_b") < F.col("_hi_a"))
         & (F.col("_bucket") == F.greatest("_first_a", "_first_b"))
     )
-    return left.join(right, [*keys, "_salt"]).filter(meets).select(
+    return spread_join(*sides, keys, ["_id_a"], rows_per_task).filter(meets).select(
         *group,
-        "part_a",
-        "part_b",
+        F.col("_id_a").alias("part_a"),
+        F.col("_id_b").alias("part_b"),
         F.greatest("_lo_a", "_lo_b").alias("shared_lo"),
         F.least("_hi_a", "_hi_b").alias("shared_hi"),
     )

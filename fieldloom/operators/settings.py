@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.exact import order_key
-from fieldloom.operators.skew import spread_join
 from fieldloom.session import materialize
 
 # Appended values joined into one text; longer lists continue in further parts.
@@ -37,21 +36,17 @@ def append_settings(df: DataFrame, by: Sequence[str] = ("scope",), per_part: int
     """
     at = order_key(F.col("layer").cast("bigint"), F.col("seq").cast("bigint"))
     keys = [*by, "key"]
-    rows = df.withColumn("_at", at)
-    resets = rows.filter(F.col("op") == "set").groupBy(*keys).agg(F.max("_at").alias("_reset"))
-    joined = spread_join(rows, resets, keys, ["layer", "seq"], how="left")
-    live = joined.filter(F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset")))
+    resets = df.filter(F.col("op") == "set").groupBy(*keys).agg(F.max(at).alias("_reset"))
     part = F.floor(F.col("seq") / per_part).cast("bigint")
-    values = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    entry = F.struct(F.col("seq").alias("seq"), at.alias("at"), F.col("value").alias("value"))
+    parts = df.groupBy(*keys, "layer", part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    live = F.filter("_all", lambda e: F.col("_reset").isNull() | (e["at"] >= F.col("_reset")))
     return (
-        live.groupBy(*keys, "layer", part.alias("part"))
-        .agg(values.alias("_values"))
+        parts.join(resets, keys, "left")
+        .withColumn("_live", live)
+        .filter(F.size("_live") > 0)
         .select(
-            *keys,
-            "layer",
-            "part",
-            F.size("_values").alias("n_values"),
-            F.array_join(F.col("_values.value"), " ").alias("value"),
+            *keys, "layer", "part", F.size("_live").alias("n_values"), F.array_join(F.col("_live.value"), " ").alias("value")
         )
     )
 

@@ -1,4 +1,9 @@
-"""Equi-join that splits keys holding too many rows for one task."""
+"""Equi-join that splits keys holding too many rows for one task.
+
+Adaptive execution already splits join partitions that are large in bytes. That
+is not enough where a join multiplies rows: a bucket of modest size can produce
+quadratically many pairs in one task. This join bounds the rows per task.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +12,33 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 20_000
 
 
 def spread_join(
-    big: DataFrame,
-    small: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join on ``keys``; keys with more than ``rows_per_task`` rows in ``big`` are salted.
+    """Inner join on ``keys``; keys with more than ``rows_per_task`` left rows are salted.
 
-    A hot key's rows are dealt out by a hash of ``spread`` and its ``small`` rows
-    are copied once per salt. Other keys keep salt 0, so nothing else is copied.
-    The result is that of the plain join (``how`` is inner or left).
+    A hot key's left rows are dealt out by a hash of ``spread``, and its right
+    rows are copied once per salt. Without hot keys (one pass over the key
+    columns tells) it is the plain join.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("how must be 'inner' or 'left'")
     hot = (
-        big.groupBy(*keys)
+        left.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_task)
         .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
     )
+    if hot.isEmpty():
+        return left.join(right, list(keys))
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = big.join(hot, list(keys), "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")
-    ).drop("_parts")
-    copied = small.join(hot, list(keys), "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), parts - 1))
-    ).drop("_parts")
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*spread), parts).cast("int")
+    dealt = left.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), parts - 1))
+    copied = right.join(hot, list(keys), "left").withColumn("_salt", copies).drop("_parts")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")

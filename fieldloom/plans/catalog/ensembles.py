@@ -96,8 +96,8 @@ WITH {EVENTS}, m AS (SELECT CAST(i AS INTEGER) AS member, CAST(replace({pertlim_
                      FROM generate_series(0, 11) AS g(i)),
 copies AS (
   SELECT m.member, field, value AS base,
-         CASE WHEN m.member = 0 THEN value ELSE value * (p * (CAST(('0x' || substr(md5(
-           CAST(step AS VARCHAR) || ':' || CAST(m.member AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * 2.0 - 1.0) + 1.0) END AS value
+         CASE WHEN m.member = 0 THEN value ELSE value * (p * (((('0x' || substr(md5(CAST(step AS VARCHAR)), 1, 8))::BIGINT
+           + m.member::BIGINT * 2654435769) % 4294967296)::DOUBLE / 4294967296.0 * 2.0 - 1.0) + 1.0) END AS value
   FROM h CROSS JOIN m)
 SELECT member, field, count(*) AS n, min(value) AS lo, max(value) AS hi,
        count(*) FILTER (WHERE value <> base) AS n_changed FROM copies GROUP BY member, field"""

@@ -39,9 +39,9 @@ def layout_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("layout"),
         (F.col("l_linenumber") * 10).alias("root"),
         F.col("l_quantity").cast("int").alias("ntasks"),
-        _note(F.col("l_orderkey")).alias("note"),
     )
-    return P.footprint(P.with_cost(parts, "note"))
+    key = F.col("o_orderkey")
+    return P.footprint(parts, table(spark, sf_dir, "orders").select(key.alias("layout"), _note(key).alias("note")))
 
 
 FOOTPRINT = f"""
