@@ -20,6 +20,7 @@ from fieldloom.plans.catalog.adapters import (
     supplier_means,
     table,
 )
+from fieldloom.session import materialize
 
 NEW_RUNS = 3  # The consistency test compares three new runs with the ensemble.
 
@@ -176,8 +177,13 @@ SELECT field, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp
        min(value) = max(value) AS constant FROM gm GROUP BY field"""
 
 
+def _settled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means written once: what follows uses them several times."""
+    return materialize(supplier_means(spark, sf_dir), "means")
+
+
 def _z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = supplier_means(spark, sf_dir)
+    means = _settled_means(spark, sf_dir)
     return C.standardize(means, C.ensemble_stats(means)).select("member", "field", "z")
 
 
@@ -214,7 +220,7 @@ def _new_and_trusted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ect_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three suppliers as new runs against all others, per field."""
-    new, trusted = _new_and_trusted(supplier_means(spark, sf_dir))
+    new, trusted = _new_and_trusted(_settled_means(spark, sf_dir))
     return C.ect_features(new, C.limits_from(trusted, "field", "value"), "field", "value", m=0.5)
 
 
@@ -225,7 +231,7 @@ features AS (
 
 
 def ect_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new, trusted = _new_and_trusted(supplier_means(spark, sf_dir))
+    new, trusted = _new_and_trusted(_settled_means(spark, sf_dir))
     return C.ect_verdict(new, C.limits_from(trusted, "field", "value"), "field", "value", m=0.5, p=3, r=2)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators.ordered import number_steps
+from fieldloom.session import materialize
 
 # Canonical columns of a history table.
 HISTORY_SCHEMA = "member int, field string, ts timestamp_ntz, step bigint, cell bigint, lev int, value double"
@@ -54,11 +55,14 @@ def file_numbers(tape: DataFrame, samples_per_file: int) -> DataFrame:
 def history_write(tape: DataFrame, path: str, samples_per_file: int = 1, dtype: str = "double") -> None:
     """Write a tape partitioned by field and file number, values as double or float.
 
-    The rebalance hint lets Spark split a (field, file) that is too big for one
+    The tape is settled in the shared folder first, because numbering the files
+    and writing them both need it and it is far smaller than its samples. The
+    rebalance hint lets Spark split a (field, file) that is too big for one
     writer and merge small ones.
     """
     if dtype not in ("double", "float"):
         raise ValueError("dtype must be 'double' or 'float'")
+    tape = materialize(tape, "tape")
     numbered = tape.join(file_numbers(tape, samples_per_file), ["field", "win"])
     (
         numbered.withColumn("value", F.col("value").cast(dtype))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import codes
 from fieldloom.operators import consistency as C
 from fieldloom.operators import ensemble as E
+from fieldloom.plans import jobs
 
 
 def test_perturbation_check_values(spark):
@@ -154,3 +155,27 @@ def test_config_mismatch(spark):
     runs = spark.createDataFrame([(1, "r1", "B", "g"), (1, "r2", "F", None), (1, "r3", "B", "h")], "ensemble int, run string, compset string, grid string")
     summary = spark.createDataFrame([(1, "B", "g")], "ensemble int, compset string, grid string")
     assert {r.run: r.mismatch for r in C.compat(runs, summary).collect()} == {"r2": "compset,grid", "r3": "grid"}
+
+
+def test_consistency_job(spark):
+    """Members from one distribution pass against each other; a shifted run does not."""
+    rng = np.random.default_rng(8)
+    mix = rng.normal(size=(4, 4))
+
+    def rows(members, shift=0.0):
+        for m in members:
+            field = mix @ rng.normal(size=4) + shift
+            for i in range(4):
+                yield from ((m, f"f{i}", c, float(field[i] + c)) for c in range(3))
+
+    schema = "member int, field string, cell int, value double"
+    ensemble = spark.createDataFrame(list(rows(range(80))), schema)
+    area = spark.createDataFrame([(c, 1.0 + c) for c in range(3)], "cell int, w double")
+    status = spark.createDataFrame([(m, m != 7) for m in range(80)], "member int, success boolean")
+    far = spark.createDataFrame(list(rows(range(3), shift=50.0)), schema)
+    scores, verdict = jobs.consistency_job(ensemble, far, area, status, k=4, p=1)
+    assert scores.count() == 12 and verdict.first().verdict == "FAIL"
+    near = ensemble.filter("member in (11, 12, 13)")
+    assert jobs.consistency_job(ensemble, near, area, k=4, m=6.0, p=1)[1].first().verdict == "PASS"
+    with pytest.raises(ValueError, match="cannot judge"):
+        jobs.consistency_job(ensemble.filter("member < 4"), near, area)
