@@ -39,39 +39,44 @@ def overlaps(
     lo: str,
     hi: str,
     part_id: str,
-    width: int,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Pairs of parts of one group whose ranges [lo, hi) overlap, each pair once.
+    """Pairs of parts of one group whose whole-numbered ranges [lo, hi) overlap, each pair once.
 
-    A part is copied into every bucket of ``width`` it touches and meets only
-    parts of the same bucket; a pair is reported in the bucket where the later
-    one starts, so no duplicates have to be removed. A bucket holding more than
-    ``rows_per_task`` parts is salted.
+    A part of length in (2^(k-1), 2^k] is kept on level k, in the one or two
+    buckets of width 2^k it touches. It looks for partners on its own level and
+    on every longer level that occurs. Whatever meets in a bucket is at least
+    half as long as the bucket on one side, so most meetings are overlaps: the
+    work follows the size of the result, whatever the mixture of lengths, and
+    no bucket width has to be guessed. Crowded buckets are salted.
     """
-    start = F.floor(F.col("_lo") / width).cast("bigint")
-    end = F.floor((F.col("_hi") - 1) / width).cast("bigint")
-    bucketed = (
-        parts.filter(F.col(lo) < F.col(hi))
-        .select(*group, F.col(part_id).alias("_id"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-        .withColumn("_first", start)
-        .withColumn("_bucket", F.explode(F.sequence(start, end)))
+    base = parts.filter(F.col(lo) < F.col(hi)).select(
+        *group, F.col(part_id).alias("_id"), F.col(lo).cast("bigint").alias("_lo"), F.col(hi).cast("bigint").alias("_hi")
     )
-    keys = [*group, "_bucket"]
-    sides = [
-        bucketed.select(*keys, *[F.col(c).alias(f"{c}{side}") for c in ("_id", "_lo", "_hi", "_first")])
-        for side in ("_a", "_b")
-    ]
+    length = F.col("_hi") - F.col("_lo")
+    base = base.withColumn("_own", F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1))))
+    levels = base.agg(F.collect_set("_own").alias("_levels")).scalar()
+    buckets = F.expr("sequence(shiftright(_lo, _level), shiftright(_hi - 1, _level))")
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        spread = df.withColumn("_first", F.expr("shiftright(_lo, _level)")).withColumn("_bucket", F.explode(buckets))
+        return spread.select(*keys, *[F.col(c).alias(f"{c}{side}") for c in ("_id", "_lo", "_hi", "_first", "_own")])
+
+    keys = [*group, "_level", "_bucket"]
+    looking = base.withColumn("_levels", levels).withColumn("_level", F.explode("_levels")).drop("_levels")
+    seekers = placed(looking.filter(F.col("_level") >= F.col("_own")), "_a")
+    residents = placed(base.withColumn("_level", F.col("_own")), "_b")
+    a, b = F.col("_id_a"), F.col("_id_b")
     meets = (
-        (F.col("_id_a") < F.col("_id_b"))
-        & (F.col("_lo_a") < F.col("_hi_b"))
+        (F.col("_lo_a") < F.col("_hi_b"))
         & (F.col("_lo_b") < F.col("_hi_a"))
         & (F.col("_bucket") == F.greatest("_first_a", "_first_b"))
+        & F.when(F.col("_own_a") == F.col("_own_b"), a < b).otherwise(a != b)
     )
-    return spread_join(*sides, keys, ["_id_a"], rows_per_task).filter(meets).select(
+    return spread_join(seekers, residents, keys, ["_id_a"], rows_per_task).filter(meets).select(
         *group,
-        F.col("_id_a").alias("part_a"),
-        F.col("_id_b").alias("part_b"),
+        F.least(a, b).alias("part_a"),
+        F.greatest(a, b).alias("part_b"),
         F.greatest("_lo_a", "_lo_b").alias("shared_lo"),
         F.least("_hi_a", "_hi_b").alias("shared_hi"),
     )

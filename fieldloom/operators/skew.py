@@ -22,14 +22,15 @@ def spread_join(
     spread: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Inner join on ``keys``; keys with more than ``rows_per_task`` left rows are salted.
+    """Inner join on ``keys``; keys with more than ``rows_per_task`` right rows are salted.
 
+    Every left row of a key meets all its right rows, so those decide the work.
     A hot key's left rows are dealt out by a hash of ``spread``, and its right
-    rows are copied once per salt. Without hot keys (one pass over the key
-    columns tells) it is the plain join.
+    rows are copied once per salt. Without hot keys (one pass over the right
+    key columns tells) it is the plain join.
     """
     hot = (
-        left.groupBy(*keys)
+        right.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_task)
         .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))

@@ -59,7 +59,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
         lo.cast("bigint").alias("lo"),
         (lo + F.col("l_quantity").cast("bigint")).alias("hi"),
     )
-    pairs = P.overlaps(parts, ["l_orderkey"], "lo", "hi", "part", width=40)
+    pairs = P.overlaps(parts, ["l_orderkey"], "lo", "hi", "part")
     return pairs.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("shared_hi") - F.col("shared_lo")).alias("shared")
     )
