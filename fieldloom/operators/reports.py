@@ -43,18 +43,21 @@ def overlaps(
 ) -> DataFrame:
     """Pairs of parts of one group whose whole-numbered ranges [lo, hi) overlap, each pair once.
 
-    A part of length in (2^(k-1), 2^k] is kept on level k, in the one or two
-    buckets of width 2^k it touches. It looks for partners on its own level and
-    on every longer level that occurs. Whatever meets in a bucket is at least
-    half as long as the bucket on one side, so most meetings are overlaps: the
-    work follows the size of the result, whatever the mixture of lengths, and
-    no bucket width has to be guessed. Crowded buckets are salted.
+    A part of length in (4^(k-1), 4^k] is kept on level k, in the one or two
+    buckets of width 4^k it touches. It looks for partners on its own level and
+    on every longer level that occurs. Whatever meets in a bucket is at least a
+    quarter as long as the bucket on one side, so a fair share of the meetings
+    are overlaps: the work follows the size of the result, whatever the mixture
+    of lengths, and no bucket width has to be guessed. Crowded buckets are
+    salted.
     """
     base = parts.filter(F.col(lo) < F.col(hi)).select(
         *group, F.col(part_id).alias("_id"), F.col(lo).cast("bigint").alias("_lo"), F.col(hi).cast("bigint").alias("_hi")
     )
     length = F.col("_hi") - F.col("_lo")
-    base = base.withColumn("_own", F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1))))
+    # Binary digits of a bucket's width, two per level.
+    digits = F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1)))
+    base = base.withColumn("_own", (F.ceil(digits / 2) * 2).cast("int"))
     levels = base.agg(F.collect_set("_own").alias("_levels")).scalar()
     buckets = F.expr("sequence(shiftright(_lo, _level), shiftright(_hi - 1, _level))")
 
