@@ -52,10 +52,10 @@ def test_gate(spark):
 
 
 def test_delta_against_previous_tag(spark):
-    rows = [(1, "cam", "1"), (2, "cam", "1"), (3, "cam", "2"), (1, "pop", "1"), (3, "pop", "1"), (1, "mct", "1"), (2, "mct", "1")]
+    rows = [(1, "air", "1"), (2, "air", "1"), (3, "air", "2"), (1, "sea", "1"), (3, "sea", "1"), (1, "tool", "1"), (2, "tool", "1")]
     got = compare.release_delta(spark.createDataFrame(rows, "tag_seq int, component string, version string")).collect()
     assert sorted((r.component, r.tag_seq, r.change) for r in got) == [
-        ("cam", 1, "added"), ("cam", 3, "changed"), ("mct", 1, "added"), ("mct", 3, "removed"), ("pop", 1, "added"), ("pop", 2, "removed"), ("pop", 3, "added"),
+        ("air", 1, "added"), ("air", 3, "changed"), ("tool", 1, "added"), ("tool", 3, "removed"), ("sea", 1, "added"), ("sea", 2, "removed"), ("sea", 3, "added"),
     ]
 
 
@@ -71,16 +71,16 @@ def test_versions_sort_by_meaning(spark):
 
 # ----------------------------------------------------------------------- rules
 
-START_DATES = [("1850_", "0001-01-01"), ("2000_", "0001-01-01"), ("HIST_", "1850-01-01"), ("RCP[2468]_", "2005-01-01"), ("_CAM", "last")]
+START_DATES = [("1850_", "0001-01-01"), ("2000_", "0001-01-01"), ("HIST_", "1850-01-01"), ("RCP[2468]_", "2005-01-01"), ("_AIR", "last")]
 
 
 @pytest.mark.parametrize("branches", [2, 200])
 def test_first_and_last_rule(spark, monkeypatch, branches):
     monkeypatch.setattr(rules, "BRANCHES", branches)
-    df = spark.createDataFrame([("1850_CAM70",), ("RCP4_X",), ("RCP5_X",), ("HIST_CAM",)], "c string")
+    df = spark.createDataFrame([("1850_AIR70",), ("RCP4_X",), ("RCP5_X",), ("HIST_AIR",)], "c string")
     out = rules.rule_match(rules.rule_match(df, "c", START_DATES, "first", "a"), "c", START_DATES, "last", "b")
     assert {r.c: (r.a, r.b) for r in out.collect()} == {
-        "1850_CAM70": ("0001-01-01", "last"), "RCP4_X": ("2005-01-01", "2005-01-01"), "RCP5_X": (None, None), "HIST_CAM": ("1850-01-01", "last"),
+        "1850_AIR70": ("0001-01-01", "last"), "RCP4_X": ("2005-01-01", "2005-01-01"), "RCP5_X": (None, None), "HIST_AIR": ("1850-01-01", "last"),
     }
     table = spark.createDataFrame([(2, "b", "y"), (1, "a", "x")], "seq int, pattern string, value string")
     assert rules.rules_from(table) == [("a", "x"), ("b", "y")]
@@ -91,12 +91,12 @@ def test_first_and_last_rule(spark, monkeypatch, branches):
 def test_most_specific_with_look_ahead(spark):
     some = [
         rules.WildcardRule({"grid": "any", "mach": "any"}, "any", {"atm": -3, "note": "default"}),
-        rules.WildcardRule({"grid": "g1", "mach": "big"}, "CAM.*MOM6(?!.*%MARBL-BIO)", {"atm": 5400}),
-        rules.WildcardRule({"grid": "g1", "mach": "big"}, "CAM.*MOM6%[^_]*MARBL-BIO", {"atm": 640}),
-        rules.WildcardRule({"grid": "g1", "mach": "any"}, "CAM", {"atm": 1}),
-        rules.WildcardRule({"grid": "any", "mach": "big"}, "CAM", {"atm": 2}),
+        rules.WildcardRule({"grid": "g1", "mach": "big"}, "AIR.*SEA6(?!.*%BIO)", {"atm": 5400}),
+        rules.WildcardRule({"grid": "g1", "mach": "big"}, "AIR.*SEA6%[^_]*BIO", {"atm": 640}),
+        rules.WildcardRule({"grid": "g1", "mach": "any"}, "AIR", {"atm": 1}),
+        rules.WildcardRule({"grid": "any", "mach": "big"}, "AIR", {"atm": 2}),
     ]
-    df = spark.createDataFrame([("g1", "big", "X_CAM_MOM6_Y"), ("g1", "big", "X_CAM_MOM6%MARBL-BIO_Y"), ("g2", "x", "CAM"), ("g1", "big", "CAM")], "grid string, mach string, code string")
+    df = spark.createDataFrame([("g1", "big", "X_AIR_SEA6_Y"), ("g1", "big", "X_AIR_SEA6%BIO_Y"), ("g2", "x", "AIR"), ("g1", "big", "AIR")], "grid string, mach string, code string")
     got = [(r.atm, r.note) for r in rules.specific_match(df, some, "code").collect()]
     assert got == [(5400, None), (640, None), (-3, "default"), (2, None)]
 
@@ -122,14 +122,14 @@ def test_letters_and_violations(spark):
 def test_codes(spark):
     one = spark.range(1)
     names = ["atm", "lnd", "ice", "ocn", "rof", "glc", "wav"]
-    code = "1850_CAM70%MT%CT4S2_CLM60%BGC-CROP_CICE_MOM6_MOSART_DGLC%NOEVOLVE_WW3_BGC%BPRP"
+    code = "1850_AIR70%MT%CT4S2_SOIL60%BGC-CROP_FLOE_SEA6_RIVER_GLACIER%NOEVOLVE_WAVE_BGC%BPRP"
     c = one.select(codes.parse_code(F.lit(code), names).alias("c")).first().c
-    assert c.time == "1850" and [(x.name, x.model, x.phys) for x in c.comps][:3] == [("atm", "CAM70", ["MT", "CT4S2"]), ("lnd", "CLM60", ["BGC-CROP"]), ("ice", "CICE", [])]
+    assert c.time == "1850" and [(x.name, x.model, x.phys) for x in c.comps][:3] == [("atm", "AIR70", ["MT", "CT4S2"]), ("lnd", "SOIL60", ["BGC-CROP"]), ("ice", "FLOE", [])]
     assert [(t.model, t.phys) for t in c.tail] == [("BGC", ["BPRP"])]
-    short = one.select(codes.parse_code(F.lit("2000_CAM60"), names).alias("c")).first().c
-    assert [x.model for x in short.comps] == ["CAM60"] and short.tail == []
-    m = one.select(codes.parse_modifiers(F.lit("FUNITSHARE_P1x1_Mmpi-serial")).alias("m")).first().m
-    assert (m.base, m.ntasks, m.nthrds, m.mpilib, m.debug, m.rest) == ("FUNITSHARE", 1, 1, "mpi-serial", False, "")
+    short = one.select(codes.parse_code(F.lit("2000_AIR60"), names).alias("c")).first().c
+    assert [x.model for x in short.comps] == ["AIR60"] and short.tail == []
+    m = one.select(codes.parse_modifiers(F.lit("UNITS_P1x1_Mmpi-serial")).alias("m")).first().m
+    assert (m.base, m.ntasks, m.nthrds, m.mpilib, m.debug, m.rest) == ("UNITS", 1, 1, "mpi-serial", False, "")
     m = one.select(codes.parse_modifiers(F.lit("SMS_D_Ld2")).alias("m")).first().m
     assert (m.base, m.debug, m.length_unit, m.length_n) == ("SMS", True, "d", 2)
     k = one.select(codes.parse_key(F.lit("SMS_Ld2.ne30_t2.B1.big_box_gnu.all-default")).alias("k")).first().k
