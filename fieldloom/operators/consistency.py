@@ -170,21 +170,24 @@ def zpf(
     ``digits`` makes the two moments independent of the summation order.
     """
     keys = ["field", *by]
+    # As a struct the keys compare null-safely, so a null window is tested too.
+    point = F.struct(*keys).alias("_point")
     v = F.col("value")
     if digits is None:
-        stats = ensemble.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+        stats = ensemble.groupBy(point).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
     else:
         q = F.rint(v * F.lit(float(10**digits))).cast("decimal(19,0)")
         n, s1, s2 = F.count(v), F.sum(q), F.sum((q * q).cast("decimal(38,0)"))
         centred = (n * s2 - s1 * s1).cast("double")
         std = F.sqrt(centred / (n * F.nullif(n - 1, F.lit(0).cast("bigint"))).cast("double"))
-        stats = ensemble.groupBy(*keys).agg(
+        stats = ensemble.groupBy(point).agg(
             from_fixed(s1.cast("double") / n, digits).alias("mean"), (std / F.lit(float(10**digits))).alias("std")
         )
     distance = F.abs(v - F.col("mean"))
     within = F.when(F.col("std") > 0, distance <= F.col("std") * tol).otherwise(distance == 0)
     return (
-        new.join(stats, keys)
+        new.select("field", "value", point)
+        .join(stats, "_point")
         .groupBy("field")
         .agg(F.count(F.lit(1)).alias("points"), F.count_if(within).alias("passing"))
         .withColumn("fraction", F.col("passing") / F.col("points"))

@@ -21,6 +21,10 @@ from fieldloom.session import materialize
 
 SLICE = "_slice"
 
+# The key columns as one struct. Structs compare null-safely, so rows without a
+# key stay together, and windows and joins on it share one partitioning.
+KEY = "_key"
+
 
 def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str = "slices") -> DataFrame:
     """``df`` with a frozen slice number that grows with (keys, order).
@@ -33,19 +37,19 @@ def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], lab
 
 def number_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "step") -> DataFrame:
     """Exact ``row_number() over (partition by keys order by order)`` as BIGINT."""
-    sliced = ordered_slices(df, keys, order, "steps")
-    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    sliced = ordered_slices(df, keys, order, "steps").withColumn(KEY, F.struct(*keys))
+    earlier = W.partitionBy(KEY).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, SLICE)
+        sliced.groupBy(KEY, SLICE)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        .select(KEY, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     )
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
+    inside = W.partitionBy(KEY, SLICE).orderBy(*order)
     numbered = sliced.withColumn("_in_slice", F.row_number().over(inside))
     return (
-        numbered.join(offsets, [*keys, SLICE])
+        numbered.join(offsets, [KEY, SLICE])
         .withColumn(out, (F.col("_before") + F.col("_in_slice")).cast("bigint"))
-        .drop("_before", "_in_slice", SLICE)
+        .drop("_before", "_in_slice", KEY, SLICE)
     )
 
 
@@ -63,21 +67,21 @@ def carry(
     that is null on rows without a sample and starts with the order columns, so
     that the greatest (least) one of a slice is also the last (first).
     """
-    marked = sliced.withColumn("_sample", sample)
+    marked = sliced.withColumn("_sample", sample).withColumn(KEY, F.struct(*keys))
     edge = F.max("_sample") if forward else F.min("_sample")
-    ends = marked.filter(F.col("_sample").isNotNull()).groupBy(*keys, SLICE).agg(edge.alias("_edge"))
-    present = marked.select(*keys, SLICE).distinct().join(ends, [*keys, SLICE], "left")
+    ends = marked.filter(F.col("_sample").isNotNull()).groupBy(KEY, SLICE).agg(edge.alias("_edge"))
+    present = marked.select(KEY, SLICE).distinct().join(ends, [KEY, SLICE], "left")
     # Looking back in reversed order is linear; a frame that reaches forward to
     # the end would be evaluated anew for every row.
     way = F.asc if forward else F.desc
-    beyond = W.partitionBy(*keys).orderBy(way(SLICE)).rowsBetween(W.unboundedPreceding, -1)
-    inside = W.partitionBy(*keys, SLICE).orderBy(*[way(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    beyond = W.partitionBy(KEY).orderBy(way(SLICE)).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(KEY, SLICE).orderBy(*[way(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
     near = F.last("_edge", ignorenulls=True).over(beyond)
     local = F.last("_sample", ignorenulls=True).over(inside)
-    carried = present.select(*keys, SLICE, near.alias("_carried"))
+    carried = present.select(KEY, SLICE, near.alias("_carried"))
     return (
         marked.withColumn("_local", local)
-        .join(carried, [*keys, SLICE], "left")
+        .join(carried, [KEY, SLICE], "left")
         .withColumn(out, F.coalesce("_local", "_carried"))
-        .drop("_sample", "_local", "_carried")
+        .drop("_sample", "_local", "_carried", KEY)
     )

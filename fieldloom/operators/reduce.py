@@ -245,7 +245,7 @@ def finalize(
         flags = set(_check_spec(spec).values())
         rows = state
         pairs = [F.lit(x) for pair in spec.items() for x in pair]
-        flag = F.try_element_at(F.create_map(*pairs), F.col("field"))
+        flag = F.try_element_at(F.create_map(*pairs), F.col("field")) if pairs else F.lit(None).cast("string")
     return rows.select("field", *by, "win", flag.alias("flag"), _flagged(flag, digits, flags).alias("value"), "n")
 
 

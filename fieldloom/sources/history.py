@@ -63,7 +63,10 @@ def history_write(tape: DataFrame, path: str, samples_per_file: int = 1, dtype:
     if dtype not in ("double", "float"):
         raise ValueError("dtype must be 'double' or 'float'")
     tape = materialize(tape, "tape")
-    numbered = tape.join(file_numbers(tape, samples_per_file), ["field", "win"])
+    # As a struct the pair compares null-safely: a null window is written too.
+    pair = F.struct("field", "win").alias("_pair")
+    numbers = file_numbers(tape, samples_per_file).select(pair, "file_id")
+    numbered = tape.select("*", pair).join(numbers, "_pair").drop("_pair")
     (
         numbered.withColumn("value", F.col("value").cast(dtype))
         .hint("rebalance", "field", "file_id")

@@ -40,6 +40,10 @@ def test_unknown_flag_is_refused(spark):
         R.history_reduce(frame(spark, [("T", "2000-01-01T00:00", 1, 1.0)]), {"T": "Z"}, R.Hours(24))
 
 
+def test_no_fields_no_tape(spark):
+    assert R.history_reduce(frame(spark, [("T", "2000-01-01T00:00", 1, 1.0)]), {}, R.Hours(24)).isEmpty()
+
+
 def test_each_field_by_its_own_flag(spark):
     rows = [(f, f"2000-01-01T{h:02d}:00", h + 1, float(v)) for f in "AIXM" for h, v in enumerate([3, 9, 1])]
     out = R.history_reduce(frame(spark, rows), {f: f for f in "AIXM"}, R.Hours(24))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import calendar as cal
 from fieldloom.functions import codes
 from fieldloom.operators import audits, compare, fields, reports, rules, settings
+from fieldloom.operators.ordered import number_steps
 from fieldloom.operators.skew import spread_join
 
 
@@ -55,7 +56,7 @@ def test_delta_against_previous_tag(spark):
     rows = [(1, "air", "1"), (2, "air", "1"), (3, "air", "2"), (1, "sea", "1"), (3, "sea", "1"), (1, "tool", "1"), (2, "tool", "1")]
     got = compare.release_delta(spark.createDataFrame(rows, "tag_seq int, component string, version string")).collect()
     assert sorted((r.component, r.tag_seq, r.change) for r in got) == [
-        ("air", 1, "added"), ("air", 3, "changed"), ("tool", 1, "added"), ("tool", 3, "removed"), ("sea", 1, "added"), ("sea", 2, "removed"), ("sea", 3, "added"),
+        ("air", 1, "added"), ("air", 3, "changed"), ("sea", 1, "added"), ("sea", 2, "removed"), ("sea", 3, "added"), ("tool", 1, "added"), ("tool", 3, "removed"),
     ]
 
 
@@ -240,6 +241,15 @@ def test_lookup_and_interpolation_against_brute_force(spark, n):
         assert mid[i] == (want if want is None else pytest.approx(want))
 
 
+def test_null_keys_are_a_key(spark):
+    """Rows without a key are neither lost nor left without their lookup."""
+    rows = spark.range(200).select(F.when(F.col("id") % 2 == 0, "a").alias("field"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), "id")
+    numbered = number_steps(rows, ["field"], ["id"])
+    assert numbered.groupBy("field").agg(F.count("*"), F.max("step")).filter("`count(1)` = 100 and `max(step)` = 100").count() == 2
+    found = fields.asof(rows.withColumnRenamed("id", "req_id"), rows.select("field", "ts", F.col("id").cast("double").alias("value")))
+    assert found.filter("field is null and lo_value = req_id").count() == 100
+
+
 def test_cycling(spark):
     series = spark.range(730).select(F.lit("s").alias("field"), F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("value"))
     asked = spark.createDataFrame([("s", dt.date(2004, 2, 29)), ("s", dt.date(1999, 1, 2)), ("s", dt.date(2002, 12, 31))], "field string, date date")
