@@ -90,8 +90,7 @@ def asof(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",
     value per (keys, ts). Range slices keep any number of rows per key balanced.
     """
     sliced = ordered_slices(_timeline(requests, series, keys), keys, ORDER, "asof")
-    sample = F.when(F.col("_asked") == 0, F.struct("ts", F.col("_value").alias("value")))
-    found = carry(sliced, keys, ORDER, sample, "_lo")
+    found = carry(sliced, keys, ORDER, F.col("_asked") == 0, "_value", "_lo")
     return found.filter(F.col("_asked") == 1).select(
         *keys, "req_id", "ts", F.col("_lo.ts").alias("lo_ts"), F.col("_lo.value").alias("lo_value")
     )
@@ -100,9 +99,9 @@ def asof(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",
 def interp(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",)) -> DataFrame:
     """Linear in time between the bracketing samples; null outside the series."""
     sliced = ordered_slices(_timeline(requests, series, keys), keys, ORDER, "interp")
-    sample = F.when(F.col("_asked") == 0, F.struct("ts", F.col("_value").alias("value")))
-    below = carry(sliced, keys, ORDER, sample, "_lo")
-    both = carry(below, keys, ORDER, sample, "_hi", forward=False).filter(F.col("_asked") == 1)
+    known = F.col("_asked") == 0
+    below = carry(sliced, keys, ORDER, known, "_value", "_lo")
+    both = carry(below, keys, ORDER, known, "_value", "_hi", forward=False).filter(F.col("_asked") == 1)
     t, t0, t1 = micros(F.col("ts")), micros(F.col("_lo.ts")), micros(F.col("_hi.ts"))
     v0, v1 = F.col("_lo.value"), F.col("_hi.value")
     value = F.when(t == t0, v0).otherwise(v0 + (v1 - v0) * ((t - t0) / F.nullif(t1 - t0, F.lit(0).cast("bigint"))))

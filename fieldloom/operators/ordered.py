@@ -57,31 +57,33 @@ def carry(
     sliced: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sample: Column,
+    is_sample: Column,
+    value: str,
     out: str,
     forward: bool = True,
 ) -> DataFrame:
-    """Add the nearest non-null ``sample`` at or before each row (after it if not forward).
+    """Add the nearest sample at or before each row (at or after it if not forward).
 
-    ``sliced`` comes from :func:`ordered_slices`; ``sample`` is a struct column
-    that is null on rows without a sample and starts with the order columns, so
-    that the greatest (least) one of a slice is also the last (first).
+    ``sliced`` comes from :func:`ordered_slices` with the time first in
+    ``order``. Samples are the rows where ``is_sample`` holds; ``out`` becomes
+    a struct (ts, value), null where there is none.
     """
-    marked = sliced.withColumn("_sample", sample).withColumn(KEY, F.struct(*keys))
-    edge = F.max("_sample") if forward else F.min("_sample")
-    ends = marked.filter(F.col("_sample").isNotNull()).groupBy(KEY, SLICE).agg(edge.alias("_edge"))
-    present = marked.select(KEY, SLICE).distinct().join(ends, [KEY, SLICE], "left")
+    time = order[0]
+    sample = F.when(is_sample, F.struct(F.col(time).alias("ts"), F.col(value).alias("value")))
+    marked = sliced.withColumn(KEY, F.struct(*keys))
+    at = F.when(is_sample, F.col(time))
+    edge = (F.max(at), F.max_by(value, at)) if forward else (F.min(at), F.min_by(value, at))
+    ends = marked.groupBy(KEY, SLICE).agg(edge[0].alias("_ts"), edge[1].alias("_value"))
+    end = F.when(F.col("_ts").isNotNull(), F.struct(F.col("_ts").alias("ts"), F.col("_value").alias("value")))
     # Looking back in reversed order is linear; a frame that reaches forward to
     # the end would be evaluated anew for every row.
     way = F.asc if forward else F.desc
     beyond = W.partitionBy(KEY).orderBy(way(SLICE)).rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(KEY, SLICE).orderBy(*[way(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
-    near = F.last("_edge", ignorenulls=True).over(beyond)
-    local = F.last("_sample", ignorenulls=True).over(inside)
-    carried = present.select(KEY, SLICE, near.alias("_carried"))
+    carried = ends.select(KEY, SLICE, F.last(end, ignorenulls=True).over(beyond).alias("_carried"))
     return (
-        marked.withColumn("_local", local)
+        marked.withColumn("_local", F.last(sample, ignorenulls=True).over(inside))
         .join(carried, [KEY, SLICE], "left")
         .withColumn(out, F.coalesce("_local", "_carried"))
-        .drop("_sample", "_local", "_carried", KEY)
+        .drop("_local", "_carried", KEY)
     )
