@@ -34,8 +34,18 @@ def exact_avg(value: Column, digits: int | None) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp with or without time zone."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 on the clock of a TIMESTAMP_NTZ.
+
+    A difference of two such timestamps never consults the session time zone;
+    a cast to TIMESTAMP would put 02:30 after 03:00 on the night clocks change.
+    """
+    since = ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("bigint")
+
+
+def clock(seconds: Column) -> Column:
+    """TIMESTAMP_NTZ that lies whole seconds after 1970."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def order_key(major: Column, minor: Column) -> Column:

@@ -133,7 +133,7 @@ def window_key(freq: Frequency, calendar: str = "gregorian", ts: str = "ts", ste
     if isinstance(freq, Cal):
         if freq.unit not in UNITS:
             raise ValueError(f"unknown calendar unit {freq.unit!r}")
-        if freq.unit in "hd" and freq.n > 1:
+        if freq.unit == "h" or freq.unit == "d" and freq.n > 1:
             freq = Hours(freq.n * (24 if freq.unit == "d" else 1))
         else:
             return _calendar_start(freq, calendar, time)
@@ -144,8 +144,10 @@ def window_key(freq: Frequency, calendar: str = "gregorian", ts: str = "ts", ste
 
 
 def _calendar_start(freq: Cal, calendar: str, time: Column) -> Column:
-    if freq.n == 1:
-        start = F.date_trunc(UNITS[freq.unit], time).cast("timestamp_ntz")
+    if freq.unit == "d":
+        start = time.cast("date").cast("timestamp_ntz")
+    elif freq.n == 1:
+        start = F.trunc(time.cast("date"), UNITS[freq.unit]).cast("timestamp_ntz")
     elif freq.unit == "y":
         start = F.make_date((F.floor(F.year(time) / freq.n) * freq.n).cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
     else:

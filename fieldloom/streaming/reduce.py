@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.exact import clock, micros
 from fieldloom.operators.reduce import Hours, finalize, select_fields, state_columns
 
 
@@ -23,12 +24,13 @@ def history_reduce_stream(
     A window is emitted once the watermark (latest time seen minus ``delay``)
     passes its end; samples later than that are dropped. The state per open
     window is the mergeable one, not the samples. Watermarks need a TIMESTAMP,
-    so ``ts`` is cast first.
+    so the sample's clock is read as UTC and turned back for the label; windows
+    then start where the batch ones do in any session time zone.
     """
-    timed = select_fields(samples, spec).withColumn("ts", F.col("ts").cast("timestamp"))
-    window = F.window("ts", f"{freq.n} hours")
-    state = timed.withWatermark("ts", delay).groupBy("field", *by, window).agg(*state_columns(digits))
-    labelled = state.withColumn("win", F.col("window.start").cast("timestamp_ntz"))
+    timed = select_fields(samples, spec).withColumn("_at", F.timestamp_micros(micros(F.col("ts"))))
+    window = F.window("_at", f"{freq.n} hours")
+    state = timed.withWatermark("_at", delay).groupBy("field", *by, window).agg(*state_columns(digits))
+    labelled = state.withColumn("win", clock(F.unix_seconds(F.col("window.start"))))
     return finalize(labelled, spec, by, digits)
 
 

@@ -190,3 +190,27 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     want = R.history_reduce(h, spec, R.Hours(24), digits=2).filter(F.col("win") < F.lit("2000-01-05").cast("timestamp_ntz"))
     columns = ["field", "member", "cell", "win", "flag", "value", "n"]
     assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+
+
+def test_clock_changes_do_not_matter(spark, tmp_path):
+    """Model time has no time zone: 02:30 stays before 03:00 and windows keep their start."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("I", f"2024-03-{d:02d}T{t}", d * 100 + i, float(i)) for d in (9, 10, 11, 13) for i, t in enumerate(["01:30", "02:30", "03:00"])]
+        h = frame(spark, rows)
+
+        def tape(df):
+            return sorted((str(r.win), r.value, r.n) for r in df.select(F.col("win").cast("string").alias("win"), "value", "n").collect())
+
+        want = [(f"2024-03-{d:02d} 00:00:00", 2.0, 3) for d in (9, 10, 11, 13)]
+        assert tape(R.history_reduce(h, {"I": "I"}, R.Hours(24))) == want
+        assert tape(R.history_reduce(h, {"I": "I"}, R.Cal("d"))) == want
+        hourly = [w for w, _, _ in tape(R.history_reduce(h, {"I": "X"}, R.Cal("h")))]
+        assert "2024-03-10 02:00:00" in hourly and len(hourly) == 12
+        h.write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(h.schema).parquet(str(tmp_path / "in"))
+        run_available(history_reduce_stream(stream, {"I": "I"}, R.Hours(24), "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+        assert tape(spark.read.parquet(str(tmp_path / "out"))) == want[:3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
