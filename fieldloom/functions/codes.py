@@ -76,12 +76,11 @@ def parse_duration(raw: Column) -> Column:
 
 def code_parts(code: Column) -> Column:
     """``A%x%y_B_C%z`` -> array of (pos, model, phys array)."""
+    words = F.transform(F.split(code, "_"), lambda token: F.split(token, "%"))
     return F.transform(
-        F.split(code, "_"),
-        lambda token, pos: F.struct(
-            pos.alias("pos"),
-            F.element_at(F.split(token, "%"), 1).alias("model"),
-            F.slice(F.split(token, "%"), F.lit(2), F.greatest(F.size(F.split(token, "%")) - 1, F.lit(0))).alias("phys"),
+        words,
+        lambda w, pos: F.struct(
+            pos.alias("pos"), F.element_at(w, 1).alias("model"), F.slice(w, F.lit(2), F.size(w)).alias("phys")
         ),
     )
 
