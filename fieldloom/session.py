@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", app: str = "fieldloom", driver_memory: str = "12g") -> SparkSession:
+def local_session(cores: str = "*", app: str = "fieldloom", driver_memory: str = "12g", shared: str | None = None) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -20,22 +20,26 @@ def local_session(cores: str = "*", app: str = "fieldloom", driver_memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+#: Folders made for local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a new local one only when unset on local[*]."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="fieldloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if spark.sparkContext.applicationId not in _own:
+        _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="fieldloom-")
+    return _own[spark.sparkContext.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -52,3 +56,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``materialize`` wrote for ``df``, which nothing may read any more.
+
+    Only folders that ``scratch_path`` named for this application are touched.
+    """
+    spark = df.sparkSession
+    own = f"/fieldloom/{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,9 +16,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("8", app="fieldloom-tests")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session = local_session("8", app="fieldloom-tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
