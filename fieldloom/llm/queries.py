@@ -17,6 +17,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from fieldloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
+    "op2_quality_rules": (op2_quality_rules, None),
+    "op3_simhash": (op3_simhash, None),
+    "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
 }

@@ -71,11 +71,12 @@ def map_texts(df: DataFrame, text: str, keep: list[str], work: Callable, out: st
     """``keep`` columns of every row followed by what ``work`` gives for its text.
 
     ``work`` takes a list of UTF-8 texts (None for null) of one slice and returns one Arrow array
-    for each column of ``out`` (DDL), with one element per text. Nothing but the kept columns and
-    the text goes to Python, and no more than a slice of results is held.
+    for each column of ``out`` (DDL), with one element per text. Where it gives a row several results
+    or none, it puts the rows' positions in the slice first, as one more array. Nothing but the kept
+    columns and the text goes to Python, and no more than a slice of results is held.
     """
-    kept = df.select(*keep, F.col(text).cast("string").alias("\x00text")) if text not in keep else df.select(*keep)
-    column = text if text in keep else "\x00text"
+    column = fresh(df, "text_read")
+    kept = df.select(*keep, F.col(text).cast("string").alias(column))
     schema = df.sparkSession.createDataFrame([], out).schema
     names = keep + schema.names
 
@@ -83,8 +84,10 @@ def map_texts(df: DataFrame, text: str, keep: list[str], work: Callable, out: st
         for batch in batches:
             texts = text_bytes(batch, column)
             for a, b in byte_slices(texts):
-                made = work(texts[a:b])
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + list(made), names=names)
+                made = list(work(texts[a:b]))
+                part = batch.slice(a, b - a).select(list(range(len(keep))))
+                if len(made) > len(names) - len(keep):
+                    part = part.take(made.pop(0))
+                yield pa.RecordBatch.from_arrays(part.columns + made, names=names)
 
     return reachable(kept).mapInArrow(run, StructType([kept.schema[c] for c in keep] + schema.fields))
