@@ -36,7 +36,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.path, self.words, self.letters = path, Kept(300_000), Kept()
+        self.path, self.words, self.letters = path, Kept(500_000), Kept()
         steps = [n.get("type") for n in (rules(path).get("normalizer") or {}).get("normalizers", [])]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and plain_specials(path)
         self.ends = tokens_with(path, "", "</w>")
@@ -53,14 +53,11 @@ class WordIds:
         if not self.by_word:
             plain = [(t or b"").decode() for t in texts]
             whole = encoded(self.path, list(set(plain)))
-            return [whole[t].astype("<u4").tobytes() for t in plain]
-        split = [self.split(t or b"") for t in texts]
-        known, new = self.words.known({w for words in split for w in words})
-        known.update(self.new_words(new))
-        self.words.add(known)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            return [whole[t] for t in plain]
+        return [b"".join(found) for found in self.words.values([self.split(t or b"") for t in texts], self.new_words)]
 
     def new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words, plain ones from their letters and their punctuation."""
         parts, odd = {}, []
         for w in words:
             m = _PLAIN.fullmatch(w.decode())
@@ -68,13 +65,15 @@ class WordIds:
                 parts[w] = m.groups()
             else:
                 odd.append(w.decode())
-        letters, new = self.letters.known({a for a, _ in parts.values()})
-        letters.update((a, ids.astype("<u4").tobytes()) for a, ids in encoded_joined(self.path, new, " ", self.ends, True).items())
-        self.letters.add(letters)
-        rest = {t: ids.astype("<u4").tobytes() for t, ids in encoded(self.path, odd + list({m for _, m in parts.values() if m})).items()}
+        first = list({a for a, _ in parts.values()})
+        letters = dict(zip(first, self.letters.values([first], self.new_letters)[0]))
+        rest = encoded(self.path, odd + list({m for _, m in parts.values() if m}))
         rest[""] = b""
         return {t.encode(): rest[t] for t in odd} | {w: letters[a] + rest[m] for w, (a, m) in parts.items()}
 
+    def new_letters(self, runs: list[str]) -> dict[str, bytes]:
+        return encoded_joined(self.path, runs, " ", self.ends, True)
+
 
 _ids: dict[str, WordIds] = {}
 

@@ -165,7 +165,7 @@ def threshold_of(bins: dict[float, tuple[int, int]], good_rejected: float = GOOD
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Forest from at most ``TREES * TREE_ROWS`` rows, the first in the order of a hash; threshold from all labelled rows.
+    """Forest from about ``TREES * TREE_ROWS`` rows, those of the smallest hashes; threshold from all labelled rows.
 
     A document is labelled good if its labels' mean is over a half, bad if under; ids that are null and
     labels that are null have no part. Only documents that pass the base rules count, as the forest judges
@@ -175,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     keyed = docs.withColumn(key, row_key(doc_id, text))
     numbers = materialize(map_texts(keyed, text, [doc_id, key], _statistics, SCHEMA), "statistics")
     judged = numbers.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    sample = judged.orderBy(key).limit(TREES * TREE_ROWS).select(*RATIOS)
-    forest = grow(np.array(sample.collect(), float).reshape(-1, len(RATIOS)))
+    share = TREES * TREE_ROWS / max(judged.count(), 1)
+    sample = judged.filter(F.shiftrightunsigned(key, 11) < F.lit(share * 2.0**53)).select(key, *RATIOS).distinct()
+    forest = grow(np.array([r[1:] for r in sorted(sample.collect())], float).reshape(-1, len(RATIOS)))
 
     marks = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.avg(label).alias("mark"))
     marked = judged.join(marks.filter("mark <> 0.5"), doc_id).select(F.when(F.col("mark") > 0.5, 1).otherwise(0).alias("good"), *RATIOS)

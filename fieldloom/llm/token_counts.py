@@ -45,14 +45,12 @@ class Counter:
 
     def counts(self, texts: list[bytes | None]) -> list[int]:
         plain = [(t or b"").decode() for t in texts]
-        split = [_CHUNK.findall(t) if self.safe(t) else None for t in plain]
-        known, new = self.chunks.known({c for chunks in split if chunks for c in chunks})
-        known.update(self.lengths(new))
-        self.chunks.add(known)
-        whole = encoded(self.path, list({t for t, chunks in zip(plain, split) if chunks is None}))
-        return [len(whole[t]) if chunks is None else sum(map(known.__getitem__, chunks)) for t, chunks in zip(plain, split)]
-
-    def lengths(self, chunks: list[str]) -> dict[str, int]:
+        safe = [self.safe(t) for t in plain]
+        chunked = iter(self.chunks.values([_CHUNK.findall(t) for t, ok in zip(plain, safe) if ok], self.new_chunks))
+        whole = encoded(self.path, list({t for t, ok in zip(plain, safe) if not ok}))
+        return [sum(next(chunked)) if ok else len(whole[t]) // 4 for t, ok in zip(plain, safe)]
+
+    def new_chunks(self, chunks: list[str]) -> dict[str, int]:
         """Tokens of new chunks, plain ones from their word and their punctuation."""
         parts, odd = {}, []
         for c in chunks:
@@ -61,13 +59,15 @@ class Counter:
                 parts[c] = m.groups()
             else:
                 odd.append(c)
-        marks = {m for _, m in parts.values() if m}
-        words, new = self.words.known({w for w, _ in parts.values()})
-        words.update((w, len(ids)) for w, ids in encoded_joined(self.path, new, "", tokens_with(self.path, "Ġ", ""), False).items())
-        self.words.add(words)
-        found = {c: len(ids) for c, ids in encoded(self.path, odd + list(marks)).items()}
-        found[""] = 0
-        return {c: found[c] for c in odd} | {c: words[w] + found[m] for c, (w, m) in parts.items()}
+        first = list({w for w, _ in parts.values()})
+        words = dict(zip(first, self.words.values([first], self.new_words)[0]))
+        rest = {c: len(ids) // 4 for c, ids in encoded(self.path, odd + list({m for _, m in parts.values() if m})).items()}
+        rest[""] = 0
+        return {c: rest[c] for c in odd} | {c: words[w] + rest[m] for c, (w, m) in parts.items()}
+
+    def new_words(self, words: list[str]) -> dict[str, int]:
+        made = encoded_joined(self.path, words, "", tokens_with(self.path, "Ġ", ""), False)
+        return {w: len(ids) // 4 for w, ids in made.items()}
 
 
 _counters: dict[str, Counter] = {}

@@ -65,56 +65,62 @@ def balanced(texts: list[str], limit: int = CALL_BYTES):
         yield part
 
 
-def encoded(path: str, texts: list[str]) -> dict[str, np.ndarray]:
-    """Ids of each text as the library alone gives them, without added special tokens."""
+def encoded(path: str, texts: list[str]) -> dict[str, bytes]:
+    """Ids of each text as the library alone gives them, as little-endian unsigned 32-bit numbers."""
     tok, found = tokenizer(path), {}
     for part in balanced(texts):
         if path.endswith(".model"):
             made = tok.encode(part, num_threads=1)
         else:
             made = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-        found.update(zip(part, (np.array(x, np.uint32) for x in made)))
+        found.update((t, np.array(ids, "<u4").tobytes()) for t, ids in zip(part, made))
     return found
 
 
-def encoded_joined(path: str, pieces: list[str], glue: str, marked: np.ndarray, at_end: bool) -> dict[str, np.ndarray]:
+def encoded_joined(path: str, pieces: list[str], glue: str, marked: np.ndarray, at_end: bool) -> dict[str, bytes]:
     """``encoded`` of pieces that a joined text keeps apart, found by the tokens that start or end a piece."""
-    found: dict[str, np.ndarray] = {}
+    found: dict[str, bytes] = {}
     groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
     made = encoded(path, list({glue.join(g) for g in groups}))
     for group in groups:
         ids = made[glue.join(group)]
-        at = np.flatnonzero(marked[ids])
-        cuts = at[:-1] + 1 if at_end else at[1:]
+        at = 4 * np.flatnonzero(marked[np.frombuffer(ids, "<u4")])
         if len(at) != len(group):
             found.update(encoded(path, group))
         else:
-            found.update(zip(group, np.split(ids, cuts)))
+            cuts = [0, *(at + 4).tolist()] if at_end else [*at.tolist(), len(ids)]
+            found.update(zip(group, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
     return found
 
 
 class Kept:
     """Values of recurring keys in two generations: what a whole generation did not ask for goes."""
 
-    def __init__(self, size: int = 200_000, longest: int = 48):
+    def __init__(self, size: int = 300_000, longest: int = 48):
         self.size, self.longest = size, longest
         self.young: dict = {}
         self.old: dict = {}
 
-    def known(self, keys) -> tuple[dict, list]:
-        """Values of the known keys, and the other keys."""
-        found, new, young, old = {}, [], self.young.get, self.old.get
-        for k in keys:
-            v = young(k)
-            if v is None:
-                v = old(k)
-            if v is None:
-                new.append(k)
-            else:
-                found[k] = v
-        return found, new
-
-    def add(self, values: dict) -> None:
-        self.young.update((k, v) for k, v in values.items() if len(k) <= self.longest)
+    def values(self, rows: list[list], find) -> list[list]:
+        """The values of the keys in each row; ``find`` gives those of a list of keys not kept."""
+        young = self.young.get
+        found = [list(map(young, row)) for row in rows]
+        gaps = []
+        for r, values in enumerate(found):
+            at = -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                gaps.append((r, at))
+        new, old = {}, self.old.get
+        missing = {rows[r][at] for r, at in gaps}
+        for key in missing:
+            value = old(key)
+            if value is not None:
+                new[key] = value
+        new.update(find([key for key in missing if key not in new]))
+        for r, at in gaps:
+            found[r][at] = new[rows[r][at]]
+        self.young.update((k, v) for k, v in new.items() if len(k) <= self.longest)
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
+        return found
