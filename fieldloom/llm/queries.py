@@ -38,9 +38,38 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the formatted conversations, read back from their segments."""
+    from pyspark.sql import functions as F
+
+    from fieldloom.llm.chat import HARD_ID, HARD_TEXT, canonical_turns, format_turns, read_back
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(HARD_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text")
+    )
+    records = given.unionByName(hard).select("conv_id", "turn", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    turns = canonical_turns(records, ["conv_id", "turn"])
+    return read_back(format_turns(turns, ["turn", "place"], "conv_id"), ["turn", "place"], "conv_id")
+
+
+def _sql() -> dict[str, str]:
+    from fieldloom.llm import chat, secrets
+
+    return {"op7_secrets": secrets.report_sql(), "op8_chat_format": chat.format_sql()}
+
+
 QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_simhash": (op3_simhash, None),
+    "op7_secrets": (op7_secrets, _sql()["op7_secrets"]),
+    "op8_chat_format": (op8_chat_format, _sql()["op8_chat_format"]),
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
 }

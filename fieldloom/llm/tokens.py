@@ -105,21 +105,23 @@ class Kept:
         """The values of the keys in each row; ``find`` gives those of a list of keys not kept."""
         young = self.young.get
         found = [list(map(young, row)) for row in rows]
-        gaps = []
-        for r, values in enumerate(found):
+        missing = set()
+        for row, values in zip(rows, found):
             at = -1
             for _ in range(values.count(None)):
                 at = values.index(None, at + 1)
-                gaps.append((r, at))
+                missing.add(row[at])
         new, old = {}, self.old.get
-        missing = {rows[r][at] for r, at in gaps}
         for key in missing:
             value = old(key)
             if value is not None:
                 new[key] = value
         new.update(find([key for key in missing if key not in new]))
-        for r, at in gaps:
-            found[r][at] = new[rows[r][at]]
+        for row, values in zip(rows, found):
+            at = -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                values[at] = new[row[at]]
         self.young.update((k, v) for k, v in new.items() if len(k) <= self.longest)
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
