@@ -38,6 +38,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.line_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.secrets import report
 
@@ -68,6 +80,8 @@ def _sql() -> dict[str, str]:
 QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_simhash": (op3_simhash, None),
+    "op5_line_dedup": (op5_line_dedup, None),
+    "op6_decontamination": (op6_decontamination, None),
     "op7_secrets": (op7_secrets, _sql()["op7_secrets"]),
     "op8_chat_format": (op8_chat_format, _sql()["op8_chat_format"]),
     "op9_packing": (op9_packing, None),
