@@ -38,6 +38,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.suffix_tree import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.line_dedup import repeated_passages
 
@@ -80,6 +86,7 @@ def _sql() -> dict[str, str]:
 QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_simhash": (op3_simhash, None),
+    "op4_suffix_tree": (op4_suffix_tree, None),
     "op5_line_dedup": (op5_line_dedup, None),
     "op6_decontamination": (op6_decontamination, None),
     "op7_secrets": (op7_secrets, _sql()["op7_secrets"]),
