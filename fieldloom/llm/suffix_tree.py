@@ -27,7 +27,7 @@ from fieldloom.session import materialize
 
 #: Bytes of the longest context, least share of positions of a context, least divergence (nats) from the shorter
 #: one, and the weight of the shorter context's distribution, in observations.
-DEPTH, MIN_SHARE, MIN_DIVERGENCE, PRIOR = 5, 1e-5, 0.01, 4.0
+DEPTH, MIN_SHARE, MIN_DIVERGENCE, PRIOR = 6, 4e-6, 0.02, 10.0
 #: Words with at least this share of all tokens are broadcast: at most a million, however much text there is.
 KNOWN_SHARE = 1e-6
 #: Bytes of a lane, and distinct words or contexts that a task counts before it hands them on.
