@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.text import map_texts, reachable
+from fieldloom.llm.text import byte_slices, map_texts, reachable
 from fieldloom.llm.tokens import MARKS, Kept, encoded, encoded_joined, plain_specials, rules, tokens_with
 from fieldloom.session import materialize
 
 #: Rests packed together. More leave less room in windows, and take more memory in a task.
 SHARD_PIECES = 4096
 
+#: Words are looked up for about so much text at a time: it stays in a processor's cache.
+LOOKUP_BYTES = 1 << 17
+
 _PLAIN = re.compile(f"([a-zß-öø-ÿ]+)({MARKS})")
 
 
@@ -54,7 +57,10 @@ class WordIds:
             plain = [(t or b"").decode() for t in texts]
             whole = encoded(self.path, list(set(plain)))
             return [whole[t] for t in plain]
-        return [b"".join(found) for found in self.words.values([self.split(t or b"") for t in texts], self.new_words)]
+        made = []
+        for a, b in byte_slices(texts, LOOKUP_BYTES):
+            made += map(b"".join, self.words.values([self.split(t or b"") for t in texts[a:b]], self.new_words))
+        return made
 
     def new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words, plain ones from their letters and their punctuation."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -24,6 +25,7 @@ def tokenizer(path: str):
         return sentencepiece.SentencePieceProcessor(model_file=path)
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
     made = Tokenizer.from_file(path)
     made.no_truncation()
     made.no_padding()
