@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.language_id import predict
+
+    return predict(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +90,7 @@ def _sql() -> dict[str, str]:
 
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_simhash": (op3_simhash, None),
     "op4_suffix_tree": (op4_suffix_tree, None),

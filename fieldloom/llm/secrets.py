@@ -162,8 +162,8 @@ def candidates(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) ->
     if not named:
         return docs.select(key, F.array().cast("array<string>").alias("rules")).filter("false")
     low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in named)))
-    postings = docs.select(key, F.explode(held).alias("trigram"))
+    held = F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in named))
+    postings = docs.select(key, F.explode(held).alias("trigram")).filter("trigram IS NOT NULL")
 
     def uses(trigram: str) -> Column:
         """The clauses that name a trigram, and its bit in each."""

@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.text import map_texts
+from fieldloom.llm.text import byte_slices, map_texts
 from fieldloom.llm.tokens import LETTERS, MARKS, Kept, encoded, encoded_joined, plain_specials, rules, tokens_with
 
+#: Chunks are looked up for about so much text at a time: it stays in a processor's cache.
+LOOKUP_BYTES = 1 << 17
+
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _PLAIN = re.compile(f"( {LETTERS})({MARKS})")
 #: White space beyond ASCII; a chunk that ends with it would part one run of white space.
@@ -44,6 +47,9 @@ class Counter:
         return self.chunked and (text.isascii() or not _OTHER_SPACE.search(text))
 
     def counts(self, texts: list[bytes | None]) -> list[int]:
+        return [n for a, b in byte_slices(texts, LOOKUP_BYTES) for n in self._counts(texts[a:b])]
+
+    def _counts(self, texts: list[bytes | None]) -> list[int]:
         plain = [(t or b"").decode() for t in texts]
         safe = [self.safe(t) for t in plain]
         chunked = iter(self.chunks.values([_CHUNK.findall(t) for t, ok in zip(plain, safe) if ok], self.new_chunks))
