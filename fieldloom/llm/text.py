@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of bytes other than these; ``bytes.split()`` without argument splits at exactly them.
 SPACES = " \t\n\x0b\x0c\r"
@@ -75,19 +75,25 @@ def map_texts(df: DataFrame, text: str, keep: list[str], work: Callable, out: st
     or none, it puts the rows' positions in the slice first, as one more array. Nothing but the kept
     columns and the text goes to Python, and no more than a slice of results is held.
     """
-    column = fresh(df, "text_read")
-    kept = df.select(*keep, F.col(text).cast("string").alias(column))
-    schema = df.sparkSession.createDataFrame([], out).schema
-    names = keep + schema.names
+    # names inside are numbers, as those of the table and of ``out`` may clash
+    kept = df.select(*(F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(keep)), F.col(quoted(text)).cast("string").alias("text"))
+    made_fields = df.sparkSession.createDataFrame([], out).schema.fields
+    schema = StructType([*kept.schema.fields[:-1], *(StructField(f"m{i}", f.dataType) for i, f in enumerate(made_fields))])
+    width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch, column)
+            texts = text_bytes(batch, "text")
             for a, b in byte_slices(texts):
                 made = list(work(texts[a:b]))
-                part = batch.slice(a, b - a).select(list(range(len(keep))))
-                if len(made) > len(names) - len(keep):
+                part = batch.slice(a, b - a).select(list(range(width)))
+                if len(made) > len(made_fields):
                     part = part.take(made.pop(0))
-                yield pa.RecordBatch.from_arrays(part.columns + made, names=names)
+                yield pa.RecordBatch.from_arrays(part.columns + made, names=schema.names)
 
-    return reachable(kept).mapInArrow(run, StructType([kept.schema[c] for c in keep] + schema.fields))
+    return reachable(kept).mapInArrow(run, schema).toDF(*keep, *(f.name for f in made_fields))
+
+
+def quoted(column: str) -> str:
+    """A column's name as an expression takes it."""
+    return "`" + column.replace("`", "``") + "`"
