@@ -32,6 +32,9 @@ class Rule:
     least: int = 1
 
 
+#: Trigrams of a clause that are indexed, the rarer ones: fewer still leave every row that can match.
+CLAUSE = 3
+
 #: The three rules that every scan has.
 BASE = (
     Rule("assign", "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -126,6 +129,10 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return [] if frozenset() in clauses else sorted(sorted(c) for c in clauses)
 
 
+def _common(trigram: str) -> tuple[int, str]:
+    return sum(c in "etaoinshrdlu" for c in trigram), trigram
+
+
 SPANS = "array<struct<start:int,place:int,end:int>>"
 
 
@@ -157,13 +164,14 @@ def spans(text: Column, rule: Rule, place: int) -> Column:
 
 def candidates(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     """``key`` and ``rules`` (kinds) of the rows that, by the index, can hold matches of indexed rules."""
-    clauses = [(r.kind, i, c) for r in rules for i, c in enumerate(trigram_query(r.pattern))]
+    clauses = [(r.kind, i, sorted(c, key=_common)[:CLAUSE]) for r in rules for i, c in enumerate(trigram_query(r.pattern))]
     named = sorted({t for _, _, c in clauses for t in c})
     if not named:
         return docs.select(key, F.array().cast("array<string>").alias("rules")).filter("false")
     low = F.lower(F.col(text))
     held = F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in named))
-    postings = docs.select(key, F.explode(held).alias("trigram")).filter("trigram IS NOT NULL")
+    # two steps: the lower case is then taken once for all trigrams
+    postings = docs.select(key, held.alias("held")).select(key, F.explode("held").alias("trigram")).filter("trigram IS NOT NULL")
 
     def uses(trigram: str) -> Column:
         """The clauses that name a trigram, and its bit in each."""
