@@ -149,8 +149,11 @@ def parse_modifiers(name: Column) -> Column:
 
 
 def version_parts(tag: Column) -> Column:
-    """``X.Y.Z`` or ``name3_0_beta07`` -> struct(line, major, minor, patch, stage, stage_no)."""
-    shape = r"^([A-Za-z]*)(\d+)[._](\d+)(?:[._](\d+))?(?:[._]?(alpha|beta|rel)(\d*))?$"
+    """``X.Y.Z``, ``release-name2.1`` or ``name3_0_beta07`` -> struct(line, major, minor, patch, stage, stage_no).
+
+    Numbers have up to 18 digits; anything else is an unknown shape, and null.
+    """
+    shape = r"^((?:release-)?[A-Za-z]*)(\d{1,18})[._](\d{1,18})(?:[._](\d{1,18}))?(?:[._]?(alpha|beta|rel)(\d{0,18}))?$"
 
     def group(i: int) -> Column:
         return F.regexp_extract(tag, shape, i)
@@ -160,22 +163,18 @@ def version_parts(tag: Column) -> Column:
         tag.rlike(shape),
         F.struct(
             group(1).alias("line"),
-            group(2).try_cast("int").alias("major"),
-            group(3).try_cast("int").alias("minor"),
-            F.coalesce(group(4).try_cast("int"), F.lit(0)).alias("patch"),
+            group(2).try_cast("bigint").alias("major"),
+            group(3).try_cast("bigint").alias("minor"),
+            F.coalesce(group(4).try_cast("bigint"), F.lit(0).cast("bigint")).alias("patch"),
             (F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage) - 1).cast("int").alias("stage"),
-            F.coalesce(group(6).try_cast("int"), F.lit(0)).alias("stage_no"),
+            F.coalesce(group(6).try_cast("bigint"), F.lit(0).cast("bigint")).alias("stage_no"),
         ),
     )
 
 
 def version_key(parts: Column) -> Column:
-    """One DECIMAL(38,0) that orders :func:`version_parts` by meaning; null for unknown shapes."""
-    base = F.lit("1000000").cast("decimal(7,0)")
-    total = F.lit(0).cast("decimal(38,0)")
-    for name in ("major", "minor", "patch", "stage", "stage_no"):
-        total = (total * base).cast("decimal(38,0)") + parts[name].cast("decimal(7,0)")
-    return total.cast("decimal(38,0)")
+    """Text that orders :func:`version_parts` by meaning; null for unknown shapes."""
+    return F.concat(*(F.lpad(parts[name].cast("string"), 18, "0") for name in ("major", "minor", "patch", "stage", "stage_no")))
 
 
 def extract_cost(note: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.exact import exact_sum, from_fixed
@@ -29,16 +29,18 @@ def global_mean(
 
     ``area`` holds (cell, w). Spark broadcasts it when it turns out small;
     otherwise adaptive execution splits cells that hold too many samples, which
-    the following grouping on other keys allows.
+    the following grouping on other keys allows. A mean is null if one of its
+    samples lies in a cell without an area: it would not be the global one.
     """
-    joined = history.join(area, "cell")
+    joined = history.join(area, "cell", "left")
     weight = F.col("w")
-    return joined.groupBy(*by).agg(
-        *[
-            (exact_sum(F.col(v) * weight, digits) / exact_sum(F.when(F.col(v).isNotNull(), weight), digits)).alias(v)
-            for v in values
-        ]
-    )
+
+    def mean(v: str) -> Column:
+        there = F.col(v).isNotNull()
+        whole = F.count_if(there & weight.isNull()) == 0
+        return F.when(whole, exact_sum(F.col(v) * weight, digits) / exact_sum(F.when(there, weight), digits)).alias(v)
+
+    return joined.groupBy(*by).agg(*map(mean, values))
 
 
 def ensemble_stats(gm: DataFrame, value: str = "value", by: Sequence[str] = ("field",)) -> DataFrame:
@@ -99,7 +101,7 @@ def covariance(z: DataFrame, value: str = "z", fields: Sequence[str] | None = No
 
 
 def pca_fit(z: DataFrame, k: int, value: str = "z", fields: Sequence[str] | None = None) -> DataFrame:
-    """Loadings (field, pc, loading) of the k leading components.
+    """Loadings (field, pc, loading) of the k leading components, from the members that have every field.
 
     Spark ML builds the covariance on the executors; only the field x field
     eigenproblem runs on the driver. The largest loading of each component is
@@ -122,37 +124,57 @@ def pca_fit(z: DataFrame, k: int, value: str = "z", fields: Sequence[str] | None
 
 
 def pca_scores(z: DataFrame, loadings: DataFrame, value: str = "z") -> DataFrame:
-    """Score of every member on every component."""
+    """Score of every member on every component; null where the member lacks a field, as in the fit."""
+    wanted = loadings.agg(F.count_distinct("field").alias("n")).select("n").scalar()
+    part = F.col(value) * F.col("loading")
     return (
         z.join(loadings, "field")
         .groupBy("member", "pc")
-        .agg(F.sum(F.col(value) * F.col("loading")).alias("score"))
+        .agg(F.sum(part).alias("score"), F.count(part).alias("_n"))
+        .withColumn("score", F.when(F.col("_n") == wanted, F.col("score")))
+        .drop("_n")
     )
 
 
 def ect_features(
     new: DataFrame, limits: DataFrame, feature: str, value: str, m: float = 2.0, runs: int = 2
 ) -> DataFrame:
-    """Per feature: in how many new runs it lies outside mean +/- m*std, and whether that fails it."""
+    """Per feature: in how many new runs it lies outside mean +/- m*std, and whether that fails it.
+
+    Features that only the ensemble or only the new runs have keep their row.
+    ``judged`` tells whether there are limits and at least ``runs`` values.
+    """
     outside = F.abs(F.col(value) - F.col("mean")) > F.col("std") * m
     return (
-        new.join(limits.select(feature, "mean", "std"), feature)
+        new.join(limits.select(feature, "mean", "std"), feature, "full")
         .groupBy(feature)
-        .agg(F.sum(F.when(outside, 1).otherwise(0)).alias("fail_runs"), F.count(value).alias("n_runs"))
+        .agg(
+            F.sum(F.when(outside, 1).otherwise(0)).alias("fail_runs"),
+            F.count(value).alias("n_runs"),
+            (F.count_if(F.col("std").isNotNull()) > 0).alias("_limits"),
+        )
         .withColumn("fails", F.col("fail_runs") >= runs)
+        .withColumn("judged", F.col("_limits") & (F.col("n_runs") >= runs))
+        .drop("_limits")
     )
 
 
 def ect_verdict(
     new: DataFrame, limits: DataFrame, feature: str = "pc", value: str = "score", m: float = 2.0, p: int = 3, r: int = 2
 ) -> DataFrame:
-    """One row: FAIL when at least p features fail in at least r of the new runs."""
+    """One row: FAIL when at least p features fail in at least r of the new runs.
+
+    It is INCOMPLETE, not PASS, while a feature could not be judged or there is none.
+    """
     rows = ect_features(new, limits, feature, value, m, r)
     failing = F.coalesce(F.sum(F.col("fails").cast("bigint")), F.lit(0))
+    unjudged = F.count_if(~F.col("judged"))
+    open_end = (unjudged > 0) | (F.count(F.lit(1)) == 0)
     return rows.agg(
         F.count(F.lit(1)).alias("n_features"),
         failing.alias("n_failing"),
-        F.when(failing >= p, "FAIL").otherwise("PASS").alias("verdict"),
+        unjudged.alias("n_unjudged"),
+        F.when(failing >= p, "FAIL").when(open_end, "INCOMPLETE").otherwise("PASS").alias("verdict"),
     )
 
 
@@ -166,7 +188,8 @@ def zpf(
 ) -> DataFrame:
     """Pointwise pass fraction per field: share of points with |z| <= tol.
 
-    Points without spread in the ensemble pass when they equal its mean.
+    Points without spread in the ensemble pass when they equal its mean. Points
+    that the ensemble does not have (``unknown``) or that have no value do not pass.
     ``digits`` makes the two moments independent of the summation order.
     """
     keys = ["field", *by]
@@ -187,9 +210,9 @@ def zpf(
     within = F.when(F.col("std") > 0, distance <= F.col("std") * tol).otherwise(distance == 0)
     return (
         new.select("field", "value", point)
-        .join(stats, "_point")
+        .join(stats, "_point", "left")
         .groupBy("field")
-        .agg(F.count(F.lit(1)).alias("points"), F.count_if(within).alias("passing"))
+        .agg(F.count(F.lit(1)).alias("points"), F.count_if(within).alias("passing"), F.count_if(F.col("mean").isNull()).alias("unknown"))
         .withColumn("fraction", F.col("passing") / F.col("points"))
         .withColumn("passes", F.col("fraction") >= threshold)
     )
@@ -198,15 +221,16 @@ def zpf(
 def compat(runs: DataFrame, summary: DataFrame, keys: Sequence[str] = ("compset", "grid")) -> DataFrame:
     """Runs whose configuration differs from the ensemble's, with the differing attributes.
 
-    ``summary`` is the one metadata row of an ensemble per ``ensemble`` id.
+    ``summary`` is the one metadata row of an ensemble per ``ensemble`` id. A run
+    of an ensemble without one mismatches in ``ensemble``.
     """
-    want = summary.select("ensemble", *[F.col(k).alias(f"want_{k}") for k in keys])
+    want = summary.select("ensemble", F.lit(True).alias("_known"), *[F.col(k).alias(f"want_{k}") for k in keys])
     differs = [F.when(~F.col(k).eqNullSafe(F.col(f"want_{k}")), F.lit(k)) for k in keys]
     return (
-        runs.join(want, "ensemble")
-        .withColumn("mismatch", F.concat_ws(",", *differs))
+        runs.join(want, "ensemble", "left")
+        .withColumn("mismatch", F.when(F.col("_known").isNull(), "ensemble").otherwise(F.concat_ws(",", *differs)))
         .filter(F.col("mismatch") != "")
-        .drop(*[f"want_{k}" for k in keys])
+        .drop("_known", *[f"want_{k}" for k in keys])
     )
 
 

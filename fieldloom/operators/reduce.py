@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce as fold
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calendar as cal
-from fieldloom.functions.exact import exact_avg, fixed_point, from_fixed, time_order
+from fieldloom.functions.exact import clock, exact_avg, fixed_point, from_fixed, micros, time_order
 
 # Reduction flags (average, instant, maximum, minimum).
 FLAGS = "AIXM"
@@ -140,7 +141,9 @@ def window_key(freq: Frequency, calendar: str = "gregorian", ts: str = "ts", ste
     if calendar == "noleap":
         hours = cal.noleap_hour(time)
         return cal.noleap_timestamp(F.floor(hours / freq.n) * freq.n)
-    return F.window(time.cast("timestamp_ntz"), f"{freq.n} hours")["start"]
+    # a rounded number of seconds, as the window function drops rows without a time
+    length = freq.n * 3600
+    return clock(F.floor(micros(time) / (length * 1_000_000)) * length)
 
 
 def _calendar_start(freq: Cal, calendar: str, time: Column) -> Column:
@@ -169,6 +172,8 @@ def run_window(
     begin = F.to_timestamp_ntz(F.lit(start))
     if option == "nsteps":
         return history.filter((F.col(ts) >= begin) & (F.col(step) <= n))
+    if calendar == "noleap" and re.match(r"\d+-02-29", start):
+        raise ValueError("29 February has no place in the 365-day calendar")
     first = begin.cast("date")
     if option == "ndays":
         last = cal.add_days(first, F.lit(n), calendar)
@@ -238,10 +243,10 @@ def _flagged(flag: Column, digits: int | None, flags: set[str]) -> Column:
 def finalize(
     state: DataFrame, spec: dict[str, str] | DataFrame, by: Sequence[str] = ("member", "cell"), digits: int | None = None
 ) -> DataFrame:
-    """State -> tape rows: each field reduced by its own flag."""
+    """State -> tape rows: each field reduced by its own flag, once for each flag a spec table lists it under."""
     if isinstance(spec, DataFrame):
         flags = set(FLAGS)
-        rows = state if "flag" in state.columns else state.join(_one_flag(spec), "field")
+        rows = state if "flag" in state.columns else state.join(spec.select("field", "flag").distinct(), "field")
         flag = F.col("flag")
     else:
         flags = set(_check_spec(spec).values())
@@ -251,10 +256,6 @@ def finalize(
     return rows.select("field", *by, "win", flag.alias("flag"), _flagged(flag, digits, flags).alias("value"), "n")
 
 
-def _one_flag(spec: DataFrame) -> DataFrame:
-    return spec.groupBy("field").agg(F.min("flag").alias("flag"))
-
-
 def history_reduce(
     history: DataFrame,
     spec: dict[str, str] | DataFrame,

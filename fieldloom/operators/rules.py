@@ -85,14 +85,23 @@ def specific_match(df: DataFrame, rules: Sequence[WildcardRule], code: str | Non
     return out
 
 
-def apply_overrides(base: DataFrame, overrides: DataFrame, keys: Sequence[str] = ("id", "attr")) -> DataFrame:
+def apply_overrides(
+    base: DataFrame, overrides: DataFrame, keys: Sequence[str] = ("id", "attr"), order: str | None = None
+) -> DataFrame:
     """Override rows replace a value, or append to it when ``append`` is true.
 
-    ``overrides`` holds at most one row per key; attributes it adds are kept.
+    Several overrides of a key are applied one after the other, by ``order`` and
+    then by their text; null values change nothing. Attributes they add are kept.
     """
-    ov = overrides.select(*keys, F.col("value").alias("_ov"), F.col("append").alias("_append"))
-    value = F.when(F.col("_append"), F.concat_ws(" ", "value", "_ov")).otherwise(F.coalesce("_ov", "value"))
-    return base.join(ov, list(keys), "full").select(*keys, value.alias("value"), F.col("_ov").isNotNull().alias("overridden"))
+    at = F.lit(0) if order is None else F.col(order)
+    one = F.struct(at.alias("at"), F.col("value").alias("v"), F.coalesce("append", F.lit(False)).alias("append"))
+    ov = overrides.filter("value IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    value = F.aggregate(
+        F.coalesce("_all", F.array().cast(ov.schema["_all"].dataType)),
+        F.col("value"),
+        lambda done, o: F.when(o["append"], F.concat_ws(" ", done, o["v"])).otherwise(o["v"]),
+    )
+    return base.join(ov, list(keys), "full").select(*keys, value.alias("value"), F.col("_all").isNotNull().alias("overridden"))
 
 
 def resolve(df: DataFrame, col: str, registry: DataFrame, out: str = "lname") -> DataFrame:

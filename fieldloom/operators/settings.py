@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.exact import order_key
-from fieldloom.session import materialize
-
-# Appended values joined into one text; longer lists continue in further parts.
-VALUES_PER_PART = 4096
-
+from fieldloom.session import discard, materialize
 
 def merge_settings(df: DataFrame, by: Sequence[str] = ("scope",)) -> DataFrame:
     """Last assignment wins: greatest (layer, seq) per (by, key).
@@ -26,59 +22,59 @@ def merge_settings(df: DataFrame, by: Sequence[str] = ("scope",)) -> DataFrame:
     )
 
 
-def append_settings(df: DataFrame, by: Sequence[str] = ("scope",), per_part: int = VALUES_PER_PART) -> DataFrame:
-    """Values appended (``op`` = append) after the last plain assignment, joined in order.
+def append_settings(df: DataFrame, by: Sequence[str] = ("scope",)) -> DataFrame:
+    """One value per setting: those appended (``op`` = append) after the last plain assignment, joined in order.
 
-    The plain assignment itself, when there is one, comes first. ``seq`` numbers
-    the assignments of a layer, so ``seq div per_part`` bounds how many values
-    meet in one group: a setting with more of them has several ``part`` rows,
-    to be read in the order of (layer, part). Nothing is cut off.
+    The plain assignment itself, when there is one, comes first. What lies before
+    it is dropped ahead of the grouping, so a group holds no more than the value
+    it makes.
     """
     at = order_key(F.col("layer").cast("bigint"), F.col("seq").cast("bigint"))
     keys = [*by, "key"]
     resets = df.filter(F.col("op") == "set").groupBy(*keys).agg(F.max(at).alias("_reset"))
-    part = F.floor(F.col("seq") / per_part).cast("bigint")
-    entry = F.struct(F.col("seq").alias("seq"), at.alias("at"), F.col("value").alias("value"))
-    parts = df.groupBy(*keys, "layer", part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    live = F.filter("_all", lambda e: F.col("_reset").isNull() | (e["at"] >= F.col("_reset")))
-    return (
-        parts.join(resets, keys, "left")
-        .withColumn("_live", live)
-        .filter(F.size("_live") > 0)
-        .select(
-            *keys, "layer", "part", F.size("_live").alias("n_values"), F.array_join(F.col("_live.value"), " ").alias("value")
-        )
-    )
+    live = df.withColumn("_at", at).join(resets, keys, "left").filter("_reset IS NULL OR _at >= _reset")
+    values = F.array_sort(F.collect_list(F.struct("_at", "value")))["value"]
+    return live.groupBy(*keys).agg(F.count("value").alias("n_values"), F.array_join(values, " ").alias("value"))
 
 
-def closure(edges: DataFrame, max_depth: int = 1024) -> DataFrame:
-    """Transitive includes: (root, node, depth) with the least depth.
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Transitive includes: (root, node, depth) with the least depth, to the fixed point.
 
     Distances double each round: everything at distance exactly 2^k is joined
     with everything reachable within 2^k, so a chain of depth d takes log2(d)
     rounds and each pair is generated once along its shortest path. Each round
-    is written to the shared folder. A row with node = root marks a cycle.
+    is written to the shared folder, and the one before it removed. A row with
+    node = root marks a cycle. Raises when ``max_depth`` is given and something
+    lies deeper.
     """
     reach = edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
     reach = materialize(reach.withColumn("depth", F.lit(1)), "closure")
     span = 1
-    while span < max_depth:
+    while True:
         far = reach.filter(F.col("depth") == span).select("root", F.col("node").alias("mid"))
         near = reach.select(F.col("root").alias("mid"), "node", "depth")
         longer = far.join(near, "mid").select("root", "node", (F.col("depth") + span).alias("depth"))
-        found = reach.unionByName(longer.filter(F.col("depth") <= max_depth))
-        reach = materialize(found.groupBy("root", "node").agg(F.min("depth").alias("depth")), "closure")
+        found = reach.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        before, reach = reach, materialize(found, "closure")
+        discard(before)
+        if max_depth is not None and not reach.filter(F.col("depth") > max_depth).isEmpty():
+            raise ValueError(f"includes go deeper than {max_depth}")
         span *= 2
         if reach.filter(F.col("depth") == span).isEmpty():
-            break
-    return reach
+            return reach
 
 
-def include_report(edges: DataFrame, max_depth: int = 1024) -> DataFrame:
-    """Closure with two findings per row: ``is_cycle`` and ``missing`` (target includes nothing and is not a source)."""
-    sources = edges.select(F.col("src").alias("node")).distinct().withColumn("_known", F.lit(True))
-    return (
-        closure(edges, max_depth)
-        .join(sources, "node", "left")
-        .select("root", "node", "depth", (F.col("root") == F.col("node")).alias("is_cycle"), F.col("_known").isNull().alias("is_leaf"))
+def include_report(edges: DataFrame, existing: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """Closure with findings per row: ``is_cycle``, ``is_leaf`` (includes nothing) and ``missing``.
+
+    ``existing`` (column ``node``) lists what can be included; a node neither
+    there nor a source of an include is missing. Without it nothing is.
+    """
+    sources = edges.select(F.col("src").alias("node")).distinct().withColumn("_source", F.lit(True))
+    rows = closure(edges, max_depth).join(sources, "node", "left")
+    if existing is not None:
+        rows = rows.join(existing.select("node").distinct().withColumn("_there", F.lit(True)), "node", "left")
+    absent = F.lit(False) if existing is None else F.col("_there").isNull() & F.col("_source").isNull()
+    return rows.select(
+        "root", "node", "depth", (F.col("root") == F.col("node")).alias("is_cycle"), F.col("_source").isNull().alias("is_leaf"), absent.alias("missing")
     )

@@ -10,24 +10,33 @@ from fieldloom.plans.catalog.adapters import Query, table
 
 
 def _two_runs(spark: SparkSession, sf_dir: str, field) -> tuple[DataFrame, DataFrame]:
-    """Orders as one run, and a second run with tiny, large and missing values."""
+    """Orders as one run, and a second run with tiny, large, null and missing values; some keys repeat, on one side or both."""
     key = F.col("o_orderkey")
     first = table(spark, sf_dir, "orders").select(field.alias("field"), key.alias("cell"), F.col("o_totalprice").alias("value"))
     cell, value = F.col("cell"), F.col("value")
-    changed = F.when(cell % 11 == 0, value + 1.0).when(cell % 7 == 0, value * (1.0 + 1e-13)).otherwise(value)
+    changed = F.when(cell % 11 == 0, value + 1.0).when(cell % 7 == 0, value * (1.0 + 1e-13)).when(cell % 17 != 0, value)
     second = first.filter(cell % 13 != 0).withColumn("value", changed)
-    return first, second
+    again = first.filter(cell % 19 == 0).withColumn("value", value / 2)
+    once_more = again.filter(cell % 38 == 0).unionByName(again.filter(cell % 57 == 0).withColumn("value", F.lit(0.5)))
+    return first.unionByName(again), second.unionByName(once_more)
 
 
 TWO_RUNS = """a AS (SELECT {field} AS field, o_orderkey AS cell, o_totalprice AS v FROM orders),
-b AS (SELECT field, cell, CASE WHEN cell % 11 = 0 THEN v + 1.0 WHEN cell % 7 = 0 THEN v * (1.0::DOUBLE + 1e-13) ELSE v END AS v
+b AS (SELECT field, cell, CASE WHEN cell % 11 = 0 THEN v + 1.0 WHEN cell % 7 = 0 THEN v * (1.0::DOUBLE + 1e-13) WHEN cell % 17 <> 0 THEN v END AS v
       FROM a WHERE cell % 13 <> 0),
-d AS (SELECT field, count(*) FILTER (WHERE b.v IS NULL) AS only_left, count(*) FILTER (WHERE a.v IS NULL) AS only_right,
-        count(*) FILTER (WHERE a.v = b.v) AS equal, count(*) FILTER (WHERE a.v <> b.v) AS different,
-        CAST(0 AS BIGINT) AS repeated_keys, max(abs(b.v - a.v)) AS max_abs,
-        sqrt(sum((b.v - a.v) * (b.v - a.v)) / count(b.v - a.v)) AS rms,
-        sqrt(avg(CASE WHEN b.v IS NOT NULL THEN a.v * a.v END)) AS rms_left
-      FROM a FULL JOIN b USING (field, cell) GROUP BY field)"""
+s AS (SELECT 0 AS side, field, cell, v FROM a UNION ALL SELECT 0, field, cell, v / 2 FROM a WHERE cell % 19 = 0
+      UNION ALL SELECT 1, field, cell, v FROM b UNION ALL SELECT 1, field, cell, v / 2 FROM a WHERE cell % 38 = 0
+      UNION ALL SELECT 1, field, cell, 0.5 FROM a WHERE cell % 57 = 0),
+k AS (SELECT field, cell, count(*) FILTER (WHERE side = 0) AS nl, count(*) FILTER (WHERE side = 1) AS nr,
+        max(v) FILTER (WHERE side = 0) AS l, max(v) FILTER (WHERE side = 1) AS r,
+        coalesce(list_sort(list(v) FILTER (WHERE side = 0)), []) = coalesce(list_sort(list(v) FILTER (WHERE side = 1)), []) AS same FROM s GROUP BY 1, 2),
+e AS (SELECT *, CASE WHEN nl = 1 AND nr = 1 THEN r - l END AS d FROM k),
+d AS (SELECT field, count(*) FILTER (WHERE nr = 0) AS only_left, count(*) FILTER (WHERE nl = 0) AS only_right,
+        count(*) FILTER (WHERE nl > 0 AND nr > 0 AND same) AS equal, count(*) FILTER (WHERE nl > 0 AND nr > 0 AND NOT same) AS different,
+        count(*) FILTER (WHERE nl > 0 AND nr > 0 AND NOT same AND d IS NULL) AS unmeasured,
+        count(*) FILTER (WHERE nl > 1 OR nr > 1) AS repeated_keys, max(abs(d)) AS max_abs,
+        sqrt(sum(d * d) / count(d)) AS rms, sqrt(avg(CASE WHEN d IS NOT NULL THEN l * l END)) AS rms_left
+      FROM e GROUP BY field)"""
 
 PRIORITY = "o_orderpriority"
 CLASS = "'F' || (o_orderkey % 1001)"
@@ -53,7 +62,7 @@ def change_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGE_CLASS = f"""
 WITH {TWO_RUNS.format(field=CLASS)}
 SELECT field, CASE WHEN only_left + only_right + different = 0 THEN 'bit-for-bit'
-                   WHEN only_left + only_right = 0 AND rms <= rms_left * 1e-12 THEN 'roundoff'
+                   WHEN only_left + only_right + unmeasured = 0 AND rms <= rms_left * 1e-12 THEN 'roundoff'
                    ELSE 'larger than roundoff' END AS change FROM d"""
 
 
@@ -104,28 +113,31 @@ SELECT tag, count(*) AS n_results, count(*) FILTER (WHERE blocked) AS n_blocking
 
 
 def release_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months as tags, customer groups as components that are not part of every tag."""
+    """Months as tags, every fourth left out, and customer groups as components that are not part of every tag."""
     date = F.col("o_orderdate")
     tags = table(spark, sf_dir, "orders").groupBy(
         (F.year(date) * 12 + F.month(date)).alias("tag_seq"),
         F.concat_ws("_", "o_orderpriority", F.col("o_custkey") % 50).alias("component"),
     ).agg(F.max("o_orderstatus").alias("version"))
-    return K.release_delta(tags)
+    return K.release_delta(tags.filter("tag_seq % 4 <> 1"))
 
 
 DELTA = """
 WITH t AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS tag_seq,
-             o_orderpriority || '_' || (o_custkey % 50) AS component, max(o_orderstatus) AS version FROM orders GROUP BY 1, 2),
-j AS (SELECT coalesce(n.tag_seq, p.tag_seq + 1) AS tag_seq, coalesce(n.component, p.component) AS component,
+             o_orderpriority || '_' || (o_custkey % 50) AS component, max(o_orderstatus) AS version FROM orders
+           WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 4 <> 1 GROUP BY 1, 2),
+o AS (SELECT tag_seq, lead(tag_seq) OVER (ORDER BY tag_seq) AS later FROM (SELECT DISTINCT tag_seq FROM t)),
+p AS (SELECT later AS tag_seq, component, version FROM t JOIN o USING (tag_seq) WHERE later IS NOT NULL),
+j AS (SELECT coalesce(n.tag_seq, p.tag_seq) AS tag_seq, coalesce(n.component, p.component) AS component,
         n.version AS version, p.version AS previous
-      FROM t n FULL JOIN t p ON n.component = p.component AND n.tag_seq = p.tag_seq + 1)
+      FROM t n FULL JOIN p ON n.component = p.component AND n.tag_seq = p.tag_seq)
 SELECT component, tag_seq, version, previous,
        CASE WHEN previous IS NULL THEN 'added' WHEN version IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM j WHERE tag_seq <= (SELECT max(tag_seq) FROM t) AND version IS DISTINCT FROM previous"""
+FROM j WHERE version IS DISTINCT FROM previous"""
 
 
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as tags: plain X.Y.Z and staged ones; latest per line within each part type."""
+    """Parts as tags: plain X.Y.Z, staged and release ones, some of no known shape; latest per line within each part type."""
     key = F.col("p_partkey")
     brand = F.regexp_extract("p_brand", r"(\d+)$", 1)
     staged = F.concat(
@@ -133,18 +145,22 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, "alpha").otherwise("beta"), F.lpad(brand, 2, "0"),
     )
     plain = F.concat_ws(".", F.col("p_size") % 4, F.col("p_size") % 3, brand)
-    tags = table(spark, sf_dir, "part").select("p_type", F.when(key % 2 == 0, plain).otherwise(staged).alias("tag"))
+    odd = F.concat(F.lit("draft-"), "p_brand")
+    shaped = F.when(key % 10 == 0, F.concat(F.lit("release-"), plain)).when(key % 2 == 0, plain).otherwise(staged)
+    tags = table(spark, sf_dir, "part").select("p_type", F.when(key % 7 == 0, odd).otherwise(shaped).alias("tag"))
     return K.latest_per_line(tags, by=["p_type"])
 
 
 VERSION_ORDER = r"""
-WITH p AS (SELECT p_type, p_partkey % 2 = 0 AS plain, CAST(p_size % 4 AS INTEGER) AS major, CAST(p_size % 3 AS INTEGER) AS minor,
+WITH p AS (SELECT p_type, p_brand, p_partkey % 7 = 0 AS odd, p_partkey % 2 = 0 AS plain, CASE WHEN p_partkey % 10 = 0 THEN 'release-' ELSE '' END AS kind,
+             CAST(p_size % 4 AS BIGINT) AS major, CAST(p_size % 3 AS BIGINT) AS minor,
              regexp_extract(p_brand, '(\d+)$', 1) AS b, p_partkey % 3 = 0 AS early FROM part),
-t AS (SELECT p_type, CASE WHEN plain THEN '' ELSE 'core' END AS line, major, minor,
-        CASE WHEN plain THEN major || '.' || minor || '.' || b
+t AS (SELECT p_type, odd, p_brand, CASE WHEN plain THEN kind ELSE 'core' END AS line, major, minor,
+        CASE WHEN plain THEN kind || major || '.' || minor || '.' || b
              ELSE 'core' || major || '_' || minor || '_' || CASE WHEN early THEN 'alpha' ELSE 'beta' END || lpad(b, 2, '0') END AS tag,
         CASE WHEN plain THEN CAST(b AS INTEGER) ELSE (CASE WHEN early THEN 0 ELSE 1000 END) + CAST(b AS INTEGER) END AS k FROM p)
-SELECT p_type, line, major, minor, arg_max(tag, k) AS latest, count(DISTINCT tag) AS n_tags FROM t GROUP BY ALL"""
+SELECT p_type, line, major, minor, arg_max(tag, k) AS latest, count(DISTINCT tag) AS n_tags, NULL::VARCHAR AS reject FROM t WHERE NOT odd GROUP BY 1, 2, 3, 4
+UNION ALL SELECT DISTINCT p_type, NULL, NULL, NULL, 'draft-' || p_brand, 1, 'unknown shape' FROM t WHERE odd"""
 
 QUERIES: dict[str, Query] = {
     "dataset_diff": (dataset_diff, DATASET_DIFF),

@@ -146,24 +146,26 @@ def settings_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 APPEND = """
 WITH c AS (SELECT *, length(text) > 300 AS is_set FROM conversations),
 live AS (SELECT *, max(CASE WHEN is_set THEN turn END) OVER (PARTITION BY conv_id, role) AS reset FROM c)
-SELECT conv_id AS scope, role AS "key", CAST(0 AS INTEGER) AS layer, CAST(turn // 4096 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS n_values,
-       string_agg(text, ' ' ORDER BY turn) AS value
-FROM live WHERE reset IS NULL OR turn >= reset GROUP BY conv_id, role, turn // 4096"""
+SELECT conv_id AS scope, role AS "key", count(text) AS n_values, string_agg(text, ' ' ORDER BY turn) AS value
+FROM live WHERE reset IS NULL OR turn >= reset GROUP BY conv_id, role"""
 
 
 def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part includes the part of half its number; part 0 includes itself."""
+    """Each part includes the part of half its number; part 0 includes itself, and some parts also one that there isn't."""
     part = F.col("p_partkey")
-    edges = table(spark, sf_dir, "part").select(part.alias("src"), F.floor(part / 2).cast("bigint").alias("dst"))
-    return settings.include_report(edges)
+    parts = table(spark, sf_dir, "part")
+    edges = parts.select(part.alias("src"), F.floor(part / 2).cast("bigint").alias("dst"))
+    lost = parts.filter(part % 50 == 7).select(part.alias("src"), (-part).alias("dst"))
+    return settings.include_report(edges.unionByName(lost), parts.select(part.alias("node")))
 
 
 CLOSURE = """
-WITH RECURSIVE walk(root, node, depth) AS (
-  SELECT p_partkey, p_partkey // 2, 1 FROM part
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part UNION ALL SELECT p_partkey, -p_partkey FROM part WHERE p_partkey % 50 = 7),
+walk(root, node, depth) AS (
+  SELECT src, dst, 1 FROM e
   UNION ALL
-  SELECT root, p_partkey // 2, depth + 1 FROM walk JOIN part ON p_partkey = node WHERE node <> 0)
-SELECT root, node, CAST(min(depth) AS INTEGER) AS depth, root = node AS is_cycle, FALSE AS is_leaf FROM walk GROUP BY root, node"""
+  SELECT root, dst, depth + 1 FROM walk JOIN e ON src = node WHERE node <> 0)
+SELECT root, node, CAST(min(depth) AS INTEGER) AS depth, root = node AS is_cycle, node < 0 AS is_leaf, node < 0 AS missing FROM walk GROUP BY root, node"""
 
 
 def matrix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

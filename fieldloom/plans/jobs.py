@@ -85,10 +85,11 @@ def consistency_job(
 def release_job(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Test results -> reconciled with expected failures -> gate per tag.
 
-    Expected failures do not block a tag; everything unexpected counts.
+    Expected failures do not block a tag; everything unexpected counts. A tag
+    with expected failures alone keeps its row.
     """
     rows = compare.reconcile(results, expected).filter(F.col("outcome") != "stale")
-    return compare.gate(rows.filter(F.col("outcome") != "expected fail"))
+    return compare.gate(rows, counted=F.col("outcome") != "expected fail")
 
 
 def enrich_job(
@@ -113,4 +114,5 @@ def fields_job(
     mapped = fields.remap(wanted, weights, by=["field", by], norm=True, digits=digits)
     pairs = [F.lit(x) for pair in names.items() for x in pair]
     f = F.element_at(F.create_map(*pairs), F.col("field"))
-    return mapped.groupBy("cell", by).agg((F.sum(f * F.col("value")) / F.sum(f)).alias("value"))
+    there = F.sum(F.when(F.col("value").isNotNull(), f))
+    return mapped.groupBy("cell", by).agg((F.sum(f * F.col("value")) / F.nullif(there, F.lit(0.0))).alias("value"))

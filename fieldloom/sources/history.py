@@ -31,11 +31,11 @@ def history_scan(
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.parquet(*paths)
-    if columns is not None:
-        df = df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
-    if "member" not in df.columns:
-        number = F.regexp_extract(F.input_file_name(), r"\.(\d{4,})\.[^/]*$", 1)
-        df = df.withColumn("member", number.try_cast("int"))
+    kept = {c: F.col(c) for c in df.columns} if columns is None else {name: F.expr(sql) for name, sql in columns.items()}
+    if "member" not in kept:
+        # of the file's metadata, not of its rows: a filter on it leaves whole files out
+        kept["member"] = F.regexp_extract(F.col("_metadata.file_name"), r"\.(\d{4,})\.[^/]*$", 1).try_cast("int")
+    df = df.select(*[made.alias(name) for name, made in kept.items()])
     if fields is not None:
         df = df.filter(F.col("field").isin(list(fields)))
     if members is not None:

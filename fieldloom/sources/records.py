@@ -69,7 +69,7 @@ def parse_ragged(
         inside = F.coalesce(F.col(f"_row.{name}").isin(list(allowed)), F.lit(False))
         reason = reason.when(~inside, F.lit(f"{name} outside its domain"))
     parsed = parsed.withColumn("reject", reason)
-    names = [f.split()[0] for f in schema.split(",")]
+    names = [n for n in parsed.schema["_row"].dataType.names if n != "_corrupt"]
     good = parsed.filter(F.col("reject").isNull()).select(*rest, *[F.col(f"_row.{n}").alias(n) for n in names])
     bad = parsed.filter(F.col("reject").isNotNull()).select(*rest, F.col(col), "reject")
     return good, bad

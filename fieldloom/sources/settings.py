@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 # A comment starts at the first '!' outside quotes.
 BEFORE_COMMENT = r"""(?s)^((?:[^'"!]++|'[^']*+(?:'|\z)|"[^"]*+(?:"|\z))*+).*\z"""
-START = r"^[A-Za-z_][A-Za-z0-9_%()]*[ \t]*="
-NOT_A_START = r"\n(?![A-Za-z_][A-Za-z0-9_%()]*+[ \t]*+=)"
+# A name, which may have parts, each with an index or a range in brackets.
+NAME = r"[A-Za-z_][A-Za-z0-9_%]*+(?:\([0-9:, ]*+\)[A-Za-z0-9_%]*+)*+"
+START = rf"^{NAME}[ \t]*+="
+NOT_A_START = rf"\n(?!{NAME}[ \t]*+=)"
 
 
 def statements(text: Column) -> Column:
     """Whole file text -> array of one-line assignments, in order.
 
-    Lines are cut at comments and trimmed, empty ones dropped, and every line
+    Lines are cut at comments and trimmed, empty ones and those that begin or
+    end a group (``&name``, ``/``) dropped, and every line
     that does not start an assignment is joined to the one before it. All of it
     happens inside one row, so files are never split or regrouped.
     """
     lines = F.transform(
         F.split(text, r"\r?\n"), lambda line: F.btrim(F.regexp_replace(line, BEFORE_COMMENT, "$1"), F.lit(" \t"))
     )
-    joined = F.regexp_replace(F.array_join(F.filter(lines, lambda s: s != ""), "\n"), NOT_A_START, " ")
+    joined = F.regexp_replace(F.array_join(F.filter(lines, lambda s: ~s.rlike("^(&.*|/|)$")), "\n"), NOT_A_START, " ")
     return F.filter(F.split(joined, "\n"), lambda s: s.rlike(START))
 
 
