@@ -23,16 +23,34 @@ def frame(spark, rows):
 
 
 def test_spec_with_missing_comma(spark):
-    text = "'TSMX:X','TSMN:M','PS','TMCO2_OCN:A''CO2_FFF:A', 'Q:Z'"
+    text = "'RAIN:X','DEW:M','FOG','HAIL:X''SNOW:I', 'MIST:q'"
     rows = R.tape_spec(spark.createDataFrame([(text,)], "spec string"), "spec").orderBy("pos").collect()
     assert [(r.field, r.flag, r.reject) for r in rows] == [
-        ("TSMX", "X", None),
-        ("TSMN", "M", None),
-        ("PS", "A", None),
+        ("RAIN", "X", None),
+        ("DEW", "M", None),
+        ("FOG", "A", None),
         (None, None, "malformed"),
         (None, None, "malformed"),
     ]
-    assert rows[3].item == "TMCO2_OCN:A'CO2_FFF:A"
+    assert rows[3].item == "HAIL:X'SNOW:I"
+
+
+def test_a_field_listed_under_two_flags_has_two_rows(spark):
+    rows = [("RAIN", "2000-01-01T00:00", 1, 1.0), ("RAIN", "2000-01-01T05:00", 2, 4.0)]
+    spec = spark.createDataFrame([("RAIN", "X"), ("RAIN", "A"), ("RAIN", "A")], "field string, flag string")
+    got = R.history_reduce(frame(spark, rows), spec, R.Hours(24)).collect()
+    assert sorted((r.flag, r.value) for r in got) == [("A", 2.5), ("X", 4.0)]
+
+
+def test_samples_without_a_time_keep_a_window_and_leap_day_starts_are_refused(spark):
+    rows = frame(spark, [("RAIN", "2000-01-01T05:30", 1, 1.0)])
+    rows = rows.unionByName(rows.withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("value", F.lit(7.0)))
+    for freq in (R.Hours(6), R.Cal("d"), R.Cal("h", 5)):
+        got = {r.win: r.value for r in R.history_reduce(rows, {"RAIN": "X"}, freq).collect()}
+        assert len(got) == 2 and got[None] == 7.0
+    assert R.history_reduce(rows, {"RAIN": "X"}, R.Hours(6)).filter("win is not null").first().win == at("2000-01-01T00:00")
+    with pytest.raises(ValueError, match="29 February"):
+        R.run_window(rows, "2004-02-29", "ndays", 1, calendar="noleap")
 
 
 def test_unknown_flag_is_refused(spark):

@@ -10,30 +10,38 @@ from fieldloom.sources.records import flatten_records, name_list, options_map, r
 from fieldloom.sources.runlog import runlog_success
 from fieldloom.sources.settings import settings_scan
 
-NAMELIST = """! all settings
- rhminl = 0.8925D0
- empty_tapes=.true.
- fincl1='A:A','B!x:I',
-  'C:X', ! the rest
-
-  'D:M'
-mfilt  =  1
-title = "a ! b"
-mfilt = 30
+KITCHEN = """&oven
+! nothing yet
+ heat = 2.5E2
+ fan=.false.
+ tray(1:2) = 4, 5
+ shelf(3)%name = 'top!'
+steps='mix','rest!',
+  'fold', ! by hand
+
+  'bake'
+/
+&sink
+heat  =  20
+label = "hot ! cold"
+heat = 30
+/
 """
 
 
 def test_settings(spark, tmp_path):
-    (tmp_path / "one.nl").write_text(NAMELIST)
+    (tmp_path / "one.nl").write_text(KITCHEN)
     (tmp_path / "two.nl").write_text("\n\n  ! nothing\n")
     rows = settings_scan(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.key, r.value) for r in rows] == [
-        ("rhminl", "0.8925D0"),
-        ("empty_tapes", ".true."),
-        ("fincl1", "'A:A','B!x:I', 'C:X', 'D:M'"),
-        ("mfilt", "1"),
-        ("title", '"a ! b"'),
-        ("mfilt", "30"),
+        ("heat", "2.5E2"),
+        ("fan", ".false."),
+        ("tray(1:2)", "4, 5"),
+        ("shelf(3)%name", "'top!'"),
+        ("steps", "'mix','rest!', 'fold', 'bake'"),
+        ("heat", "20"),
+        ("label", '"hot ! cold"'),
+        ("heat", "30"),
     ]
     assert rows[0].scope.endswith("one.nl")
 
@@ -44,57 +52,58 @@ def test_settings_of_a_very_long_line(spark, tmp_path):
     assert row.value.count("'") == 100000 and row.value.endswith("'f49999'")
 
 
-TESTS = """<?xml version="1.0"?>
-<list>
-  <test name="ERS" compset="B1" testmods="a/one,
-    b/two">
-    <machines>
-      <machine name="m1" compiler="intel" category="pre"/>
-      <machine name="m1" compiler="gnu" category="pre"/>
-    </machines>
-    <options><option name="wallclock"> 01:00:00 </option></options>
-  </test>
-<!-- not now
-  <test name="OLD" compset="B9"><machines><machine name="m1"/></machines></test>
+ORDERS = """<?xml version="1.0"?>
+<book>
+  <order name="first" table="t4" notes="no salt,
+    extra lime ">
+    <plates>
+      <plate name="soup" size="l" course="one"/>
+      <plate name="soup" size="s" course="one"/>
+    </plates>
+    <extras><extra name="until"> 19:30 </extra></extras>
+  </order>
+<!-- sent back
+  <order name="gone" table="t9"><plates><plate name="pie"/></plates></order>
 -->
-  <test compset="F" name="PFS"><machines><machine name="m2" compiler="gnu" category="perf"/></machines></test>
-  <test name="BARE" compset="G"/>
-</list>
+  <order table="t2" name="second"><plates><plate name="cake" size="m" course="two"/></plates></order>
+  <order name="empty" table="t1"/>
+</book>
 """
-TEST_SCHEMA = (
-    "_name string, _compset string, _testmods string, "
-    "machines struct<machine: array<struct<_name: string, _compiler: string, _category: string>>>, "
-    "options struct<option: array<struct<_name: string, _VALUE: string>>>"
+ORDER_SCHEMA = (
+    "_name string, _table string, _notes string, "
+    "plates struct<plate: array<struct<_name: string, _size: string, _course: string>>>, "
+    "extras struct<extra: array<struct<_name: string, _VALUE: string>>>"
 )
 
 
 def test_nested_records(spark, tmp_path):
-    (tmp_path / "t.xml").write_text(TESTS)
-    records = read_records(spark, str(tmp_path / "t.xml"), "test", TEST_SCHEMA).select(
-        F.col("_name").alias("test"), name_list(F.col("_testmods")).alias("mods"),
-        F.col("machines.machine").alias("machine"), options_map(F.col("options.option")).alias("options"),
+    (tmp_path / "t.xml").write_text(ORDERS)
+    records = read_records(spark, str(tmp_path / "t.xml"), "order", ORDER_SCHEMA).select(
+        F.col("_name").alias("who"), name_list(F.col("_notes")).alias("notes"),
+        F.col("plates.plate").alias("plate"), options_map(F.col("extras.extra")).alias("extras"),
     )
-    rows = flatten_records(records, ["machine"]).collect()
-    assert sorted((r.test, r.name or "", r.compiler or "") for r in rows) == [("BARE", "", ""), ("ERS", "m1", "gnu"), ("ERS", "m1", "intel"), ("PFS", "m2", "gnu")]
-    ers = next(r for r in rows if r.test == "ERS")
-    assert ers.mods == ["a/one", "b/two"] and ers.options == {"wallclock": "01:00:00"}
-    assert flatten_records(records, ["machine"], outer=False).count() == 3
-
-
-RAGGED = """"ocean","ocn","sea","active","Based on it, in part"
-"ocean", "ocn", "xsea", "dead"
-"land-ice", "glc", "ice1", "active", plain text here
-"ocean-wave", "wav", "wav", "w3","shifted"
-"a","b","c","data","d","too long"
+    rows = flatten_records(records, ["plate"]).collect()
+    assert sorted((r.who, r.name or "", r.size or "") for r in rows) == [("empty", "", ""), ("first", "soup", "l"), ("first", "soup", "s"), ("second", "cake", "m")]
+    first = next(r for r in rows if r.who == "first")
+    assert first.notes == ["no salt", "extra lime"] and first.extras == {"until": "19:30"}
+    assert flatten_records(records, ["plate"], outer=False).count() == 3
+
+
+SHELF = """7,apple,"red, shiny",2.50
+8,pear
+9,plum,blue,1.10,extra
+10,fig,cheap,soon
+x,kiwi,green,0.40
+11, lime ,green, 0.30
 """
 
 
 def test_ragged_table(spark, tmp_path):
-    (tmp_path / "c.csv").write_text(RAGGED)
-    schema = "generic string, short string, name string, kind string, note string"
-    good, bad = read_ragged(spark, str(tmp_path / "c.csv"), schema, {"kind": ["active", "data", "dead", "stub"]})
-    assert sorted((r.name, r.note) for r in good.collect()) == [("ice1", "plain text here"), ("sea", "Based on it, in part")]
-    assert sorted(r.reject for r in bad.collect()) == ["kind outside its domain", "malformed", "malformed"]
+    (tmp_path / "c.csv").write_text(SHELF)
+    schema = "nr int, fruit string, look string, price decimal(10,2)"
+    good, bad = read_ragged(spark, str(tmp_path / "c.csv"), schema, {"look": ["red, shiny", "blue", "cheap", "yellow"]})
+    assert [(r.nr, r.fruit, str(r.price)) for r in good.collect()] == [(7, "apple", "2.50")]
+    assert sorted(r.reject for r in bad.collect()) == ["look outside its domain", *["malformed"] * 4]
 
 
 def test_log_tail(spark):
@@ -109,6 +118,8 @@ def test_scan_takes_member_from_file_name(spark, tmp_path):
         spark.range(3).select(F.lit("T").alias("field"), "id").toPandas().to_parquet(tmp_path / f"run.air.h0.{member:04d}.parquet")
     df = history_scan(spark, str(tmp_path), fields=["T"], members=[12])
     assert [r.member for r in df.collect()] == [12, 12, 12]
+    pruned = df._jdf.queryExecution().executedPlan().toString()
+    assert "file_name" in pruned
 
 
 def test_write_groups_samples_into_files(spark, tmp_path):

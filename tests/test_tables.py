@@ -61,27 +61,29 @@ def test_delta_against_previous_tag(spark):
 
 
 def test_versions_sort_by_meaning(spark):
-    tags = ["3.0.0", "2.1.10", "2.1.9", "core3_0_beta07", "core3_0_beta10", "core3_0_alpha99", "core3_0_rel01", "junk"]
+    tags = ["4.0.0", "3.7.12", "3.7.8", "3.7.1000001", "3.7.20240815", "oven5_2_beta03", "oven5_2_beta11", "oven5_2_alpha88", "oven5_2_rel02", "release-3.7.1", "draft", "1.2.1234567890123456789"]
     df = spark.createDataFrame([(t,) for t in tags], "tag string")
     keyed = df.select("tag", codes.version_key(codes.version_parts(F.col("tag"))).alias("k"))
-    assert [r.tag for r in keyed.filter("k is null").collect()] == ["junk"]
-    assert [r.tag for r in keyed.filter("tag like 'core%'").orderBy("k").collect()] == ["core3_0_alpha99", "core3_0_beta07", "core3_0_beta10", "core3_0_rel01"]
-    latest = {(r.line, r.major, r.minor): r.latest for r in compare.latest_per_line(df).collect()}
-    assert latest == {("", 3, 0): "3.0.0", ("", 2, 1): "2.1.10", ("core", 3, 0): "core3_0_rel01"}
+    assert {r.tag for r in keyed.filter("k is null").collect()} == {"draft", "1.2.1234567890123456789"}
+    assert [r.tag for r in keyed.filter("tag like 'oven%'").orderBy("k").collect()] == ["oven5_2_alpha88", "oven5_2_beta03", "oven5_2_beta11", "oven5_2_rel02"]
+    rows = compare.latest_per_line(df).collect()
+    latest = {(r.line, r.major, r.minor): r.latest for r in rows if r.reject is None}
+    assert latest == {("", 4, 0): "4.0.0", ("", 3, 7): "3.7.20240815", ("oven", 5, 2): "oven5_2_rel02", ("release-", 3, 7): "release-3.7.1"}
+    assert {r.latest for r in rows if r.reject} == {"draft", "1.2.1234567890123456789"}
 
 
 # ----------------------------------------------------------------------- rules
 
-START_DATES = [("1850_", "0001-01-01"), ("2000_", "0001-01-01"), ("HIST_", "1850-01-01"), ("RCP[2468]_", "2005-01-01"), ("_AIR", "last")]
+COLOURS = [("red$", "warm"), ("dark-.*", "night"), ("[bg]lue", "sticky"), ("ue", "end")]
 
 
 @pytest.mark.parametrize("branches", [2, 200])
 def test_first_and_last_rule(spark, monkeypatch, branches):
     monkeypatch.setattr(rules, "BRANCHES", branches)
-    df = spark.createDataFrame([("1850_AIR70",), ("RCP4_X",), ("RCP5_X",), ("HIST_AIR",)], "c string")
-    out = rules.rule_match(rules.rule_match(df, "c", START_DATES, "first", "a"), "c", START_DATES, "last", "b")
+    df = spark.createDataFrame([("dark-red",), ("blue",), ("glue",), ("ochre",)], "c string")
+    out = rules.rule_match(rules.rule_match(df, "c", COLOURS, "first", "a"), "c", COLOURS, "last", "b")
     assert {r.c: (r.a, r.b) for r in out.collect()} == {
-        "1850_AIR70": ("0001-01-01", "last"), "RCP4_X": ("2005-01-01", "2005-01-01"), "RCP5_X": (None, None), "HIST_AIR": ("1850-01-01", "last"),
+        "dark-red": ("warm", "night"), "blue": ("sticky", "end"), "glue": ("sticky", "end"), "ochre": (None, None),
     }
     table = spark.createDataFrame([(2, "b", "y"), (1, "a", "x")], "seq int, pattern string, value string")
     assert rules.rules_from(table) == [("a", "x"), ("b", "y")]
@@ -91,25 +93,26 @@ def test_first_and_last_rule(spark, monkeypatch, branches):
 
 def test_most_specific_with_look_ahead(spark):
     some = [
-        rules.WildcardRule({"grid": "any", "mach": "any"}, "any", {"atm": -3, "note": "default"}),
-        rules.WildcardRule({"grid": "g1", "mach": "big"}, "AIR.*SEA6(?!.*%BIO)", {"atm": 5400}),
-        rules.WildcardRule({"grid": "g1", "mach": "big"}, "AIR.*SEA6%[^_]*BIO", {"atm": 640}),
-        rules.WildcardRule({"grid": "g1", "mach": "any"}, "AIR", {"atm": 1}),
-        rules.WildcardRule({"grid": "any", "mach": "big"}, "AIR", {"atm": 2}),
+        rules.WildcardRule({"shop": "any", "day": "any"}, "any", {"price": 9, "note": "list"}),
+        rules.WildcardRule({"shop": "north", "day": "any"}, "bread(?! stale)", {"price": 4}),
+        rules.WildcardRule({"shop": "any", "day": "sun"}, "bread", {"price": 6}),
+        rules.WildcardRule({"shop": "north", "day": "sun"}, "rye bread(?=.*seeds)", {"price": 7}),
     ]
-    df = spark.createDataFrame([("g1", "big", "X_AIR_SEA6_Y"), ("g1", "big", "X_AIR_SEA6%BIO_Y"), ("g2", "x", "AIR"), ("g1", "big", "AIR")], "grid string, mach string, code string")
-    got = [(r.atm, r.note) for r in rules.specific_match(df, some, "code").collect()]
-    assert got == [(5400, None), (640, None), (-3, "default"), (2, None)]
+    rows = [("north", "sun", "rye bread with seeds"), ("north", "sun", "bread stale"), ("north", "mon", "bread"), ("north", "mon", "bread stale"), ("south", "sun", "bread roll")]
+    df = spark.createDataFrame(rows, "shop string, day string, code string")
+    got = [(r.price, r.note) for r in rules.specific_match(df, some, "code").collect()]
+    assert got == [(7, None), (6, None), (4, None), (9, "list"), (6, None)]
 
 
 def test_overrides_and_registry(spark):
-    base = spark.createDataFrame([(1, "opts", "-a"), (1, "n", "4"), (2, "opts", None)], "id int, attr string, value string")
-    over = spark.createDataFrame([(1, "opts", "-pcols 9", True), (1, "n", "8", False), (2, "opts", "x", True)], "id int, attr string, value string, append boolean")
-    got = {(r.id, r.attr): r.value for r in rules.apply_overrides(base, over).collect()}
-    assert got == {(1, "opts"): "-a -pcols 9", (1, "n"): "8", (2, "opts"): "x"}
-    registry = spark.createDataFrame([("BH", "HIST_X"), ("BH", "HIST_X")], "alias string, lname string")
-    tests = spark.createDataFrame([("BH",), ("HIST_X",), ("FW",)], "compset string")
-    assert sorted(r.lname for r in rules.resolve(tests, "compset", registry).collect()) == ["FW", "HIST_X", "HIST_X"]
+    base = spark.createDataFrame([(1, "tags", "new"), (1, "size", "3"), (2, "tags", None)], "id int, attr string, value string")
+    rows = [(1, "tags", "hot", True, 1), (1, "size", "5", False, 1), (1, "size", "+2", True, 2), (2, "tags", "cold", True, 1), (2, "tags", None, False, 9), (3, "size", "8", False, 1)]
+    over = spark.createDataFrame(rows, "id int, attr string, value string, append boolean, seq int")
+    got = {(r.id, r.attr): r.value for r in rules.apply_overrides(base, over, order="seq").collect()}
+    assert got == {(1, "tags"): "new hot", (1, "size"): "5 +2", (2, "tags"): "cold", (3, "size"): "8"}
+    registry = spark.createDataFrame([("ny", "new york"), ("ny", "new york")], "alias string, lname string")
+    cities = spark.createDataFrame([("ny",), ("new york",), ("rome",)], "city string")
+    assert sorted(r.lname for r in rules.resolve(cities, "city", registry).collect()) == ["new york", "new york", "rome"]
 
 
 def test_letters_and_violations(spark):
@@ -122,24 +125,24 @@ def test_letters_and_violations(spark):
 
 def test_codes(spark):
     one = spark.range(1)
-    names = ["atm", "lnd", "ice", "ocn", "rof", "glc", "wav"]
-    code = "1850_AIR70%MT%CT4S2_SOIL60%BGC-CROP_FLOE_SEA6_RIVER_GLACIER%NOEVOLVE_WAVE_BGC%BPRP"
-    c = one.select(codes.parse_code(F.lit(code), names).alias("c")).first().c
-    assert c.time == "1850" and [(x.name, x.model, x.phys) for x in c.comps][:3] == [("atm", "AIR70", ["MT", "CT4S2"]), ("lnd", "SOIL60", ["BGC-CROP"]), ("ice", "FLOE", [])]
-    assert [(t.model, t.phys) for t in c.tail] == [("BGC", ["BPRP"])]
-    short = one.select(codes.parse_code(F.lit("2000_AIR60"), names).alias("c")).first().c
-    assert [x.model for x in short.comps] == ["AIR60"] and short.tail == []
-    m = one.select(codes.parse_modifiers(F.lit("UNITS_P1x1_Mmpi-serial")).alias("m")).first().m
-    assert (m.base, m.ntasks, m.nthrds, m.mpilib, m.debug, m.rest) == ("UNITS", 1, 1, "mpi-serial", False, "")
-    m = one.select(codes.parse_modifiers(F.lit("SMS_D_Ld2")).alias("m")).first().m
-    assert (m.base, m.debug, m.length_unit, m.length_n) == ("SMS", True, "d", 2)
-    k = one.select(codes.parse_key(F.lit("SMS_Ld2.ne30_t2.B1.big_box_gnu.all-default")).alias("k")).first().k
-    assert tuple(k) == ("SMS_Ld2", "ne30_t2", "B1", "big_box", "gnu", "all-default")
-    raw = [" 01:00:00 ", "00:30:00", "04:30", "x", "1:75", None]
+    names = ["base", "filling", "top"]
+    c = one.select(codes.parse_code(F.lit("0042_DOUGH7%RYE%DARK_PLUM_CREAM%OAT-MILK_BOX%RED"), names).alias("c")).first().c
+    assert c.time == "0042" and [(x.name, x.model, x.phys) for x in c.comps] == [("base", "DOUGH7", ["RYE", "DARK"]), ("filling", "PLUM", []), ("top", "CREAM", ["OAT-MILK"])]
+    assert [(t.model, t.phys) for t in c.tail] == [("BOX", ["RED"])]
+    short = one.select(codes.parse_code(F.lit("7_PLAIN"), names).alias("c")).first().c
+    assert [x.model for x in short.comps] == ["PLAIN"] and short.tail == []
+    m = one.select(codes.parse_modifiers(F.lit("BAKE_P3x2_Mmpi-fast")).alias("m")).first().m
+    assert (m.base, m.ntasks, m.nthrds, m.mpilib, m.debug, m.rest) == ("BAKE", 3, 2, "mpi-fast", False, "")
+    m = one.select(codes.parse_modifiers(F.lit("RISE_D_Lm7")).alias("m")).first().m
+    assert (m.base, m.debug, m.length_unit, m.length_n) == ("RISE", True, "m", 7)
+    k = one.select(codes.parse_key(F.lit("RISE_Lm7.coarse_v4.PLUM.oven_two_gas.mods-late")).alias("k")).first().k
+    assert tuple(k) == ("RISE_Lm7", "coarse_v4", "PLUM", "oven_two", "gas", "mods-late")
+    raw = [" 02:10:05 ", "00:00:09", "11:45", "soon", "3:88", None]
     got = [r.s for r in spark.createDataFrame([(r,) for r in raw], "d string").select(codes.parse_duration(F.col("d")).alias("s")).collect()]
-    assert got == [3600, 1800, 16200, None, None, None]
-    cost = [tuple(r.c) for r in spark.createDataFrame([("12.25 ypd/ 6763 pe-hrs/simyr expected",), ("none",), ("",)], "n string").select(codes.extract_cost(F.col("n")).alias("c")).collect()]
-    assert cost == [(12.25, 6763.0), (None, None), (None, None)]
+    assert got == [7805, 9, 42300, None, None, None]
+    notes = [("3.5 ypd/ 120 pe-hrs/simyr guessed",), ("free",), ("",)]
+    cost = [tuple(r.c) for r in spark.createDataFrame(notes, "n string").select(codes.extract_cost(F.col("n")).alias("c")).collect()]
+    assert cost == [(3.5, 120.0), (None, None), (None, None)]
 
 
 # -------------------------------------------------------------------- settings
@@ -152,10 +155,8 @@ def test_last_assignment_and_appends(spark):
     ]
     df = spark.createDataFrame(rows, "scope string, layer int, seq int, key string, value string, op string")
     assert {r.key: r.value for r in settings.merge_settings(df).collect()} == {"opts": "-d", "n": "2"}
-    opts = settings.append_settings(df).filter("key = 'opts'").orderBy("layer", "part").collect()
-    assert " ".join(r.value for r in opts) == "-b -c -d"
-    parts = settings.append_settings(df.filter("layer = 1"), per_part=1).filter("key = 'opts'").orderBy("part").collect()
-    assert [(r.part, r.value) for r in parts] == [(0, "-c"), (1, "-d")]
+    joined = {r.key: (r.value, r.n_values) for r in settings.append_settings(df).collect()}
+    assert joined["opts"] == ("-b -c -d", 3)
 
 
 def test_closure_against_breadth_first_search(spark):
@@ -171,8 +172,18 @@ def test_closure_against_breadth_first_search(spark):
             seen |= level
             want.update({(root, n): depth for n in level})
     assert got == want
-    short = settings.closure(spark.createDataFrame([(i, i + 1) for i in range(20)], "src int, dst int"), max_depth=5)
-    assert short.agg(F.max("depth")).first()[0] == 5 and short.count() == 5 * 16 + 4 + 3 + 2 + 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1500)], "src int, dst int")
+    with pytest.raises(ValueError, match="deeper"):
+        settings.closure(chain.filter("src < 20"), max_depth=5)
+    assert settings.closure(chain.filter("src < 20"), max_depth=20).count() == 210
+
+
+def test_missing_includes_are_told_from_leaves(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "leaf"), ("a", "lost"), ("c", "c")], "src string, dst string")
+    existing = spark.createDataFrame([("a",), ("b",), ("leaf",)], "node string")
+    got = {(r.root, r.node): (r.is_cycle, r.is_leaf, r.missing) for r in settings.include_report(edges, existing).collect()}
+    assert got[("a", "leaf")] == (False, True, False) and got[("a", "lost")] == (False, True, True) and got[("c", "c")] == (True, False, False)
+    assert not any(r.missing for r in settings.include_report(edges).collect())
 
 
 def test_audits(spark):
