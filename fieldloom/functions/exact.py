@@ -3,7 +3,9 @@
 A double sum depends on the order in which tasks finish. Reductions that must
 agree bit for bit between runs (or between one long run and two merged
 segments) therefore add integers: each value is scaled by ``10**digits`` and
-rounded to a BIGINT first. Integer sums stay in the hash-aggregate fast path.
+rounded to a whole number first, so digits beyond that are lost. The whole
+number is added in two halves, each a BIGINT, which stay in the hash-aggregate
+fast path and have room for 10^11 rows of values up to 10^17 after scaling.
 """
 
 from __future__ import annotations
@@ -12,8 +14,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fixed_point(value: Column, digits: int) -> Column:
-    return F.rint(value * F.lit(float(10**digits))).cast("bigint")
+# Weight of the upper half of a whole number.
+HALF = 2**24
+
+
+def fixed_sum(value: Column, digits: int) -> Column:
+    """Aggregate: the sum of the scaled and rounded values, a DECIMAL(38,0)."""
+    whole = F.rint(value * F.lit(float(10**digits)))
+    upper = F.floor(whole / F.lit(float(HALF)))
+    lower = (whole - upper.cast("double") * F.lit(float(HALF))).cast("bigint")
+    return (F.sum(upper.cast("bigint")).cast("decimal(28,0)") * F.lit(HALF).cast("decimal(9,0)") + F.sum(lower).cast("decimal(28,0)")).cast("decimal(38,0)")
 
 
 def from_fixed(total: Column, digits: int) -> Column:
@@ -24,7 +34,7 @@ def exact_sum(value: Column, digits: int | None) -> Column:
     """Sum as double; order-independent when ``digits`` is given."""
     if digits is None:
         return F.sum(value)
-    return from_fixed(F.sum(fixed_point(value, digits)), digits)
+    return from_fixed(fixed_sum(value, digits), digits)
 
 
 def exact_avg(value: Column, digits: int | None) -> Column:

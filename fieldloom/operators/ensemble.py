@@ -105,19 +105,25 @@ def draw(df: DataFrame, k: int, seed: int, id_col: str = "member") -> DataFrame:
 def fanout(base: DataFrame, size: int, col: str, cell: str, start: int = 0) -> DataFrame:
     """One perturbed copy of ``base`` per member ``start..size-1``.
 
-    A copy is made by exploding a member sequence, so it needs neither a join
-    nor a shuffle, and the copies stay with the partition of their source row.
+    A copy is made by exploding a literal list of members and perturbations, so
+    it needs neither a join nor a shuffle, nor any arithmetic on member numbers
+    per row; the copies stay with the partition of their source row.
     The perturbation is relative: a cell's hash, turned by the member number
     around [-1, 1), so that the digest is taken once per source row.
     """
     if not 0 <= start < size <= MAX_MEMBERS:
         raise ValueError("need 0 <= start < size <= 2000")
     hashed = base.withColumn("_hash", hash32(F.col(cell).cast("string")))
-    copies = hashed.withColumn("member", F.explode(F.sequence(F.lit(start), F.lit(size - 1))))
+    spark = base.sparkSession
+    wanted = with_perturbation(spark.range(start, size).select(F.col("id").cast("int").alias("member"))).collect()
+    listed = F.array(
+        *(F.struct(F.lit(m.member).alias("member"), F.lit(m.pertlim).alias("pertlim"), F.lit(m.pertlim_num).alias("pertlim_num")) for m in wanted)
+    )
+    copies = hashed.select("*", F.inline(listed))
     turned = F.pmod(F.col("_hash") + F.col("member").cast("bigint") * TURN, F.lit(2**32))
     u = turned / F.lit(float(2**32)) * 2.0 - 1.0
     perturbed = F.when(F.col("member") == 0, F.col(col)).otherwise(F.col(col) * (F.col("pertlim_num") * u + 1.0))
-    return with_perturbation(copies).withColumn(col, perturbed).drop("_hash")
+    return copies.withColumn(col, perturbed).drop("_hash")
 
 
 def replace_setting(lines: DataFrame, key: str, value: Column | str, col: str = "line", scope: str = "scope") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import calendar as cal
-from fieldloom.functions.exact import clock, exact_avg, fixed_point, from_fixed, micros, time_order
+from fieldloom.functions.exact import clock, exact_avg, fixed_sum, from_fixed, micros, time_order
 
 # Reduction flags (average, instant, maximum, minimum).
 FLAGS = "AIXM"
@@ -194,7 +194,7 @@ def state_columns(digits: int | None, ts: str = "ts", step: str = "step", value:
     at = time_order(F.col(ts), F.col(step))
     return [
         F.count(v).alias("n"),
-        (F.sum(v) if digits is None else F.sum(fixed_point(v, digits))).alias("total"),
+        (F.sum(v) if digits is None else fixed_sum(v, digits)).alias("total"),
         F.max(v).alias("hi"),
         F.min(v).alias("lo"),
         F.max_by(v, at).alias("last"),
@@ -221,7 +221,7 @@ def merge_partials(*states: DataFrame, by: Sequence[str] = ("member", "cell")) -
         .groupBy("field", *by, "win")
         .agg(
             F.sum("n").alias("n"),
-            F.sum("total").alias("total"),
+            F.sum("total").cast(states[0].schema["total"].dataType).alias("total"),
             F.max("hi").alias("hi"),
             F.min("lo").alias("lo"),
             F.max_by("last", "last_at").alias("last"),

@@ -24,7 +24,7 @@ from fieldloom.session import materialize
 
 NEW_RUNS = 3  # The consistency test compares three new runs with the ensemble.
 
-# The perturbation of member number {i}, written out as SQL.
+# The perturbation of member number {i}, written out as SQL.
 DIGITS = """CASE
     WHEN {i} <= 900  THEN 101 + 2 * (({i} - 1) // 100)        + 18 * ((({i} - 1) % 100) // 2)
     WHEN {i} <= 1000 THEN 100 + 2 * (({i} - 1) // 100)        + 18 * ((({i} - 1) % 100) // 2)
@@ -66,17 +66,21 @@ DRAW = "SELECT c_custkey FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR) |
 
 
 def ensemble_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members that delivered samples (suppliers of line items), from member 5 on."""
-    delivered = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("member")).agg(
+    """Members that delivered samples (suppliers of line items), from member 5 on.
+
+    Those beyond the generator's limit keep their row, without a case.
+    """
+    delivered = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") * 3).cast("int").alias("member")).agg(
         F.count(F.lit(1)).alias("n_samples")
     )
-    return E.members(spark, "ens/run.0000", E.MAX_MEMBERS, start=5).join(delivered, "member")
+    known = E.members(spark, "ens/run.0000", E.MAX_MEMBERS, start=5)
+    return delivered.filter("member >= 5").join(known, "member", "left").select("member", "n_samples", "case", "pertlim", "pertlim_num")
 
 
 MEMBERS = f"""
-WITH m AS (SELECT CAST(l_suppkey AS INTEGER) AS member, count(*) AS n_samples FROM lineitem
-           WHERE l_suppkey BETWEEN 5 AND 1999 GROUP BY 1),
-p AS (SELECT member, n_samples, 'ens/run.' || lpad(CAST(member AS VARCHAR), 4, '0') AS "case", {pertlim_sql("member")} AS pertlim FROM m)
+WITH m AS (SELECT CAST(l_suppkey * 3 AS INTEGER) AS member, count(*) AS n_samples FROM lineitem WHERE l_suppkey * 3 >= 5 GROUP BY 1),
+p AS (SELECT member, n_samples, CASE WHEN member < 2000 THEN 'ens/run.' || lpad(CAST(member AS VARCHAR), 4, '0') END AS "case",
+        CASE WHEN member < 2000 THEN {pertlim_sql("member")} END AS pertlim FROM m)
 SELECT *, CAST(replace(pertlim, 'd', 'e') AS DOUBLE) AS pertlim_num FROM p"""
 
 

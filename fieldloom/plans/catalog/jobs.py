@@ -11,12 +11,12 @@ from fieldloom.operators.rules import WildcardRule
 from fieldloom.plans import jobs
 from fieldloom.plans.catalog.adapters import (
     EVENTS,
-    MEASURES,
     Query,
     events_history,
     lineitem_history,
     noleap_day_sql,
     sql_avg,
+    supplier_means,
     table,
 )
 from fieldloom.plans.catalog.ensembles import NEW_RUNS, pertlim_sql
@@ -68,15 +68,9 @@ FROM customer CROSS JOIN p"""
 
 def consistency_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as ensemble, the first three as new runs: scores and verdict in one table."""
-    items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("member"), F.col("l_partkey").alias("cell"), "l_returnflag", *MEASURES
-    )
-    long = items.unpivot(["member", "cell", "l_returnflag"], MEASURES, "measure", "value").select(
-        "member", "cell", F.concat_ws("_", "measure", "l_returnflag").alias("field"), "value"
-    )
-    area = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.col("p_size").alias("w"))
+    means = supplier_means(spark, sf_dir)
     new = F.col("member") < NEW_RUNS
-    scores, verdict = jobs.consistency_job(long.filter(~new), long.filter(new), area)
+    scores, verdict = jobs.consistency_of_means(means.filter(~new), means.filter(new))
     found = verdict.select(F.lit(None).cast("bigint").alias("member"), F.lit(None).cast("int").alias("pc"), F.lit(None).cast("double").alias("score"), "verdict")
     return scores.select("member", "pc", F.round("score", 6).alias("score"), F.lit(None).cast("string").alias("verdict")).unionByName(found)
 

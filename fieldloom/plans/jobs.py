@@ -60,16 +60,22 @@ def consistency_job(
     p: int = 3,
     r: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
-    """Ensemble and new runs -> (scores of the new runs, one-row verdict).
-
-    Both histories are read once: their global means, at most 2000 members x
-    fields, are written to the shared folder and everything after that works
-    on them. Raises when the ensemble does not have more members than fields.
-    """
+    """Ensemble and new runs -> (scores of the new runs, one-row verdict); see :func:`consistency_of_means`."""
     if status is not None:
         history = history.join(status.filter("success").select("member").distinct(), "member", "left_semi")
-    trusted = materialize(consistency.global_mean(history, area), "ensemble-means")
-    new = materialize(consistency.global_mean(new_history, area), "new-means")
+    return consistency_of_means(consistency.global_mean(history, area), consistency.global_mean(new_history, area), k, m, p, r)
+
+
+def consistency_of_means(
+    trusted: DataFrame, new: DataFrame, k: int = 3, m: float = 2.0, p: int = 3, r: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """Global means (member, field, value) of an ensemble and of new runs -> (scores of the new runs, one-row verdict).
+
+    The means, at most 2000 members x fields, are written to the shared folder
+    and everything after that works on them. Raises when the ensemble does not
+    have more members than fields.
+    """
+    trusted, new = materialize(trusted, "ensemble-means"), materialize(new, "new-means")
     size = consistency.precheck(trusted).first()
     if not size["ok"]:
         raise ValueError(f"{size['n_members']} members cannot judge {size['n_fields']} fields")

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions import exact
 from fieldloom.operators import reduce as R
 from fieldloom.operators.ordered import number_steps
 from fieldloom.streaming.reduce import history_reduce_stream, run_available
@@ -232,3 +233,11 @@ def test_clock_changes_do_not_matter(spark, tmp_path):
         assert tape(spark.read.parquet(str(tmp_path / "out"))) == want[:3]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_exact_sums_of_large_values(spark):
+    big = spark.range(400).select(F.when(F.col("id") % 2 == 0, 1e14).otherwise(-1e11).alias("v"))
+    total = big.agg(exact.exact_sum(F.col("v"), 6).alias("s")).first().s
+    assert total == 200 * 1e14 - 200 * 1e11
+    mixed = spark.createDataFrame([(0.1,), (-0.3,), (1e12 + 0.5,), (None,), (-1e12,)], "v double")
+    assert mixed.agg(exact.exact_sum(F.col("v"), 2).alias("s")).first().s == pytest.approx(0.3)
