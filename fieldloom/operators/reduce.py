@@ -274,6 +274,45 @@ def history_reduce(
     return finalize(partial_reduce(kept, freq, by, calendar, digits), spec, by, digits)
 
 
+#: Different output frequencies of one job.
+MAX_FREQUENCIES = 64
+
+
+def reduce_streams(
+    history: DataFrame,
+    spec: DataFrame,
+    streams: DataFrame,
+    by: Sequence[str] = ("member", "cell"),
+    calendar: str = "gregorian",
+    digits: int | None = None,
+) -> DataFrame:
+    """All tapes of several output streams from one pass over the samples.
+
+    ``spec`` holds (field, flag), see :func:`tape_spec`; ``streams`` holds
+    (field, stream, freq, freq_n), see :func:`expand_streams`. A field may have
+    several flags and be in several streams; a field in only one of the two is
+    on no tape. A sample is copied once for each frequency its field needs, and
+    states are shared by the streams and flags of the same frequency.
+    """
+    pairs = sorted(tuple(r) for r in streams.select("freq", "freq_n").distinct().limit(MAX_FREQUENCIES + 1).collect())
+    if len(pairs) > MAX_FREQUENCIES:
+        raise ValueError(f"more than {MAX_FREQUENCIES} frequencies")
+    if not pairs:
+        raise ValueError("no streams")
+    wanted = streams.join(spec.filter("field IS NOT NULL").select("field", "flag").distinct(), "field")
+    needed = wanted.groupBy("field").agg(F.collect_set(F.struct("freq", "freq_n")).alias("_needed"))
+    windows = F.array(
+        *(F.struct(F.lit(u).alias("freq"), F.lit(n).alias("freq_n"), window_key(Cal(u, n), calendar).alias("win")) for u, n in pairs)
+    )
+    open_windows = F.filter(windows, lambda w: F.array_contains("_needed", F.struct(w["freq"].alias("freq"), w["freq_n"].alias("freq_n"))))
+    kept = history.join(needed, "field").withColumn("_windows", open_windows).select("*", F.inline("_windows"))
+    state = kept.groupBy("field", *by, "freq", "freq_n", "win").agg(*state_columns(digits))
+    tapes = state.join(wanted.distinct(), ["field", "freq", "freq_n"])
+    return tapes.select(
+        "stream", "field", *by, "freq", "freq_n", "win", "flag", _flagged(F.col("flag"), digits, set(FLAGS)).alias("value"), "n"
+    )
+
+
 def climatology(
     history: DataFrame, by: Sequence[str] = ("cell",), digits: int | None = None, calendar: str = "gregorian"
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from fieldloom.plans.catalog.adapters import (
 )
 from fieldloom.plans.catalog.ensembles import NEW_RUNS, pertlim_sql
 from fieldloom.plans.catalog.mapping import WEIGHTS, _cells, _weights
+from fieldloom.session import materialize
 
 
 def tape_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ FROM customer CROSS JOIN p"""
 
 def consistency_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as ensemble, the first three as new runs: scores and verdict in one table."""
-    means = supplier_means(spark, sf_dir)
+    means = materialize(supplier_means(spark, sf_dir), "means")
     new = F.col("member") < NEW_RUNS
     scores, verdict = jobs.consistency_of_means(means.filter(~new), means.filter(new))
     found = verdict.select(F.lit(None).cast("bigint").alias("member"), F.lit(None).cast("int").alias("pc"), F.lit(None).cast("double").alias("score"), "verdict")

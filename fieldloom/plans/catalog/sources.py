@@ -52,6 +52,20 @@ NESTED = """
 SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS embedding_pos, unnest(embedding) AS embedding
 FROM embeddings"""
 
+
+def nested_structs_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as records with a list of turns, some of them empty or null, laid flat again."""
+    turn = F.struct("turn", "role", F.length("text").alias("size"))
+    records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    emptied = F.when(F.col("conv_id") % 10 == 3, F.array().cast(records.schema["turns"].dataType)).when(F.col("conv_id") % 10 != 7, F.col("turns"))
+    return flatten_records(records.withColumn("turns", emptied), ["turns"], position=True)
+
+
+NESTED_STRUCTS = """
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turns_pos, turn, role,
+       CAST(length(text) AS INTEGER) AS size FROM conversations WHERE conv_id % 10 NOT IN (3, 7)
+UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL FROM conversations WHERE conv_id % 10 IN (3, 7)"""
+
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
@@ -122,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "history_scan": (history_scan, HISTORY_SCAN),
     "settings_scan": (settings_scan, SETTINGS_SCAN),
     "nested_records_flatten": (nested_records_flatten, NESTED),
+    "nested_structs_flatten": (nested_structs_flatten, NESTED_STRUCTS),
     "ragged_csv_scan": (ragged_csv_scan, RAGGED),
     "runlog_success": (runlog, RUNLOG),
     "history_write": (history_write_back, HISTORY_WRITE),

@@ -180,6 +180,31 @@ SELECT field, member, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * CAST(CAST(floor(
 FROM h WHERE field <> 'signup' GROUP BY 1, 2, 3"""
 
 
+# Which of a daily and a monthly stream each event type goes to, and the reductions of the tapes.
+CODES = {"click": "dm", "view": "dx", "purchase": "xm", "error": "dm", "signup": "xx"}
+STREAM_SPEC = "'click:A', 'click:X', 'view:I', 'purchase:X', 'error', 'signup:M', 'other:A'"
+
+
+def tape_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily and a monthly stream from one scan; clicks have two reductions and are in both streams."""
+    pairs = [F.lit(x) for pair in CODES.items() for x in pair]
+    types = table(spark, sf_dir, "events").select(F.col("event_type").alias("field")).distinct()
+    coded = types.withColumn("code", F.element_at(F.create_map(*pairs), F.col("field")))
+    spec = R.tape_spec(spark.range(1).select(F.lit(STREAM_SPEC).alias("spec")), "spec")
+    streams = R.expand_streams(coded, "code", ["d", "m"], [1, 1])
+    return R.reduce_streams(events_history(spark, sf_dir), spec, streams, by=["member"], digits=2)
+
+
+TAPE_STREAMS = f"""
+WITH {EVENTS},
+w AS (SELECT 0 AS stream, 'd' AS freq, date_trunc('day', ts)::TIMESTAMP AS win, * FROM h WHERE field IN ('click', 'view', 'error')
+      UNION ALL SELECT 1, 'm', date_trunc('month', ts)::TIMESTAMP, * FROM h WHERE field IN ('click', 'purchase', 'error')),
+s AS (SELECT CAST(stream AS INTEGER) AS stream, field, member, freq, CAST(1 AS INTEGER) AS freq_n, win, {sql_avg("value")} AS a,
+        arg_max(value, (ts, step)) AS i, max(value) AS x, count(value) AS n FROM w GROUP BY 1, 2, 3, 4, 5, 6)
+SELECT s.* EXCLUDE (a, i, x), flag, CASE flag WHEN 'A' THEN a WHEN 'I' THEN i ELSE x END AS value
+FROM s JOIN (VALUES ('click', 'A'), ('click', 'X'), ('view', 'I'), ('purchase', 'X'), ('error', 'A')) AS f(field, flag) USING (field)"""
+
+
 def reduce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily tapes from a stream over the events file, with one hour of patience."""
     schema = table(spark, sf_dir, "events").schema
@@ -215,5 +240,6 @@ QUERIES: dict[str, Query] = {
     "run_window_filter": (run_window_filter, RUN_WINDOW),
     "month_climatology": (month_climatology, CLIMATOLOGY),
     "mergeable_reduce": (mergeable_reduce, MERGEABLE),
+    "tape_streams": (tape_streams, TAPE_STREAMS),
     "history_reduce_stream": (reduce_stream, REDUCE_STREAM),
 }

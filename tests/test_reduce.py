@@ -241,3 +241,17 @@ def test_exact_sums_of_large_values(spark):
     assert total == 200 * 1e14 - 200 * 1e11
     mixed = spark.createDataFrame([(0.1,), (-0.3,), (1e12 + 0.5,), (None,), (-1e12,)], "v double")
     assert mixed.agg(exact.exact_sum(F.col("v"), 2).alias("s")).first().s == pytest.approx(0.3)
+
+
+def test_streams_share_one_scan(spark):
+    rows = frame(spark, [("RAIN", "2000-01-01T05:00", 1, 1.0), ("RAIN", "2000-01-20T05:00", 2, 4.0), ("DEW", "2000-01-01T05:00", 1, 9.0), ("FOG", "2000-01-01T05:00", 1, 2.0)])
+    spec = spark.createDataFrame([("RAIN", "X"), ("RAIN", "A"), ("DEW", "M"), ("FOG", "A"), (None, None)], "field string, flag string")
+    streams = spark.createDataFrame([("RAIN", 0, "d", 1), ("RAIN", 3, "m", 1), ("DEW", 3, "m", 1), ("ICE", 3, "m", 1)], "field string, stream int, freq string, freq_n int")
+    tapes = R.reduce_streams(rows, spec, streams)
+    got = sorted((r.stream, r.field, r.flag, str(r.win)[:10], r.value) for r in tapes.collect())
+    assert got == [
+        (0, "RAIN", "A", "2000-01-01", 1.0), (0, "RAIN", "A", "2000-01-20", 4.0), (0, "RAIN", "X", "2000-01-01", 1.0), (0, "RAIN", "X", "2000-01-20", 4.0),
+        (3, "DEW", "M", "2000-01-01", 9.0), (3, "RAIN", "A", "2000-01-01", 2.5), (3, "RAIN", "X", "2000-01-01", 4.0),
+    ]
+    with pytest.raises(ValueError, match="no streams"):
+        R.reduce_streams(rows, spec, streams.filter("false"))

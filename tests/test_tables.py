@@ -13,7 +13,7 @@ from fieldloom.functions import calendar as cal
 from fieldloom.functions import codes
 from fieldloom.operators import audits, compare, fields, reports, rules, settings
 from fieldloom.operators.ordered import number_steps
-from fieldloom.operators.skew import spread_join
+from fieldloom.operators.skew import hot_keys, spread_join
 
 
 def day(text):
@@ -312,3 +312,10 @@ def test_noleap_round_trip(spark):
     assert rows.filter("next <> d + 1 and not (month(d) = 2 and day(d) = 28 and month(next) = 3 and day(next) = 1)").isEmpty()
     years = rows.filter("n is not null and year(d) between 2000 and 2004").groupBy(F.year("d")).count().collect()
     assert {r["count"] for r in years} == {365}
+
+
+def test_a_key_with_few_right_and_many_left_rows_is_split(spark):
+    left = spark.range(4000).select(F.lit(1).alias("k"), "id").unionByName(spark.range(100).select(F.lit(2).alias("k"), "id"))
+    right = spark.range(20).select(F.lit(1).alias("k"), F.col("id").alias("v")).unionByName(spark.range(20).select(F.lit(2).alias("k"), F.col("id").alias("v")))
+    assert {(r.k, r._parts) for r in hot_keys(left, right, ["k"], 100).collect()} == {(1, 8)}
+    assert spread_join(left, right, ["k"], ["id"], 100).count() == 4100 * 20
