@@ -118,7 +118,8 @@ class Kept:
             value = old(key)
             if value is not None:
                 new[key] = value
-        new.update(find([key for key in missing if key not in new]))
+        unknown = [key for key in missing if key not in new]
+        new.update(find(unknown) if unknown else {})
         for row, values in zip(rows, found):
             at = -1
             for _ in range(values.count(None)):
