@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pytest
 from oracle import compare, connect
 
@@ -49,6 +51,21 @@ def test_entry_has_rows(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
+def test_entry_without_the_optional_parts(monkeypatch):
+    for name in driver.OPTIONAL:
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(driver.queries()) == set(QUERIES)
+
+
+def test_other_import_errors_are_not_hidden(monkeypatch):
+    def broken(name):
+        raise ModuleNotFoundError("no numpy", name="numpy")
+
+    monkeypatch.setattr(driver, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError, match="numpy"):
+        driver.queries()
+
+
 def test_ensemble_smaller_than_its_fields_is_refused(spark):
     """The smallest data set has ten suppliers and twelve fields."""
     with pytest.raises(ValueError, match="cannot judge"):
