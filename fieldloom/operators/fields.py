@@ -101,7 +101,7 @@ def interp(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field
     sliced = ordered_slices(_timeline(requests, series, keys), keys, ORDER, "interp")
     known = F.col("_asked") == 0
     below = carry(sliced, keys, ORDER, known, "_value", "_lo")
-    both = carry(below, keys, ORDER, known, "_value", "_hi", forward=False).filter(F.col("_asked") == 1)
+    both = carry(below, keys, ORDER, known, "_value", "_hi", forward=False, source=sliced).filter(F.col("_asked") == 1)
     t, t0, t1 = micros(F.col("ts")), micros(F.col("_lo.ts")), micros(F.col("_hi.ts"))
     v0, v1 = F.col("_lo.value"), F.col("_hi.value")
     value = F.when(t == t0, v0).otherwise(v0 + (v1 - v0) * ((t - t0) / F.nullif(t1 - t0, F.lit(0).cast("bigint"))))

@@ -61,19 +61,23 @@ def carry(
     value: str,
     out: str,
     forward: bool = True,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the nearest sample at or before each row (at or after it if not forward).
 
     ``sliced`` comes from :func:`ordered_slices` with the time first in
     ``order``. Samples are the rows where ``is_sample`` holds; ``out`` becomes
-    a struct (ts, value), null where there is none.
+    a struct (ts, value), null where there is none. ``source`` is the sliced table
+    itself where ``sliced`` already carries something: the edges of its slices are
+    then aggregated from the written rows, not from what was made of them.
     """
     time = order[0]
     sample = F.when(is_sample, F.struct(F.col(time).alias("ts"), F.col(value).alias("value")))
     marked = sliced.withColumn(KEY, F.struct(*keys))
     at = F.when(is_sample, F.col(time))
     edge = (F.max(at), F.max_by(value, at)) if forward else (F.min(at), F.min_by(value, at))
-    ends = marked.groupBy(KEY, SLICE).agg(edge[0].alias("_ts"), edge[1].alias("_value"))
+    edges = marked if source is None else source.withColumn(KEY, F.struct(*keys))
+    ends = edges.groupBy(KEY, SLICE).agg(edge[0].alias("_ts"), edge[1].alias("_value"))
     end = F.when(F.col("_ts").isNotNull(), F.struct(F.col("_ts").alias("ts"), F.col("_value").alias("value")))
     # Looking back in reversed order is linear; a frame that reaches forward to
     # the end would be evaluated anew for every row.

@@ -121,7 +121,9 @@ SELECT p.cell, p.req_id, p.ts, c.ts AS lo_ts, c.value AS lo_value FROM p ASOF LE
 
 def cycle_forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates read the daily mean quantity of 1996 and 1997, over and over."""
-    items = table(spark, sf_dir, "lineitem").filter(F.year("l_shipdate").between(1996, 1997))
+    day = F.col("l_shipdate")
+    begin, end = (F.lit(f"{year}-01-01").cast("timestamp_ntz") for year in (1996, 1998))
+    items = table(spark, sf_dir, "lineitem").filter((day >= begin) & (day < end))
     series = items.groupBy(F.col("l_linestatus").alias("field"), F.col("l_shipdate").alias("date")).agg(
         exact_avg(F.col("l_quantity"), 2).alias("value")
     )

@@ -81,6 +81,11 @@ def test_flagship_plan(spark, sf_dir):
     assert "In(event_type" in plan
 
 
+def test_years_reach_the_scan(spark, sf_dir):
+    plan = _plan(QUERIES["cycle_forcing"][0](spark, sf_dir))
+    assert "LessThan(l_shipdate,1998" in plan  # the text of a plan is cut soon after
+
+
 REDUCTIONS = ["history_instant", "mergeable_reduce", "window_steps", "tape_job", "month_climatology"]
 
 
