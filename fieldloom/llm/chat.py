@@ -133,9 +133,10 @@ def format_turns(turns: DataFrame, order: list[str], group: str, learn: tuple[st
     """``group``, ``order`` columns, and each turn's ``segment`` with its loss mask (``loss_start``, ``loss_length``).
 
     Turns without a role (records that no mapping fits) are left out here. The mask covers the text of
-    ``learn`` roles, in code points of the segment; elsewhere it is null.
+    ``learn`` roles, in code points of the segment; elsewhere it is null. A role is one line: line breaks
+    in it become blanks.
     """
-    role, text = escape(F.col("role")), escape(F.col("text"))
+    role, text = escape(F.translate("role", "\n", " ")), escape(F.col("text"))
     head = F.concat(F.lit(BEGIN), role, F.lit("\n"))
     learned = F.col("role").isin(*learn)
     return turns.filter("role IS NOT NULL").select(
