@@ -20,6 +20,7 @@ def history_scan(
     fields: Sequence[str] | None = None,
     members: Sequence[int] | None = None,
     columns: Mapping[str, str] | None = None,
+    schema: str | None = None,
 ) -> DataFrame:
     """Samples of all members as one table.
 
@@ -27,10 +28,11 @@ def history_scan(
     plain renames keep filters and column pruning at the scan. Without a stored
     ``member`` it is read from the ``.NNNN.`` in the file name. ``fields`` and
     ``members`` prune ``field=``/``member=`` directories, or reach the Parquet
-    reader where they are ordinary columns.
+    reader where they are ordinary columns. With a ``schema`` (``HISTORY_SCHEMA``
+    for canonical tables) no file's footer is read to find it out.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.parquet(*paths)
+    df = (spark.read if schema is None else spark.read.schema(schema)).parquet(*paths)
     kept = {c: F.col(c) for c in df.columns} if columns is None else {name: F.expr(sql) for name, sql in columns.items()}
     if "member" not in kept:
         # of the file's metadata, not of its rows: a filter on it leaves whole files out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.sources.history import history_scan, history_write
+from fieldloom.sources.history import HISTORY_SCHEMA, history_scan, history_write
 from fieldloom.sources.records import flatten_records, name_list, options_map, read_ragged, read_records
 from fieldloom.sources.runlog import runlog_success
 from fieldloom.sources.settings import settings_scan
@@ -122,6 +122,13 @@ def test_scan_takes_member_from_file_name(spark, tmp_path):
     assert "file_name" in pruned
 
 
+def test_scan_by_the_canonical_schema(spark, tmp_path):
+    rows = spark.range(4).select(F.lit(7).alias("member"), F.lit("T").alias("field"), F.lit("2001-01-01").cast("timestamp_ntz").alias("ts"), "id")
+    rows.select("member", "field", "ts", F.col("id").alias("step"), F.col("id").alias("cell"), F.lit(None).cast("int").alias("lev"), F.lit(1.5).alias("value")).write.parquet(str(tmp_path / "h"))
+    df = history_scan(spark, str(tmp_path / "h"), schema=HISTORY_SCHEMA, fields=["T"])
+    assert df.columns == ["member", "field", "ts", "step", "cell", "lev", "value"] and df.count() == 4
+
+
 def test_write_groups_samples_into_files(spark, tmp_path):
     tape = spark.range(40).select(
         F.when(F.col("id") < 25, "a").otherwise("b").alias("field"),
