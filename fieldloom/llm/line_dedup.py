@@ -1,10 +1,10 @@
-"""Removal of passages that stand in an earlier document, by hashing lines.
+"""Removal of passages that stand in an earlier document, by hashing paragraphs of lines.
 
 The units are lines, parted further where a sentence ends, as passages are often put into a line of
-another text. A unit is normalised to its lower-cased words and hashed; digests are grouped over all
-documents and the earliest ranked occurrence stays. Short units recur by chance, so what goes are
-runs of repeated units that follow each other and have ``min_words`` words together. Offsets are
-those of the original text, in code points.
+another text. A unit is normalised to its lower-cased words. As short units recur by chance, what is
+hashed is a paragraph: from each unit on as many as make ``min_words`` words together. Digests are
+grouped over all documents and the earliest ranked occurrence stays; the units of all others go, runs
+of them together. Offsets are those of the original text, in code points.
 """
 
 from __future__ import annotations
@@ -17,72 +17,100 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import fresh, map_texts, row_key
+from fieldloom.session import materialize
 
-#: Words that a run of repeated units must have.
+#: Words of a paragraph.
 MIN_WORDS = 20
 
 _UNIT = re.compile(r"[^\n.!?]+[.!?]*")
 _WORD = re.compile(r"\w+")
 
 
-def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units that have words."""
+def units_of(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the units that have words."""
     found = []
     for m in _UNIT.finditer(text):
         raw = m.group()
         words = _WORD.findall(raw.lower())
         if words:
             lead = len(raw) - len(raw.lstrip())
-            found.append((m.start() + lead, m.start() + len(raw.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode())))
+            found.append((m.start() + lead, m.start() + len(raw.rstrip()), words))
     return found
 
 
-def _units(texts: list[bytes | None]) -> list[pa.Array]:
-    rows, numbers, starts, ends, words, high, low, again = [], [], [], [], [], [], [], []
-    for row, text in enumerate(texts):
-        seen = set()
-        for number, (start, end, n, digest) in enumerate(units_of((text or b"").decode())):
-            rows.append(row)
-            numbers.append(number)
-            starts.append(start)
-            ends.append(end)
-            words.append(n)
-            high.append(int.from_bytes(digest[:8], "little", signed=True))
-            low.append(int.from_bytes(digest[8:], "little", signed=True))
-            again.append(digest in seen)
-            seen.add(digest)
-    longs = [pa.array(x, pa.int64()) for x in (rows, numbers, starts, ends, words, high, low)]
-    return [*longs, pa.array(again, pa.bool_())]
+def paragraphs_of(text: str, min_words: int) -> list[tuple[int, int, int, int, int, int, bytes]]:
+    """(first unit, last unit, start, end, words before, words up to the end, digest) of the paragraph at each unit.
+
+    Units near the end of a text, after which too few words follow, begin none.
+    """
+    units = units_of(text)
+    before = [0]
+    for _, _, words in units:
+        before.append(before[-1] + len(words))
+    found, last = [], 0
+    for first in range(len(units)):
+        last = max(last, first)
+        while last < len(units) and before[last + 1] - before[first] < min_words:
+            last += 1
+        if last == len(units):
+            break
+        digest = xxhash.xxh3_128_digest(" ".join(w for u in units[first : last + 1] for w in u[2]).encode())
+        found.append((first, last, units[first][0], units[last][1], before[first], before[last + 1], digest))
+    return found
+
+
+FIELDS = "number long, last long, start long, end long, words_before long, words_after long, high long, low long, again boolean"
+
+
+def _paragraphs(min_words: int):
+    def work(texts: list[bytes | None]) -> list[pa.Array]:
+        rows, columns, again = [], [[] for _ in range(8)], []
+        for row, text in enumerate(texts):
+            seen = set()
+            for *numbers, digest in paragraphs_of((text or b"").decode(), min_words):
+                rows.append(row)
+                numbers += [int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)]
+                for column, x in zip(columns, numbers):
+                    column.append(x)
+                again.append(digest in seen)
+                seen.add(digest)
+        return [*(pa.array(x, pa.int64()) for x in (rows, *columns)), pa.array(again, pa.bool_())]
+
+    return work
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages to remove: ``doc_id``, ``start``, ``end``, ``n_words``, ``n_units``, ``kept_doc_id``, ``row_key``.
 
-    A unit is kept in the document of the smallest id, at its first place there; documents without an id
-    come last, in the order of a hash of their text. ``kept_doc_id`` is the smallest id that keeps a unit
-    of the passage. Rows that are equal in id and text are one document and give their passages once; rows
-    with the same id are not earlier than one another. Null and empty texts have no units.
+    A paragraph is kept in the document of the smallest id, at its first place there; documents without an
+    id come last, in the order of a hash of their text. ``kept_doc_id`` is the smallest id that keeps a
+    paragraph of the passage. Rows that are equal in id and text are one document and give their passages
+    once; rows with the same id are not earlier than one another. Null and empty texts have no units, and
+    a text of fewer than ``min_words`` words no paragraph.
     """
     key, ident = fresh(docs, "row_key"), fresh(docs, "ident")
     keyed = docs.select(F.col(doc_id).alias(ident), F.col(text).alias("text"), row_key(doc_id, text).alias(key))
-    units = map_texts(keyed, "text", [ident, key], _units, "number long, start long, end long, words long, high long, low long, again boolean")
+    paragraphs = map_texts(keyed, "text", [ident, key], _paragraphs(min_words), FIELDS)
 
-    first = units.groupBy("high", "low").agg(
+    first = paragraphs.groupBy("high", "low").agg(
         F.min(ident).alias("first_id"), F.min(F.when(F.col(ident).isNull(), F.col(key))).alias("first_key"), F.count("*").alias("n")
     )
-    first = first.filter("n > 1").drop("n")
+    # written, so that the join below shuffles both sides and a line of very many documents can be split
+    first = materialize(first.filter("n > 1").drop("n"), "repeated")
     earliest = F.when(F.col("first_id").isNull(), F.col(key) == F.col("first_key")).otherwise(F.coalesce(F.col(ident) == F.col("first_id"), F.lit(False)))
-    later = units.join(first, ["high", "low"]).filter(F.col("again") | ~earliest)
-    later = later.select(ident, key, "number", "start", "end", "words", "first_id").dropDuplicates([key, "number"])
+    later = paragraphs.join(first, ["high", "low"]).filter(F.col("again") | ~earliest)
+    later = later.select(ident, key, "number", "last", "start", "end", "words_before", "words_after", "first_id").dropDuplicates([key, "number"])
 
+    # paragraphs that overlap or follow each other are one passage
     in_order = Window.partitionBy(key).orderBy("number")
-    runs = later.withColumn("run", F.col("number") - F.row_number().over(in_order)).groupBy(key, ident, "run")
+    reached = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("number") <= reached + 1, 0).otherwise(1)
+    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order)).groupBy(key, ident, "run")
     found = runs.agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"), F.min("first_id").alias("kept_doc_id")
-    )
-    return found.filter(F.col("n_words") >= min_words).select(
-        F.col(ident).alias("doc_id"), "start", "end", "n_words", "n_units", "kept_doc_id", F.col(key).alias("row_key")
-    )
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("words_after") - F.min("words_before")).alias("n_words"),
+        (F.max("last") - F.min("number") + 1).alias("n_units"), F.min("first_id").alias("kept_doc_id"),
+    )
+    return found.select(F.col(ident).alias("doc_id"), "start", "end", "n_words", "n_units", "kept_doc_id", F.col(key).alias("row_key"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -104,23 +104,31 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def plain_passages(rows, min_words):
     """(doc_id, start, end) by walking documents in the order of their ids."""
-    first, found = {}, set()
+    first, found, cut = {}, set(), {}
     distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
     for i, text in distinct:
-        for unit in line_dedup.units_of(text or ""):
-            first.setdefault(unit[3], i)
+        units = line_dedup.units_of(text or "")
+        cut[i, text] = spans = []
+        for a in range(len(units)):
+            b = a
+            while b < len(units) and sum(len(u[2]) for u in units[a : b + 1]) < min_words:
+                b += 1
+            if b < len(units):
+                spans.append((a, b, tuple(w for u in units[a : b + 1] for w in u[2])))
+        for *_, words in spans:
+            first.setdefault(words, i)
     for i, text in distinct:
-        seen, run = set(), []
-        for unit in [*line_dedup.units_of(text or ""), None]:
-            repeated = unit is not None and (first[unit[3]] != i or unit[3] in seen)
-            if repeated:
-                run.append(unit)
-            else:
-                if run and sum(u[2] for u in run) >= min_words:
-                    found.add((i, run[0][0], run[-1][1]))
-                run = []
-            if unit is not None:
-                seen.add(unit[3])
+        units, seen, gone = line_dedup.units_of(text or ""), set(), set()
+        for a, b, words in cut[i, text]:
+            if first[words] != i or words in seen:
+                gone.update(range(a, b + 1))
+            seen.add(words)
+        for a in sorted(gone):
+            if a - 1 not in gone:
+                b = a
+                while b + 1 in gone:
+                    b += 1
+                found.add((i, units[a][0], units[b][1]))
     return found
 
 
