@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
 from fieldloom.llm.text import fresh, map_texts, reachable, words_of
-from fieldloom.session import materialize
+from fieldloom.session import discard, materialize
 
 RADIUS, BLOCKS, BLOCK_BITS = 2, 4, 16
 #: Nodes of a bucket that are compared with each other, and lanes compared at once.
@@ -164,6 +164,7 @@ def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialize(sizes, "buckets")
     met = materialize(banded.join(sizes, ["band", "key"]).select("band", "key", "bits", "n"), "met")
+    discard(sizes)
 
     n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = met.filter(F.col("n") <= bucket).select("band", "key", "bits")
@@ -188,10 +189,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     found = materialize(fingerprints(docs, doc_id, text), "fingerprints")
     nodes = materialize(found.groupBy("bits").agg(F.min(doc_id).alias("first")), "nodes")
-    reached = components(near_links(nodes.select("bits"), bucket))
+    links = near_links(nodes.select("bits"), bucket)
+    reached = components(links)
+    discard(links)  # the table of meetings, which nothing reads any more
     rooted = nodes.join(reached, nodes.bits == reached.node, "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = materialize(rooted.join(smallest, "root").select("bits", "root", "component_id"), "classes")
+    discard(nodes)
+    discard(reached)
     hexed = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
     return found.join(classes, "bits").select(doc_id, hexed, "component_id", "bits", "root")
 
