@@ -64,6 +64,19 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
             return reach
 
 
+def layered_settings(reach: DataFrame, rows: DataFrame) -> DataFrame:
+    """Settings of every file with those of the files it includes: scope, layer, seq, key, value, op.
+
+    ``reach`` comes from :func:`closure`; ``rows`` holds (scope, seq, key, value,
+    op). What lies deeper is applied earlier, a file's own settings (layer 0)
+    last. A file that includes itself by a cycle has its own ones once.
+    """
+    files = rows.select(F.col("scope").alias("root"), F.col("scope").alias("node"), F.lit(0).alias("depth")).distinct()
+    owners = files.unionByName(reach.filter("root <> node").select("root", "node", "depth"))
+    joined = owners.join(rows.withColumnRenamed("scope", "node"), "node")
+    return joined.select(F.col("root").alias("scope"), (-F.col("depth")).alias("layer"), "seq", "key", "value", "op")
+
+
 def include_report(edges: DataFrame, existing: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """Closure with findings per row: ``is_cycle``, ``is_leaf`` (includes nothing) and ``missing``.
 

@@ -168,6 +168,29 @@ walk(root, node, depth) AS (
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth, root = node AS is_cycle, node < 0 AS is_leaf, node < 0 AS missing FROM walk GROUP BY root, node"""
 
 
+def settings_of_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part's settings come to with those it includes: set and appended, the deepest first."""
+    part = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    reach = settings.closure(parts.select(part.alias("src"), F.floor(part / 2).cast("bigint").alias("dst")))
+    rows = parts.select(
+        part.alias("scope"), F.lit(1).alias("seq"), F.concat(F.lit("k"), F.col("p_size") % 3).alias("key"), F.col("p_brand").alias("value"),
+        F.when(part % 4 == 0, "set").otherwise("append").alias("op"),
+    )
+    return settings.append_settings(settings.layered_settings(reach, rows))
+
+
+OF_INCLUDES = """
+WITH RECURSIVE walk(root, node, depth) AS (
+  SELECT p_partkey, p_partkey, 0 FROM part
+  UNION ALL
+  SELECT root, node // 2, depth + 1 FROM walk WHERE node <> 0),
+s AS (SELECT root AS scope, -depth AS layer, 'k' || (p_size % 3) AS "key", p_brand AS value, p_partkey % 4 = 0 AS is_set
+      FROM walk JOIN part ON p_partkey = node),
+live AS (SELECT *, max(CASE WHEN is_set THEN layer END) OVER (PARTITION BY scope, "key") AS reset FROM s)
+SELECT scope, "key", count(value) AS n_values, string_agg(value, ' ' ORDER BY layer) AS value FROM live WHERE reset IS NULL OR layer >= reset GROUP BY 1, 2"""
+
+
 def matrix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("machine"),
@@ -296,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "settings_merge": (settings_merge, MERGE),
     "settings_append": (settings_append, APPEND),
     "include_closure": (include_closure, CLOSURE),
+    "settings_of_includes": (settings_of_includes, OF_INCLUDES),
     "matrix_filter": (matrix_filter, MATRIX),
     "composite_key": (composite_key, COMPOSITE),
     "modifier_parse": (modifier_parse, MODIFIERS),
