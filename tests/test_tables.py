@@ -319,3 +319,12 @@ def test_a_key_with_few_right_and_many_left_rows_is_split(spark):
     right = spark.range(20).select(F.lit(1).alias("k"), F.col("id").alias("v")).unionByName(spark.range(20).select(F.lit(2).alias("k"), F.col("id").alias("v")))
     assert {(r.k, r._parts) for r in hot_keys(left, right, ["k"], 100).collect()} == {(1, 8)}
     assert spread_join(left, right, ["k"], ["id"], 100).count() == 4100 * 20
+
+
+def test_settings_of_included_files_come_first(spark):
+    edges = spark.createDataFrame([("case", "mid"), ("mid", "base"), ("base", "case")], "src string, dst string")
+    rows = [("base", 0, "a", "1", "set"), ("base", 1, "b", "x", "append"), ("mid", 0, "a", "2", "append"), ("case", 0, "a", "3", "append"), ("mid", 1, "c", "m", "set"), ("case", 5, "c", "n", "set")]
+    own = spark.createDataFrame(rows, "scope string, seq int, key string, value string, op string")
+    got = {(r.scope, r.key): r.value for r in settings.append_settings(settings.layered_settings(settings.closure(edges), own)).collect()}
+    assert got[("case", "a")] == "1 2 3" and got[("case", "b")] == "x" and got[("case", "c")] == "n"
+    assert got[("mid", "a")] == "1 2" and got[("mid", "c")] == "m"
