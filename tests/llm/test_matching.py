@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import awkward_rows, classes, fingerprint, frame, overlaps, rows_of
+from cases import awkward_rows, classes, fingerprint, frame, lowered, overlaps, rows_of
 
-from fieldloom.llm import components, decontaminate, line_dedup, secrets, simhash
+import corpus_pipeline
+from fieldloom.llm import components, decontaminate, line_dedup, near_copies, secrets, simhash
 from fieldloom.llm.queries import QUERIES
 from oracle import compare, connect
 
@@ -102,6 +103,57 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def similar(a, b):
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return False
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def kept_by_jaccard(rows):
+    """Ids that stay by comparing the five-word shingles of every text with every other."""
+    sets = []
+    for _, text in rows:
+        w = lowered(text)
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    distinct = list(set(sets))
+    number = {s: k for k, s in enumerate(distinct)}
+    root = classes(range(len(distinct)), lambda a, b: similar(distinct[a], distinct[b]))
+    best = {}
+    for (i, _), s in zip(rows, sets):
+        k = root[number[s]]
+        best[k] = min(best.get(k, (True, 0)), (i is None, i or 0))
+    return Counter(None if none else i for none, i in best.values())
+
+
+def test_near_dedup_stage_against_jaccard(spark, sf_dir, documents):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert Counter(r.doc_id for r in got.collect()) == kept_by_jaccard(documents)
+
+
+def test_near_dedup_of_chains_templates_and_awkward_rows(spark):
+    """Edited copies on both sides of 0.8, chains of them, and texts that share a long common part only."""
+    rng = np.random.default_rng(3)
+    rows, common = [], [f"c{k}" for k in range(80)]
+    for group in range(12):
+        w = [f"g{group}w{k}" for k in range(120)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(w)))
+            for _ in range(int(rng.integers(1, 5))):
+                w[int(rng.integers(0, 120))] = f"n{rng.integers(0, 10**9)}"
+    for group in range(60):
+        rows.append((len(rows), " ".join(common + [f"t{group}x{k}" for k in range(40)])))
+    order = rng.permutation(len(rows))
+    rows = [rows[k] for k in order] + [(1000 + i if i is not None else None, t) for i, t, *_ in awkward_rows()]
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in rows], clashes=True)
+    want = kept_by_jaccard(rows)
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns and Counter(r.doc_id for r in got.collect()) == want
+    assert 75 < sum(want.values()) < 200
+    assert near_copies.keep_one(frame(spark, [])).count() == 0
+
+
 def plain_passages(rows, min_words):
     """(doc_id, start, end) by walking documents in the order of their ids."""
     first, found, cut = {}, set(), {}
