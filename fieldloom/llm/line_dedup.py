@@ -2,8 +2,9 @@
 
 The units are lines, parted further where a sentence ends, as passages are often put into a line of
 another text. A unit is normalised to its lower-cased words. As short units recur by chance, what is
-hashed is a paragraph: from each unit on as many as make ``min_words`` words together. Digests are
-grouped over all documents and the earliest ranked occurrence stays; the units of all others go, runs
+hashed are paragraphs: from each unit on as many as make ``min_words`` words together, and back from each
+unit likewise, so that the end of a passage is found as its beginning is. A text of fewer words is one
+paragraph. Digests are grouped over all documents and the earliest ranked occurrence stays; the units of all others go, runs
 of them together. Offsets are those of the original text, in code points.
 """
 
@@ -39,21 +40,31 @@ def units_of(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def paragraphs_of(text: str, min_words: int) -> list[tuple[int, int, int, int, int, int, bytes]]:
-    """(first unit, last unit, start, end, words before, words up to the end, digest) of the paragraph at each unit.
+    """(first unit, last unit, start, end, words before, words up to the end, digest) of the paragraphs that begin or end at each unit.
 
-    Units near the end of a text, after which too few words follow, begin none.
+    They come in the order of their places, each once. A text of fewer than ``min_words`` words is one paragraph.
     """
     units = units_of(text)
+    if not units:
+        return []
     before = [0]
     for _, _, words in units:
         before.append(before[-1] + len(words))
-    found, last = [], 0
-    for first in range(len(units)):
-        last = max(last, first)
-        while last < len(units) and before[last + 1] - before[first] < min_words:
+    spans, last, first = set(), 0, 0
+    for begin in range(len(units)):
+        last = max(last, begin)
+        while last < len(units) and before[last + 1] - before[begin] < min_words:
             last += 1
         if last == len(units):
             break
+        spans.add((begin, last))
+    for end in range(len(units)):
+        while first < end and before[end + 1] - before[first + 1] >= min_words:
+            first += 1
+        if before[end + 1] - before[first] >= min_words:
+            spans.add((first, end))
+    found = []
+    for first, last in sorted(spans) or [(0, len(units) - 1)]:
         digest = xxhash.xxh3_128_digest(" ".join(w for u in units[first : last + 1] for w in u[2]).encode())
         found.append((first, last, units[first][0], units[last][1], before[first], before[last + 1], digest))
     return found
@@ -85,8 +96,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     A paragraph is kept in the document of the smallest id, at its first place there; documents without an
     id come last, in the order of a hash of their text. ``kept_doc_id`` is the smallest id that keeps a
     paragraph of the passage. Rows that are equal in id and text are one document and give their passages
-    once; rows with the same id are not earlier than one another. Null and empty texts have no units, and
-    a text of fewer than ``min_words`` words no paragraph.
+    once; rows with the same id are not earlier than one another. Null and empty texts have no units.
     """
     key, ident = fresh(docs, "row_key"), fresh(docs, "ident")
     keyed = docs.select(F.col(doc_id).alias(ident), F.col(text).alias("text"), row_key(doc_id, text).alias(key))
@@ -99,7 +109,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
     first = materialize(first.filter("n > 1").drop("n"), "repeated")
     earliest = F.when(F.col("first_id").isNull(), F.col(key) == F.col("first_key")).otherwise(F.coalesce(F.col(ident) == F.col("first_id"), F.lit(False)))
     later = paragraphs.join(first, ["high", "low"]).filter(F.col("again") | ~earliest)
-    later = later.select(ident, key, "number", "last", "start", "end", "words_before", "words_after", "first_id").dropDuplicates([key, "number"])
+    later = later.select(ident, key, "number", "last", "start", "end", "words_before", "words_after", "first_id").dropDuplicates([key, "number", "last"])
 
     # paragraphs that overlap or follow each other are one passage
     in_order = Window.partitionBy(key).orderBy("number")

@@ -190,6 +190,26 @@ def test_repeated_passages_query(spark, sf_dir, documents):
     assert len(got) > 50
 
 
+def test_later_exact_copies_go_whole(spark, documents):
+    """Copies in the given table, and made ones: with a short last sentence, short as a whole, spliced with a short end."""
+    long = " ".join(f"tok{i}" for i in range(25)) + "."
+    made = [(0, f"{long} Short end."), (1, f"{long} Short end."), (2, "Six words stand in here. Only."), (3, "Six words stand in here. Only."), (4, f"Before it. {long} Short end. After it."), (5, "")]
+    for rows in (made, documents):
+        got = {}
+        for r in line_dedup.repeated_passages(frame(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect():
+            got.setdefault(r.doc_id, []).append((r.start, r.end))
+        seen, copies = set(), 0
+        for i, text in sorted(rows):
+            units = line_dedup.units_of(text or "")
+            if units and tuple(tuple(u[2]) for u in units) in seen:
+                copies += 1
+                assert got[i] == [(units[0][0], units[-1][1])]
+            seen.add(tuple(tuple(u[2]) for u in units))
+        assert copies == 2 if rows is made else copies > 50
+        if rows is made:
+            assert [made[4][1][a:b] for a, b in got[4]] == [f"{long} Short end."] and not {0, 2, 5} & set(got)
+
+
 def test_passage_spliced_into_the_middle_of_lines(spark):
     passage = "alpha beta gamma delta. " + " ".join(f"tok{i}" for i in range(15)) + ". " + " ".join(f"more{i}" for i in range(15)) + ". tail end here"
     rows = [(1, f"own start of one {passage} and so on.", "en", "a", 1), (2, f"different beginning {passage} other end.\nlast line.", "en", "a", 1), (3, "clean text. nothing here. at all.", "en", "a", 1)]
