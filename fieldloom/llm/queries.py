@@ -83,10 +83,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns, ["turn", "place"], "conv_id"), ["turn", "place"], "conv_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.repair import damaged, repair_report
+
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 def _sql() -> dict[str, str]:
-    from fieldloom.llm import chat, secrets
+    from fieldloom.llm import chat, repair, secrets
 
-    return {"op7_secrets": secrets.report_sql(), "op8_chat_format": chat.format_sql()}
+    return {"op7_secrets": secrets.report_sql(), "op8_chat_format": chat.format_sql(), "op13_conversation_repair": repair.report_sql()}
 
 
 QUERIES = {
@@ -100,4 +106,5 @@ QUERIES = {
     "op8_chat_format": (op8_chat_format, _sql()["op8_chat_format"]),
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op13_conversation_repair": (op13_conversation_repair, _sql()["op13_conversation_repair"]),
 }
