@@ -89,9 +89,9 @@ class Words:
         self.fresh[again] = False
 
     def numbers(self) -> np.ndarray:
-        """Two numbers of 64 bits for each word in its language."""
+        """Two numbers of 64 bits for each word in its language (hashed with another seed, as a word may be a language's name)."""
         made = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
-        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in self.langs), "<u8").reshape(-1, 2)
+        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode(), 1) for x in self.langs), "<u8").reshape(-1, 2)
         return (made ^ marks[self.lang]) * _MIX[0]
 
     def longer(self, shorter: np.ndarray, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

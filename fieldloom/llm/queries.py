@@ -83,6 +83,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns, ["turn", "place"], "conv_id"), ["turn", "place"], "conv_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldloom.llm.phrases import collocations
 
@@ -96,9 +102,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> dict[str, str]:
-    from fieldloom.llm import chat, phrases, repair, secrets
+    from fieldloom.llm import chat, phrases, pii, repair, secrets
 
-    return {"op7_secrets": secrets.report_sql(), "op8_chat_format": chat.format_sql(), "op12_collocations": phrases.collocations_sql(), "op13_conversation_repair": repair.report_sql()}
+    return {"op7_secrets": secrets.report_sql(), "op8_chat_format": chat.format_sql(), "op11_personal_data": pii.report_sql(), "op12_collocations": phrases.collocations_sql(), "op13_conversation_repair": repair.report_sql()}
 
 
 QUERIES = {
@@ -112,6 +118,7 @@ QUERIES = {
     "op8_chat_format": (op8_chat_format, _sql()["op8_chat_format"]),
     "op9_packing": (op9_packing, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_personal_data": (op11_personal_data, _sql()["op11_personal_data"]),
     "op12_collocations": (op12_collocations, _sql()["op12_collocations"]),
     "op13_conversation_repair": (op13_conversation_repair, _sql()["op13_conversation_repair"]),
 }

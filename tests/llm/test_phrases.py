@@ -74,6 +74,11 @@ def test_hot_phrases_and_odd_separators(spark):
     assert rows_of(phrases.collocations(frame(spark, rows)), *COLUMNS) == listed([(r[2], r[1]) for r in rows])
 
 
+def test_words_that_are_names_of_languages(spark):
+    rows = [(i, "en en en. es es" if i % 2 else "es es es. en en", "en" if i % 2 else "es", "a", 0) for i in range(24)]
+    assert rows_of(phrases.collocations(frame(spark, rows)), *COLUMNS) == listed([(r[2], r[1]) for r in rows])
+
+
 def test_texts_in_parts(monkeypatch):
     """Parts of a text have its phrases, each once, whatever their size."""
     text = ("one two three four five, six seven " * 9 + "averylongwordwithoutanend" * 4 + " x y z. " + "a b " * 30).encode()
