@@ -29,8 +29,9 @@ from fieldloom.session import discard, materialize
 #: Least count of a phrase, its most words, phrases listed for a language, and the share (in percent) of a phrase's
 #: occurrences that lie within a longer phrase and make it needless.
 SUPPORT, MAX_WORDS, LISTED, WITHIN = 10, 3, 2000, 50
-#: Shards: fewer than ``SUPPORT``, or each would hold every phrase that occurs.
-SHARDS = 4
+#: Shards: fewer than ``SUPPORT``, or each would hold every phrase that occurs. Mining a shard is itself spread over
+#: the cluster, so few shards, whose support is high, leave the fewest candidates to count.
+SHARDS = 2
 #: log2 of a candidate bitmap's bits: 8 MB.
 BITMAP_BITS = 26
 #: Bytes of text that are worked on at once, and numbers or words held before a task hands them on.
@@ -42,10 +43,11 @@ RANK_GROUPS = 64
 ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 _MAP = bytes.maketrans((UPPER + ENDS + BLANKS).encode(), (LOWER + "\n" * len(ENDS) + " " * len(BLANKS)).encode())
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_LETTERS = np.random.default_rng(12).integers(0, 1 << 64, (2, 256), np.uint64)
 
 
-def parts_of(text: bytes, max_words: int, size: int = PART) -> Iterator[tuple[list[list[bytes]], int]]:
-    """Pieces of a text as lists of words, in parts of about ``size`` bytes, and how many words the first piece carries over.
+def parts_of(text: bytes, max_words: int, size: int = PART) -> Iterator[tuple[bytes, int]]:
+    """A text, mapped, in parts of about ``size`` bytes, and how many words at a part's begin are the part's before.
 
     A piece longer than a part goes on in the next one, which begins with its last ``max_words - 1`` words again.
     """
@@ -60,45 +62,60 @@ def parts_of(text: bytes, max_words: int, size: int = PART) -> Iterator[tuple[li
                 cut = cut if cut >= 0 else min(x for x in (mapped.find(b" ", end), mapped.find(b"\n", end), len(mapped)) if x >= 0)
                 goes_on = mapped[cut : cut + 1] == b" "
             end = cut + 1
-        pieces = [p.split() for p in mapped[start:end].split(b"\n")]
-        n = len(carried)
-        pieces[0] = carried + pieces[0]
-        carried = pieces[-1][1 - max_words :] if goes_on and max_words > 1 else []
-        yield pieces, n
+        part = b" ".join([*carried, mapped[start:end]])
+        yield part, len(carried)
+        carried = part.rsplit(b"\n", 1)[-1].split()[1 - max_words :] if goes_on and max_words > 1 else []
         start = end
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
+    return x ^ (x >> np.uint64(32))
+
+
 class Words:
-    """The words of some texts in a row: what language, which piece, and whether it is their first time."""
-
-    def __init__(self, parts: list[tuple[int, list[list[bytes]], int]], langs: list[str], max_words: int):
-        self.words: list[bytes] = []
-        lengths, places, again = [], [], []
-        for place, pieces, carried in parts:
-            again += range(len(self.words), len(self.words) + carried)
-            for p in pieces:
-                if p:
-                    self.words += p
-                    lengths.append(len(p))
-                    places.append(place)
-        repeats = np.array(lengths, np.int64)
-        self.piece = np.repeat(np.arange(len(lengths)), repeats)
-        self.lang = np.repeat(np.array(places, np.int64), repeats)
-        self.langs = langs
-        self.fresh = np.ones(len(self.words), bool)
-        self.fresh[again] = False
-
-    def numbers(self) -> np.ndarray:
-        """Two numbers of 64 bits for each word in its language (hashed with another seed, as a word may be a language's name)."""
-        made = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
-        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode(), 1) for x in self.langs), "<u8").reshape(-1, 2)
-        return (made ^ marks[self.lang]) * _MIX[0]
+    """The words of mapped texts of one language: where they begin and end, their pieces, and whether it is their first time."""
+
+    def __init__(self, raw: bytes, lang: str, carried: int = 0):
+        self.raw, self.lang = raw, lang
+        self.bytes = np.frombuffer(raw, np.uint8)
+        inside = np.concatenate([[False], (self.bytes != 32) & (self.bytes != 10), [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.begin, self.end = edges[::2], edges[1::2]
+        self.piece = np.cumsum(self.bytes == 10)[self.begin]
+        self.fresh = np.arange(len(self.begin)) >= carried
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def numbers(self, lanes: int = 2) -> np.ndarray:
+        """One or two numbers of 64 bits for each word in its language: sums of a random number for each byte, times
+        one for its place in the word."""
+        if not len(self):
+            return np.zeros((0, lanes), np.uint64)
+        length = self.end - self.begin
+        total = int(length.sum())
+        firsts = np.concatenate([[0], np.cumsum(length)[:-1]])
+        place = np.arange(total) - np.repeat(firsts, length)
+        letters = self.bytes[place + np.repeat(self.begin, length)]
+        place = place.astype(np.uint64)
+        mark = np.frombuffer(xxhash.xxh3_128_digest(self.lang.encode()), "<u8")
+        made = []
+        for k in range(lanes):
+            times = _mixed(place + np.uint64(1 + k)) | np.uint64(1)
+            sums = np.add.reduceat(_LETTERS[k][letters] * times, firsts)
+            made.append(_mixed(sums ^ mark[k]))
+        return np.column_stack(made)
 
     def longer(self, shorter: np.ndarray, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of what ``n`` words from each place on say, from those of one word fewer, and which of them lie in a piece."""
-        m = max(len(self.words) - n + 1, 0)
+        m = max(len(self) - n + 1, 0)
         made = (shorter[:m] ^ (shorter[:m] >> np.uint64(31))) * _MIX[1] + numbers[n - 1 :]
-        return made ^ (made >> np.uint64(29)), (self.piece[:m] == self.piece[n - 1 :]) & self.fresh[n - 1 :]
+        return made ^ (made >> np.uint64(29)), self.piece[:m] == self.piece[n - 1 :]
+
+    def phrase(self, place: int, n: int) -> bytes:
+        return b" ".join(self.raw[self.begin[place] : self.end[place + n - 1]].split())
 
 
 class Bitmap:
@@ -122,21 +139,18 @@ def bitmap(numbers: DataFrame) -> Broadcast:
     return numbers.sparkSession.sparkContext.broadcast(Bitmap(whole))
 
 
-def _worked(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[Words]:
-    """The words of all rows (lang, text), some texts or a part of one at a time."""
+def _worked(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[bytes, str, int]]:
+    """The mapped texts of all rows (lang, text) with their language, some texts or a part of one at a time (see ``parts_of``)."""
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
         for a, b in byte_slices(texts, PART):
-            kept = sorted(set(langs[a:b]))
-            place = {x: i for i, x in enumerate(kept)}
-            held = []
+            if b - a == 1:
+                yield from ((part, langs[a], carried) for part, carried in parts_of(texts[a], max_words))
+                continue
+            by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(langs[a:b], texts[a:b]):
-                for pieces, carried in parts_of(text, max_words):
-                    held.append((place[lang], pieces, carried))
-                    if len(text) > PART:
-                        yield Words(held, kept, max_words)
-                        held = []
-            yield Words(held, kept, max_words)
+                by_lang.setdefault(lang, []).append(text)
+            yield from ((b"\n".join(own).translate(_MAP), lang, 0) for lang, own in by_lang.items())
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -148,18 +162,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, found in counts.items():
                 words = list(found)
-                ws = Words([(0, [words], 0)], [lang], 1)
-                numbers = ws.numbers()[:, 0] if words else np.zeros(0, np.uint64)
+                numbers = Words(b" ".join(words), lang).numbers(1)[:, 0]
                 arrays = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(numbers.view(np.int64)), pa.array(found.values(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "number", "n"])
             counts.clear()
 
-        for words in _worked(batches, 1):
-            if not words.words:
-                continue
-            ends = np.flatnonzero(np.diff(words.lang)) + 1
-            for a, b in zip([0, *ends], [*ends, len(words.words)]):
-                counts.setdefault(words.langs[words.lang[a]], Counter()).update(words.words[a:b])
+        for raw, lang, _ in _worked(batches, 1):
+            counts.setdefault(lang, Counter()).update(raw.split())
             if sum(map(len, counts.values())) > HELD // 2:
                 yield from out()
         yield from out()
@@ -170,14 +179,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _orders(words: Words, known: list[Broadcast], top: int, lanes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For 2 words up to ``top``: n, the phrases' numbers by place, and where both parts of n - 1 words are candidates."""
-    numbers = words.numbers()[:, :lanes]
+    numbers = words.numbers(lanes)
     now, good = numbers, known[0].value.has(numbers[:, 0])
     for n in range(2, top + 1):
-        if len(words.words) < n:
+        if len(words) < n:
             return
-        now, is_phrase = words.longer(now, numbers, n)
-        good = is_phrase & good[:-1] & good[1:]
-        yield n, now, good
+        now, in_piece = words.longer(now, numbers, n)
+        good = in_piece & good[:-1] & good[1:]
+        yield n, now, good & words.fresh[n - 1 :]
         if n < top:
             good = good & known[n - 1].value.has(now[:, 0])
 
@@ -189,10 +198,12 @@ def mined(texts: DataFrame, n: int, known: list[Broadcast], local_support: int)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, numbers, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        shard, held, size = 0, [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), shard or 0, np.int32)), pa.array(numbers.view(np.int64)), pa.array(counts)], names=["shard", "number", "n"])
+            numbers, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), shard, np.int32)), pa.array(numbers.view(np.int64)), pa.array(counts)], names=["shard", "number", "n"])
 
         def seen() -> Iterator[pa.RecordBatch]:
             nonlocal shard
@@ -201,17 +212,14 @@ def mined(texts: DataFrame, n: int, known: list[Broadcast], local_support: int)
                     shard = batch.column(2)[0].as_py()
                 yield batch
 
-        for words in _worked(seen(), n):
-            for order, now, good in _orders(words, known, n, 1):
-                if order < n:
-                    continue
-                new, times = np.unique(now[good, 0], return_counts=True)
-                both = np.concatenate([numbers, new])
-                numbers, where = np.unique(both, return_inverse=True)
-                counts = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(numbers)).astype(np.int64)
-            if len(numbers) > HELD:
+        for raw, lang, carried in _worked(seen(), n):
+            for order, now, good in _orders(Words(raw, lang, carried), known, n, 1):
+                if order == n:
+                    held.append(now[good, 0])
+                    size += len(held[-1])
+            if size > 2 * HELD:
                 yield out()
-                numbers, counts = numbers[:0], counts[:0]
+                size = 0
         yield out()
 
     found = reachable(texts).mapInArrow(run, "shard int, number long, n long")
@@ -230,7 +238,8 @@ def counted(texts: DataFrame, known: list[Broadcast], max_words: int) -> DataFra
             counts.clear()
             return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "words", "n"])
 
-        for words in _worked(batches, max_words):
+        for raw, lang, carried in _worked(batches, max_words):
+            words = Words(raw, lang, carried)
             for n, now, good in _orders(words, known, max_words, 2):
                 at = np.flatnonzero(good)
                 at = at[known[n - 1].value.has(now[at, 0])]
@@ -239,8 +248,8 @@ def counted(texts: DataFrame, known: list[Broadcast], max_words: int) -> DataFra
                     # two phrases of one number: 128 bits tell them apart
                     _, first, times = np.unique(now[at], axis=0, return_index=True, return_counts=True)
                 for i, k in zip(at[first].tolist(), times.tolist()):
-                    counts[words.langs[words.lang[i]], b" ".join(words.words[i : i + n]), n] += k
-            if len(counts) > HELD // 4:
+                    counts[lang, words.phrase(i, n), n] += k
+            if len(counts) > HELD // 2:
                 yield out()
         yield out()
 

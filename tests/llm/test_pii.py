@@ -129,6 +129,7 @@ PEOPLE = [
     *(f"call dentist Quorl or +1 (974) 555-3436 (extension k{i}) before noon" for i in range(6)),
     *(f"the dentist of {x} is away" for x in ("Rome", "Oslo", "Bern", "Kyiv")),
     "see the dental notes", "Brigittine nuns", "Brisk walk " * 20, "dentist " * 30, "Quorn", "Brigade brim brick", "dental dent denture",
+    *(["please write to the people at noon and call about a case before extension or away"] * 40),
     *(["mirror copy ip 10.0.0.7 of the Zebedee node"] * 6),
     *(f"ip 10.0.0.{i} then 010.0.0.{i}; x Node{i} +{i}0 12 34 56 78 90 " + "y" * 90 for i in range(3)),
 ]
