@@ -136,3 +136,25 @@ def overlaps(docs, items, size=13, agree=0.8):
                     found.add((i, j))
                     break
     return found
+
+
+def similar(a, b):
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return False
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def kept_by_jaccard(rows):
+    """Ids that stay by comparing the five-word shingles of every text with every other."""
+    sets = []
+    for _, text in rows:
+        w = lowered(text)
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    distinct = list(set(sets))
+    number = {s: k for k, s in enumerate(distinct)}
+    root = classes(range(len(distinct)), lambda a, b: similar(distinct[a], distinct[b]))
+    best = {}
+    for (i, _), s in zip(rows, sets):
+        k = root[number[s]]
+        best[k] = min(best.get(k, (True, 0)), (i is None, i or 0))
+    return Counter(None if none else i for none, i in best.values())

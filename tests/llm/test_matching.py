@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import awkward_rows, classes, fingerprint, frame, lowered, overlaps, rows_of
+from cases import awkward_rows, classes, fingerprint, frame, kept_by_jaccard, lowered, overlaps, rows_of
 
 import corpus_pipeline
 from fieldloom.llm import components, decontaminate, line_dedup, near_copies, secrets, simhash
@@ -103,28 +103,6 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def similar(a, b):
-    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
-        return False
-    return len(a & b) >= 0.8 * len(a | b)
-
-
-def kept_by_jaccard(rows):
-    """Ids that stay by comparing the five-word shingles of every text with every other."""
-    sets = []
-    for _, text in rows:
-        w = lowered(text)
-        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
-    distinct = list(set(sets))
-    number = {s: k for k, s in enumerate(distinct)}
-    root = classes(range(len(distinct)), lambda a, b: similar(distinct[a], distinct[b]))
-    best = {}
-    for (i, _), s in zip(rows, sets):
-        k = root[number[s]]
-        best[k] = min(best.get(k, (True, 0)), (i is None, i or 0))
-    return Counter(None if none else i for none, i in best.values())
-
-
 def test_near_dedup_stage_against_jaccard(spark, sf_dir, documents):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
@@ -154,20 +132,78 @@ def test_near_dedup_of_chains_templates_and_awkward_rows(spark):
     assert near_copies.keep_one(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("radius", [0, 3, 100, 375, 1000])
+def test_lanes_within_a_radius(radius):
+    """Carry-save counters against the count of differing bits, for lanes that share most bits or few."""
+    rng = np.random.default_rng(radius)
+    bits = rng.integers(0, 1 << 64, (90, near_copies.BITS // 64), np.uint64)
+    for i in range(1, 60):
+        bits[i] = bits[i - 1]
+        for k in rng.integers(0, near_copies.BITS, int(rng.integers(0, 2 * radius + 2))):
+            bits[i, k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    vertical = near_copies.planes(bits)
+    for shift in (1, 2, 7, 50):
+        alive = rng.random(90 - shift) < 0.8
+        got = simhash.from_lanes(near_copies.within(vertical, shift, simhash.to_lanes(alive), radius), 90)
+        apart = np.bitwise_count(bits[:-shift] ^ bits[shift:]).sum(1)
+        assert got.tolist() == np.flatnonzero(alive & (apart <= radius)).tolist()
+
+
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 300])
+def test_templates_make_no_rows_of_pairs(spark, bucket):
+    """2000 texts that have 200 of 260 words in common, no two of them similar enough: candidates stay few."""
+    rng = np.random.default_rng(8)
+    common, rows = [f"c{k}" for k in range(200)], []
+    for i in range(2000):
+        own = [f"t{i}x{k}" for k in range(60)]
+        at = int(rng.integers(0, 5)) * 40
+        rows.append((i, " ".join(common[:at] + own + common[at:]), "en", "a", 1))
+    docs = frame(spark, rows).repartition(8)
+    sets = [near_copies.shingles_of(r[1].encode(), 5) for r in rows]
+    schema = "key long, node string, size long, root string, bits array<long>"
+    nodes = [near_copies._node(x) for x in sets]
+    met = spark.createDataFrame([(1, n, len(x), n, near_copies.fingerprint_of(x).view(np.int64).tolist()) for n, x in zip(nodes, sets)], schema)
+    assert near_copies.met_pairs(met, 0.8, bucket).count() <= 2 * len(rows)
+    assert near_copies.keep_one(docs, bucket=bucket).count() == 2000
+
+
+def test_recall_of_candidates_by_similarity():
+    """Of pairs of each band of similarity from 0.8 on, nearly all share a key and lie within the radius."""
+    rng = np.random.default_rng(9)
+    for size in (6, 20, 60, 200, 3000):
+        tried = found = 0
+        for _ in range(250 if size < 1000 else 40):
+            share = rng.uniform(0.8, 0.98)
+            common = int(np.ceil(2 * share / (1 + share) * size))
+            x = rng.integers(0, 1 << 64, 2 * size - common, np.uint64)
+            a, b = np.sort(x[:size]), np.sort(x[size - common :])
+            both = len(np.intersect1d(a, b))
+            if both < 0.8 * (len(a) + len(b) - both):
+                continue
+            tried += 1
+            apart = int(np.bitwise_count(near_copies.fingerprint_of(a) ^ near_copies.fingerprint_of(b)).sum())
+            shared = (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
+            found += bool(shared and apart <= near_copies.radius_of(0.8, min(len(a), len(b)) < near_copies.SMALL))
+        assert tried and found >= 0.99 * tried, (size, found, tried)
+
+
 def plain_passages(rows, min_words):
     """(doc_id, start, end) by walking documents in the order of their ids."""
     first, found, cut = {}, set(), {}
     distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
     for i, text in distinct:
         units = line_dedup.units_of(text or "")
-        cut[i, text] = spans = []
+        counts = [len(u[2]) for u in units]
+        spans = set()
         for a in range(len(units)):
-            b = a
-            while b < len(units) and sum(len(u[2]) for u in units[a : b + 1]) < min_words:
-                b += 1
-            if b < len(units):
-                spans.append((a, b, tuple(w for u in units[a : b + 1] for w in u[2])))
-        for *_, words in spans:
+            reached = [b for b in range(a, len(units)) if sum(counts[a : b + 1]) >= min_words][:1]
+            spans.update((a, b) for b in reached)
+            reached = [b for b in range(a, -1, -1) if sum(counts[b : a + 1]) >= min_words][:1]
+            spans.update((b, a) for b in reached)
+        if units and not spans:
+            spans = {(0, len(units) - 1)}
+        cut[i, text] = [(a, b, tuple(w for u in units[a : b + 1] for w in u[2])) for a, b in sorted(spans)]
+        for *_, words in cut[i, text]:
             first.setdefault(words, i)
     for i, text in distinct:
         units, seen, gone = line_dedup.units_of(text or ""), set(), set()
