@@ -32,10 +32,10 @@ SUPPORT, MAX_WORDS, LISTED, WITHIN = 10, 3, 2000, 50
 #: Shards: fewer than ``SUPPORT``, or each would hold every phrase that occurs. Mining a shard is itself spread over
 #: the cluster, so few shards, whose support is high, leave the fewest candidates to count.
 SHARDS = 2
-#: log2 of a candidate bitmap's bits: 8 MB.
-BITMAP_BITS = 26
+#: log2 of a candidate bitmap's bits: 16 MB.
+BITMAP_BITS = 27
 #: Bytes of text that are worked on at once, and numbers or words held before a task hands them on.
-PART, HELD = 1 << 22, 1_000_000
+PART, HELD = 1 << 22, 1_250_000
 #: Groups in which a language's phrases are ranked before they meet.
 RANK_GROUPS = 64
 
@@ -230,13 +230,13 @@ def counted(texts: DataFrame, known: list[Broadcast], max_words: int) -> DataFra
     """``lang, phrase, words, n``: exact counts of all candidates of 2 to ``max_words`` words, each by its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[tuple[str, int], dict[bytes, int]] = {}
 
-        def out() -> pa.RecordBatch:
-            keys = list(counts)
-            arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "words", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, n), found in counts.items():
+                arrays = [pa.array([lang] * len(found), pa.string()), pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(found.values(), pa.int64())]
+                found.clear()
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "words", "n"])
 
         for raw, lang, carried in _worked(batches, max_words):
             words = Words(raw, lang, carried)
@@ -247,11 +247,13 @@ def counted(texts: DataFrame, known: list[Broadcast], max_words: int) -> DataFra
                 if (now[at, 1] != now[at[first], 1][where]).any():
                     # two phrases of one number: 128 bits tell them apart
                     _, first, times = np.unique(now[at], axis=0, return_index=True, return_counts=True)
+                found = counts.setdefault((lang, n), {})
                 for i, k in zip(at[first].tolist(), times.tolist()):
-                    counts[lang, words.phrase(i, n), n] += k
-            if len(counts) > HELD // 2:
-                yield out()
-        yield out()
+                    phrase = words.phrase(i, n)
+                    found[phrase] = found.get(phrase, 0) + k
+            if sum(map(len, counts.values())) > HELD:
+                yield from out()
+        yield from out()
 
     made = reachable(texts).mapInArrow(run, "lang string, phrase string, words int, n long")
     return made.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
