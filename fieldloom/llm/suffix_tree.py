@@ -177,18 +177,18 @@ def grow(length: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndar
     code[seen] = np.arange(len(seen))
     width = alphabet + 1
 
-    spelled: dict[bytes, int] = {}
-    keys = list(zip(length.tolist(), context.tolist()))
-    for k in sorted(set(keys) | {(0, 0)}):
-        spelled[k[1].to_bytes(depth, "big")[depth - k[0] :]] = len(spelled)
-    row = np.array([spelled[c.to_bytes(depth, "big")[depth - k :]] for k, c in keys], int)
-    counts = np.zeros((len(spelled), alphabet))
-    counts[row, code[symbol]] = n
-    p = np.empty_like(counts)
-    for name, i in spelled.items():  # shorter ones come first
-        below = p[spelled[name[1:]]] if name else np.append(np.full(len(seen), 1 / 256), 1 / 256)
-        p[i] = (counts[i] + prior * below) / (counts[i].sum() + prior)
-    log10p = np.log10(p)
+    # contexts from short to long, the empty one among them; one number for a context's length and bytes
+    marks, row = np.unique(np.append(length << 48 | context, 0), return_inverse=True)
+    names = [(m & (1 << 48) - 1).to_bytes(depth, "big")[depth - (m >> 48) :] for m in marks.tolist()]
+    spelled = {name: i for i, name in enumerate(names)}
+    log10p = np.zeros((len(names), alphabet), np.float32)
+    log10p[row[:-1], code[symbol]] = n
+    total = np.bincount(row[:-1], weights=n, minlength=len(names))
+    # in place: counts become probabilities, shorter contexts first, and then their logarithms
+    for i, name in enumerate(names):
+        below = log10p[spelled[name[1:]]] if name else np.float32(1 / 256)
+        log10p[i] = (log10p[i] + np.float32(prior) * below) / np.float32(total[i] + prior)
+    np.log10(log10p, out=log10p)
 
     # states: every beginning of a retained context; its distribution is that of its longest retained ending
     names = sorted({c[:k] for c in spelled for k in range(len(c) + 1)}, key=lambda x: (len(x), x))
