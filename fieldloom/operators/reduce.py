@@ -162,16 +162,30 @@ def _calendar_start(freq: Cal, calendar: str, time: Column) -> Column:
     return start
 
 
+# Fixed values of the stop option below: nsteps, ndays, nmonths, nyears.
+
+
+def _first_steps(history: DataFrame, begin: Column, n: int, ts: str, step: str, by: Sequence[str]) -> DataFrame:
+    """The samples of n steps, counted for each of ``by`` from its first step at or after ``begin``."""
+    rest = history.filter((F.col(ts) >= begin) & F.col(step).isNotNull())
+    key = F.struct(F.lit(0).alias("_0"), *by)
+    first = rest.groupBy(F.hash(F.to_json(key)).alias("_key"), *(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.min(step).alias("_first"))
+    met = [F.hash(F.to_json(key)) == F.col("_key"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)]
+    condition = fold(lambda a, b: a & b, met)
+    return rest.join(first, condition).filter(F.col(step) < F.col("_first") + n).select(*history.columns)
+
+
 def run_window(
-    history: DataFrame, start: str, option: str, n: int, calendar: str = "gregorian", ts: str = "ts", step: str = "step"
+    history: DataFrame, start: str, option: str, n: int, calendar: str = "gregorian", ts: str = "ts", step: str = "step", by: Sequence[str] | None = None
 ) -> DataFrame:
-    """Samples of one run segment: ``[start, start + n units)``, or the first n steps after start.
+    """Samples of one run segment: ``[start, start + n units)``, or the first n steps from start on.
 
-    The bounds are constants after folding, so the filter reaches the scan.
+    Steps are counted from the first one at or after the start, for each member (or each of ``by``). Other bounds
+    are constants after folding, so the filter reaches the scan.
     """
     begin = F.to_timestamp_ntz(F.lit(start))
     if option == "nsteps":
-        return history.filter((F.col(ts) >= begin) & (F.col(step) <= n))
+        return _first_steps(history, begin, n, ts, step, [c for c in ("member",) if c in history.columns] if by is None else by)
     if calendar == "noleap" and re.match(r"\d+-02-29", start):
         raise ValueError("29 February has no place in the 365-day calendar")
     first = begin.cast("date")

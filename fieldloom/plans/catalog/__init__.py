@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fieldloom.plans.catalog.adapters import Query
 
-MODULES = ["tapes", "sources", "ensembles", "comparison", "enrich", "rule_tables", "mapping", "reports", "jobs"]
+MODULES = ["tapes", "segments", "sources", "ensembles", "comparison", "enrich", "rule_tables", "mapping", "reports", "jobs"]
 
 
 def all_queries() -> dict[str, Query]:
