@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.exact import exact_sum, micros
-from fieldloom.operators.ordered import carry, ordered_slices
+from fieldloom.operators.ordered import nearest
 
 
 def remap(
@@ -83,27 +83,24 @@ def _timeline(requests: DataFrame, series: DataFrame, keys: Sequence[str]) -> Da
 ORDER = ("ts", "_asked", "req_id")
 
 
-def asof(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",)) -> DataFrame:
+def asof(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",), rows: int | None = None) -> DataFrame:
     """Latest sample not after each request: (keys, req_id, ts, lo_ts, lo_value).
 
-    ``requests`` holds (keys, ts, req_id) with unique req_id, ``series`` one
-    value per (keys, ts). Range slices keep any number of rows per key balanced.
+    ``requests`` holds (keys, ts, req_id) with unique req_id, ``series`` one value per (keys, ts). Time is cut into
+    buckets of about ``rows`` rows, so any number of rows per key is spread. A time that is unknown meets nothing.
     """
-    sliced = ordered_slices(_timeline(requests, series, keys), keys, ORDER, "asof")
-    found = carry(sliced, keys, ORDER, F.col("_asked") == 0, "_value", "_lo")
+    found = nearest(_timeline(requests, series, keys), keys, ORDER, F.col("_asked") == 0, "_value", rows=rows)
     return found.filter(F.col("_asked") == 1).select(
-        *keys, "req_id", "ts", F.col("_lo.ts").alias("lo_ts"), F.col("_lo.value").alias("lo_value")
+        *keys, "req_id", "ts", F.col("before.ts").alias("lo_ts"), F.col("before.value").alias("lo_value")
     )
 
 
-def interp(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",)) -> DataFrame:
-    """Linear in time between the bracketing samples; null outside the series."""
-    sliced = ordered_slices(_timeline(requests, series, keys), keys, ORDER, "interp")
-    known = F.col("_asked") == 0
-    below = carry(sliced, keys, ORDER, known, "_value", "_lo")
-    both = carry(below, keys, ORDER, known, "_value", "_hi", forward=False, source=sliced).filter(F.col("_asked") == 1)
-    t, t0, t1 = micros(F.col("ts")), micros(F.col("_lo.ts")), micros(F.col("_hi.ts"))
-    v0, v1 = F.col("_lo.value"), F.col("_hi.value")
+def interp(requests: DataFrame, series: DataFrame, keys: Sequence[str] = ("field",), rows: int | None = None) -> DataFrame:
+    """Linear in time between the bracketing samples; null outside the series, and for a time that is unknown."""
+    both = nearest(_timeline(requests, series, keys), keys, ORDER, F.col("_asked") == 0, "_value", ("before", "after"), rows)
+    both = both.filter(F.col("_asked") == 1)
+    t, t0, t1 = micros(F.col("ts")), micros(F.col("before.ts")), micros(F.col("after.ts"))
+    v0, v1 = F.col("before.value"), F.col("after.value")
     value = F.when(t == t0, v0).otherwise(v0 + (v1 - v0) * ((t - t0) / F.nullif(t1 - t0, F.lit(0).cast("bigint"))))
     return both.select(
         *keys, "req_id", "ts", v0.alias("lo_value"), v1.alias("hi_value"), value.alias("value")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import pathlib
 import random
 
 import pytest
@@ -14,6 +15,7 @@ from fieldloom.functions import codes
 from fieldloom.operators import audits, compare, fields, reports, rules, settings
 from fieldloom.operators.ordered import number_steps
 from fieldloom.operators.skew import hot_keys, spread_join
+from fieldloom.session import shared_dir
 
 
 def day(text):
@@ -328,3 +330,56 @@ def test_settings_of_included_files_come_first(spark):
     got = {(r.scope, r.key): r.value for r in settings.append_settings(settings.layered_settings(settings.closure(edges), own)).collect()}
     assert got[("case", "a")] == "1 2 3" and got[("case", "b")] == "x" and got[("case", "c")] == "n"
     assert got[("mid", "a")] == "1 2" and got[("mid", "c")] == "m"
+
+
+def plain_nearest(requests, series):
+    """(req_id, latest time not after it, earliest one after it) by looking at every sample."""
+    found = set()
+    for key, ts, req in requests:
+        known = [t for k, t, _ in series if k == key and t is not None]
+        found.add((req, max((t for t in known if ts is not None and t <= ts), default=None), min((t for t in known if ts is not None and t > ts), default=None)))
+    return found
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100_000])
+def test_nearest_samples_across_buckets(spark, rows):
+    """Keys that are null, samples and requests in bursts, without a time, and outside the series."""
+    rng = random.Random(rows)
+    begin = dt.datetime(2024, 1, 1)
+    times = [begin + dt.timedelta(seconds=rng.choice([rng.randrange(10**6), 5])) for _ in range(120)]
+    series = [(k, t, float(n)) for k in ("a", None) for n, t in enumerate(sorted(set(times[:60])))] + [("a", None, -1.0)]
+    requests = [(rng.choice(["a", "b", None]), rng.choice([*times, None]), n) for n in range(150)]
+    asked = spark.createDataFrame(requests, "field string, ts timestamp_ntz, req_id long")
+    known = spark.createDataFrame(series, "field string, ts timestamp_ntz, value double")
+    want = plain_nearest(requests, series)
+    got = fields.asof(asked, known, rows=rows).collect()
+    assert {(r.req_id, r.lo_ts) for r in got} == {(q, lo) for q, lo, _ in want} and len(got) == len(requests)
+    value = {(k, t): v for k, t, v in series}
+    both = fields.interp(asked, known, rows=rows).collect()
+    at = {q: k for k, _, q in requests}
+    assert {(r.req_id, r.lo_value, r.hi_value) for r in both} == {(q, value.get((at[q], lo)) if lo else None, value.get((at[q], hi)) if hi else None) for q, lo, hi in want}
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "date", "long", "string"])
+def test_numbers_across_buckets(spark, kind):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", None]), None if n % 20 == 0 else rng.randrange(300), n) for n in range(400)]
+    base = spark.createDataFrame(rows, "field string, at int, id long")
+    at = {"timestamp_ntz": "timestamp_ntz'2024-01-01' + make_dt_interval(at)", "date": "date_add(date'2024-01-01', at)", "long": "cast(at as bigint)", "string": "lpad(at, 5, '0')"}[kind]
+    got = {r.id: r.step for r in number_steps(base.withColumn("t", F.expr(at)), ["field"], ["t", "id"], rows=9).collect()}
+    for key in ("a", None):
+        own = sorted(((a is not None, a or 0, n) for k, a, n in rows if k == key))
+        assert [got[n] for *_, n in own] == list(range(1, len(own) + 1))
+
+
+def test_one_key_of_ten_million_rows(spark):
+    """No task gets the key as a whole, and nothing is written before the result."""
+    rows = spark.range(10_000_000).select(F.lit("hot").alias("field"), F.expr("timestamp_ntz'2000-01-01' + make_dt_interval(0, 0, 0, id * 7919 % 10000000)").alias("ts"), "id")
+    before = len(list(pathlib.Path(shared_dir(spark)).rglob("part-*")))
+    known = rows.filter("id % 10 = 0").select("field", "ts", F.col("id").cast("double").alias("value"))
+    asked = rows.filter("id % 10 <> 0").select("field", "ts", F.col("id").alias("req_id"))
+    found = fields.asof(asked, known)
+    assert len(list(pathlib.Path(shared_dir(spark)).rglob("part-*"))) == before
+    largest, n, wrong = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.expr("lo_ts > ts OR ts - lo_ts >= interval 10 minutes")).alias("wrong")).agg(F.max("n"), F.sum("n"), F.sum("wrong")).first()
+    assert n == 9_000_000 and largest < 4_000_000
+    assert wrong == 0
