@@ -178,7 +178,7 @@ def version_key(parts: Column) -> Column:
 
 
 def extract_cost(note: Column) -> Column:
-    """``18 ypd/ 8530 pe-hrs/simyr expected`` -> struct(ypd, pe_hours)."""
+    """``12.5 ypd and 640 pe-hrs`` -> struct(ypd, pe_hours)."""
     number = r"(\d+(?:\.\d+)?)"
     return F.struct(
         F.regexp_extract(note, number + r"\s*ypd", 1).try_cast("double").alias("ypd"),

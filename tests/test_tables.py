@@ -274,10 +274,10 @@ def test_cycling(spark):
 
 
 def test_footprint_flags_the_note_that_disagrees(spark):
-    parts = spark.createDataFrame([("XL", 0, 5400), ("XL", 5504, 896), ("M", 0, 3200), ("M", 3328, 896)], "layout string, root int, ntasks int")
-    notes = spark.createDataFrame([("XL", "18 ypd/ 8530 pe-hrs/simyr expected"), ("M", "10 ypd/ 7000 pe-hrs/simyr expected")], "layout string, note string")
+    parts = spark.createDataFrame([("wide", 0, 300), ("wide", 310, 90), ("slim", 0, 40), ("slim", 25, 35)], "layout string, root int, ntasks int")
+    notes = spark.createDataFrame([("wide", "about 12 ypd/ 801 pe-hrs/simyr"), ("slim", "about 5 ypd/ 350 pe-hrs/simyr")], "layout string, note string")
     got = {r.layout: (r.footprint, round(r.recomputed), r.agrees) for r in reports.footprint(parts, notes).collect()}
-    assert got == {"XL": (6400, 8533, True), "M": (4224, 10138, False)}
+    assert got == {"wide": (400, 800, True), "slim": (60, 288, False)}
 
 
 @pytest.mark.parametrize("rows_per_task", [3, 20_000])
@@ -383,3 +383,30 @@ def test_one_key_of_ten_million_rows(spark):
     largest, n, wrong = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_if(F.expr("lo_ts > ts OR ts - lo_ts >= interval 10 minutes")).alias("wrong")).agg(F.max("n"), F.sum("n"), F.sum("wrong")).first()
     assert n == 9_000_000 and largest < 4_000_000
     assert wrong == 0
+
+
+@pytest.mark.parametrize("group_rows", [2, 512])
+def test_nested_and_very_long_ranges(spark, group_rows):
+    """Ranges within ranges, one over everything, repeated places, empty ranges, null groups, equal ids."""
+    rng = random.Random(6)
+    rows = [("a", 0, 0, 10**9), ("a", 1, -(10**12), 10**12), ("a", 2, 5, 5), ("a", 3, 9, 2), (None, 4, 0, 9), (None, 5, 0, 9), ("b", 6, 0, 9), ("b", 6, 3, 5)]
+    for n in range(7, 160):
+        lo = rng.choice([rng.randrange(400), 50])
+        rows.append((rng.choice("ab"), n, lo, lo + rng.choice([1, 2, 3, 30, 1000])))
+    df = spark.createDataFrame(rows, "g string, id long, lo long, hi long")
+    want = []
+    for x, y in itertools.combinations([r for r in rows if r[0] and r[2] < r[3]], 2):
+        if x[0] == y[0] and x[1] != y[1] and x[2] < y[3] and y[2] < x[3]:
+            want.append((x[0], min(x[1], y[1]), max(x[1], y[1]), max(x[2], y[2]), min(x[3], y[3])))
+    got = [tuple(r) for r in reports.overlaps(df, ["g"], "lo", "hi", "id", group_rows).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_overlaps_of_a_group_with_all_the_rows(spark):
+    """Half a million short ranges under a few long ones: as many rows as overlap, and no others."""
+    rows = spark.range(500_000).select(F.lit(1).alias("g"), "id", (F.col("id") * 3).alias("lo"), F.when(F.col("id") % 100_000 == 7, F.col("id") * 3 + 200_000).otherwise(F.col("id") * 3 + 4).alias("hi"))
+    found = reports.overlaps(rows, ["g"], "lo", "hi", "id")
+    long = 5 * ((200_000 - 1) // 3)
+    last = sum(min(499_999, i + 66_666) - i for i in range(7, 500_000, 100_000))
+    assert found.count() == (500_000 - 1 - 5) + last and long >= last
+    assert found.filter("shared_lo >= shared_hi").isEmpty()
