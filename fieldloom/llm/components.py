@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node in ``links`` (a, b): the smallest node that links reach.
 
     Rounds end when one changes nothing: then every node hangs on its root. Each round is written to
-    the shared folder, and the one before it removed. Nodes are numbers; links with a null and links
+    the shared folder, and the one before it removed. Nodes are anything that has an order; links with a null and links
     of a node to itself are ignored; repeated links count once.
     """
     order = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -33,8 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Bits of a fingerprint, standard deviations that the radius allows, and the size under which sets differ in more bits.
 BITS, DEVIATIONS, SMALL = 2048, 4, 64
-#: Rounds in which the nodes of a bucket are compared with one of them only.
-STARS = 2
+#: Rounds in which the nodes of a bucket are compared with one of them only, by so many bits.
+STARS, HEAD_BITS = 2, 512
 #: Nodes of a bucket that are compared in one place, and lanes compared at once.
 BUCKET, LANES = 2048, 8192
 
@@ -74,21 +74,21 @@ def fingerprint_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
 
 
-def radius_of(similarity: float, small: bool) -> int:
-    """Differing bits that two sets of that similarity hardly ever exceed; small sets often have ties."""
+def radius_of(similarity: float, small: bool, bits: int = BITS) -> int:
+    """Differing ``bits`` that two sets of that similarity hardly ever exceed; small sets often have ties."""
     share = max(math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, 0.1875 if small and similarity < 1 else 0)
-    return min(BITS, int(BITS * share + DEVIATIONS * math.sqrt(BITS * share * (1 - share))))
+    return min(bits, int(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))))
 
 
-def _node(hashes: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(hashes.tobytes())
+def _node(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _sketches(shingle: int):
     def work(texts: list[bytes | None]) -> list[pa.Array]:
         sets = [shingles_of(t, shingle) for t in texts]
         keys = [band_keys(s).view(np.int64) if len(s) else None for s in sets]
-        return [pa.array([_node(s) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return [pa.array([_node(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
 
     return work
 
@@ -96,8 +96,8 @@ def _sketches(shingle: int):
 def _sets(shingle: int):
     def work(texts: list[bytes | None]) -> list[pa.Array]:
         sets = [shingles_of(t, shingle) for t in texts]
-        bits = [fingerprint_of(s).view(np.int64) for s in sets]
-        return [pa.array([_node(s) for s in sets], pa.string()), pa.array(bits, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
+        bits, keys = [fingerprint_of(s).view(np.int64) for s in sets], [band_keys(s).view(np.int64) for s in sets]
+        return [pa.array([_node(s) for s in sets], pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
 
     return work
 
@@ -192,8 +192,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[pa.Table]
 
 
 def met_pairs(met: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a < b) of the nodes in ``met`` (key, node, size, root, bits) that share a key, are in different classes and
-    lie within the radius. Crowded keys are compared in blocks, each pair of blocks as a bucket of its own."""
+    """Pairs (a < b) of the nodes in ``met`` (key, node, size, root, bits, keys) that share a key, are in different classes
+    and lie within the radius. Of the ``keys`` that two nodes share only the first gives their pair. Crowded keys are
+    compared in blocks, each pair of blocks as a bucket of its own."""
     n_tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     crowded = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket)
     crowded = crowded.select("key", F.ceil(2 * F.col("n") / bucket).cast("int").alias("groups"))
@@ -201,16 +202,19 @@ def met_pairs(met: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFr
     other = F.explode(F.when(F.col("groups").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("groups") - 1)))
     dealt = met.join(crowded, "key", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
     place = F.when(F.col("groups").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select(place.alias("bucket"), "node", "root", "size", "bits").repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "size")
+    dealt = dealt.select(place.alias("bucket"), "key", "node", "root", "size", "bits", "keys").repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, LANES):
             node, root = table["node"].to_numpy(zero_copy_only=False), table["root"].to_numpy(zero_copy_only=False)
-            bits = np.stack([np.asarray(x) for x in table["bits"].to_numpy(zero_copy_only=False)]).view(np.uint64)
+            bits, keys = (np.stack([np.asarray(x) for x in table[c].to_numpy(zero_copy_only=False)]).view(np.uint64) for c in ("bits", "keys"))
+            own = table["key"].to_numpy().view(np.uint64)
             for a, b in bucket_pairs(table["bucket"].to_numpy(), root, table["size"].to_numpy(), bits, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.string()), pa.array(node[b], pa.string())], names=["x", "y"])
+                first = keys[a, (keys[a] == keys[b]).argmax(1)] == own[a]
+                a, b = a[first], b[first]
+                yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.binary()), pa.array(node[b], pa.binary())], names=["x", "y"])
 
-    pairs = reachable(dealt).mapInArrow(run, "x string, y string")
+    pairs = reachable(dealt).mapInArrow(run, "x binary, y binary")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
 
@@ -233,30 +237,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     of_a, of_b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
-    return reachable(both).mapInArrow(run, "a string, b string")
+    return reachable(both).mapInArrow(run, "a binary, b binary")
 
 
 def similar_links(met: DataFrame, sets: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """``node, root`` of what verified links connect, of the nodes that share a key in ``met`` (key, node, size).
 
-    ``sets`` has a row (node, bits, hashes) for each node of ``met``. Nodes are strings; an empty table gives no
-    rows; a null key is shared by nobody; rows that repeat count once.
+    ``sets`` has a row (node, bits, keys, hashes) for each node of ``met``. Nodes are 128 bits; an empty table gives
+    no rows; a null key is shared by nobody; rows that repeat count once.
     """
     links = None
-    met = materialize(met.filter("key IS NOT NULL").distinct().join(sets.select("node", "bits"), "node"), "met")
+    head = sets.select("node", F.slice("bits", 1, HEAD_BITS // 64).alias("head"))
+    met = materialize(met.filter("key IS NOT NULL").distinct().join(head, "node"), "met")
     placed = met.withColumn("root", F.col("node"))
     for turn in range(STARS + 1):
         if turn < STARS:
-            first = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "size", "bits")).alias("o"))
-            other = first.select("key", *(F.col(f"o.{c}").alias(f"other_{c}") for c in ("node", "root", "size", "bits")))
+            first = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "size", "head")).alias("o"))
+            other = first.select("key", *(F.col(f"o.{c}").alias(f"other_{c}") for c in ("node", "root", "size", "head")))
             small = F.least("size", "other_size") < SMALL
-            radius = F.when(small, radius_of(similarity, True)).otherwise(radius_of(similarity, False))
+            radius = F.when(small, radius_of(similarity, True, HEAD_BITS)).otherwise(radius_of(similarity, False, HEAD_BITS))
             apart = placed.join(other, "key").filter("root <> other_root").filter(F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
-            pairs = apart.filter(_apart("bits", "other_bits") <= radius).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+            pairs = apart.filter(_apart("head", "other_head") <= radius).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         else:
             # only keys whose nodes are in several classes have anything left to compare
             split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-            pairs = met_pairs(placed.join(split, "key", "left_semi"), similarity, bucket)
+            left = placed.join(split, "key", "left_semi").drop("head")
+            pairs = met_pairs(left.join(sets.select("node", "bits", "keys"), "node"), similarity, bucket)
         found = materialize(verified(pairs, sets, similarity), "similar")
         links = found if links is None else links.unionByName(found)
         reached = components(links)
@@ -278,19 +284,18 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     body, ident = F.col(quoted(text)).cast("string"), F.col(quoted(doc_id))
     named = F.coalesce(F.concat(F.lit("="), ident.cast("string")), F.lit("null"))
     marked = docs.withColumn(mark, F.md5(F.coalesce(body, F.lit("")))).withColumn(key, named)
-    found = materialize(map_texts(marked, text, [doc_id, mark, key], _sketches(shingle), "node string, size long, keys array<long>"), "sketches")
+    found = materialize(map_texts(marked, text, [doc_id, mark, key], _sketches(shingle), "node binary, size long, keys array<long>"), "sketches")
     found = found.toDF("id", "mark", "named", "node", "size", "keys")
 
     # a node's sketch and the row that speaks for it, found from what each task has of the node
     rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "named", "mark")
-    nodes = found.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(rank).alias("best"))
-    banded = materialize(nodes.select("node", "size", "best.named", "best.mark", F.explode("keys").alias("key")), "banded")
+    nodes = materialize(found.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(rank).alias("best")), "nodes")
+    banded = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = materialize(banded.join(materialize(shared, "shared"), "key"), "meetings")
-    discard(banded)
-    needed = met.select(F.col("named").alias(key), F.col("mark").alias(mark)).distinct()
+    needed = nodes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("best.named").alias(key), F.col("best.mark").alias(mark))
     spoken = marked.select(F.col(quoted(text)), key, mark).join(materialize(needed, "needed"), [key, mark], "left_semi").dropDuplicates([key, mark])
-    sets = materialize(map_texts(spoken, text, [], _sets(shingle), "node string, bits array<long>, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(map_texts(spoken, text, [], _sets(shingle), "node binary, bits array<long>, keys array<long>, hashes binary").dropDuplicates(["node"]), "sets")
     reached = similar_links(met.select("key", "node", "size"), sets, similarity, bucket)
 
     best = found.join(reached, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(rank).alias("best"))

@@ -160,9 +160,9 @@ def test_templates_make_no_rows_of_pairs(spark, bucket):
         rows.append((i, " ".join(common[:at] + own + common[at:]), "en", "a", 1))
     docs = frame(spark, rows).repartition(8)
     sets = [near_copies.shingles_of(r[1].encode(), 5) for r in rows]
-    schema = "key long, node string, size long, root string, bits array<long>"
+    schema = "key long, node binary, size long, root binary, bits array<long>, keys array<long>"
     nodes = [near_copies._node(x) for x in sets]
-    met = spark.createDataFrame([(1, n, len(x), n, near_copies.fingerprint_of(x).view(np.int64).tolist()) for n, x in zip(nodes, sets)], schema)
+    met = spark.createDataFrame([(1, bytearray(n), len(x), bytearray(n), near_copies.fingerprint_of(x).view(np.int64).tolist(), [1] * 32) for n, x in zip(nodes, sets)], schema)
     assert near_copies.met_pairs(met, 0.8, bucket).count() <= 2 * len(rows)
     assert near_copies.keep_one(docs, bucket=bucket).count() == 2000
 
