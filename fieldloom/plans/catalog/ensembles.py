@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import codes
 from fieldloom.operators import consistency as C
+from fieldloom.operators import eigen
 from fieldloom.operators import ensemble as E
 from fieldloom.operators.reduce import Cal
 from fieldloom.operators.reduce import history_reduce as reduce_tape
@@ -217,6 +218,24 @@ def ensemble_pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(C.pca_scores(z, C.pca_fit(z, 3)), "score")
 
 
+def ensemble_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components of the suppliers by orthogonal iteration: what they explain, and how exact they are."""
+    x = eigen.centred(_z(spark, sf_dir))
+    found = materialize(eigen.components(x, 12), "components")
+    row = eigen.checks(x, found)
+    rounded = [F.round(c, 6).alias(c) for c in ("total", "explained", "squares")]
+    exact = [(F.col(c) < 1e-6).alias(c.replace("worst", "small")) for c in ("worst_residual", "worst_product")]
+    return row.select("n_fields", "n_components", *rounded, *exact)
+
+
+COMPONENTS = f"""
+WITH {Z}, w AS (SELECT member FROM z GROUP BY member HAVING count(z) = (SELECT count(DISTINCT field) FROM z)),
+u AS (SELECT z.* FROM z JOIN w USING (member)),
+c AS (SELECT a.field AS f1, b.field AS f2, covar_samp(a.z, b.z) AS cov FROM u a JOIN u b USING (member) GROUP BY 1, 2)
+SELECT count(*) FILTER (f1 = f2) AS n_fields, count(*) FILTER (f1 = f2) AS n_components, round(sum(cov) FILTER (f1 = f2), 6) AS total,
+       round(sum(cov) FILTER (f1 = f2), 6) AS explained, round(sum(cov * cov), 6) AS squares, true AS small_residual, true AS small_product FROM c"""
+
+
 def _new_and_trusted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     new = F.col("member") < NEW_RUNS
     return df.filter(new), df.filter(~new)
@@ -357,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "ensemble_standardize": (ensemble_standardize, STANDARDIZE),
     "ensemble_covariance": (ensemble_covariance, COVARIANCE),
     "ensemble_pca_scores": (ensemble_pca_scores, None),
+    "ensemble_components": (ensemble_components, COMPONENTS),
     "ect_features": (ect_features, f"WITH {FEATURES} SELECT *, fail_runs >= 2 AS fails FROM features"),
     "ect_verdict": (ect_verdict, VERDICT),
     "pointwise_zscore_pass": (pointwise_zscore_pass, ZPF),
