@@ -142,21 +142,25 @@ def release_delta(tags: DataFrame) -> DataFrame:
     with its component's at the tag before by shifting a copy to the next tag
     and grouping on (component, tag_seq): near-unique keys, so no component's
     whole history meets in one task. ``change`` is added, changed or removed.
+    A component of several versions at a tag has them all, in order and joined by
+    commas; one whose version is null is there all the same.
     """
     following = tags.select("tag_seq").distinct().select("tag_seq", F.lead("tag_seq").over(Window.orderBy("tag_seq")).alias("_next"))
-    now = tags.select("component", "tag_seq", F.col("version").alias("version"), F.lit(None).cast("string").alias("previous"))
+    nothing = F.lit(None).cast("string")
+    now = tags.select("component", "tag_seq", F.col("version").cast("string").alias("version"), nothing.alias("previous"), F.lit(True).alias("_is"))
     before = tags.join(following.filter("_next IS NOT NULL"), "tag_seq").select(
-        "component", F.col("_next").alias("tag_seq"), F.lit(None).cast("string").alias("version"), F.col("version").alias("previous")
+        "component", F.col("_next").alias("tag_seq"), nothing.alias("version"), F.col("version").cast("string").alias("previous"), F.lit(False).alias("_is")
     )
+
+    def versions(name: str) -> Column:
+        found = F.collect_set(name)
+        return F.when(F.size(found) > 0, F.array_join(F.array_sort(found), ","))
+
     rows = now.unionByName(before).groupBy("component", "tag_seq").agg(
-        F.max("version").alias("version"), F.max("previous").alias("previous")
-    )
-    change = (
-        F.when(F.col("previous").isNull(), "added")
-        .when(F.col("version").isNull(), "removed")
-        .when(F.col("version") != F.col("previous"), "changed")
+        versions("version").alias("version"), versions("previous").alias("previous"), F.bool_or("_is").alias("_is"), F.bool_or(~F.col("_is")).alias("_was")
     )
-    return rows.withColumn("change", change).filter(F.col("change").isNotNull())
+    change = F.when(~F.col("_was"), "added").when(~F.col("_is"), "removed").when(~F.col("version").eqNullSafe(F.col("previous")), "changed")
+    return rows.withColumn("change", change).filter(F.col("change").isNotNull()).drop("_is", "_was")
 
 
 def latest_per_line(tags: DataFrame, tag: str = "tag", by: Sequence[str] = ()) -> DataFrame:

@@ -113,27 +113,29 @@ SELECT tag, count(*) AS n_results, count(*) FILTER (WHERE blocked) AS n_blocking
 
 
 def release_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months as tags, every fourth left out, and customer groups as components that are not part of every tag."""
+    """Months as tags, whose numbers jump from year to year, and customer groups as components: some are not part of every
+    tag, and some have several versions at one."""
     date = F.col("o_orderdate")
     tags = table(spark, sf_dir, "orders").groupBy(
-        (F.year(date) * 12 + F.month(date)).alias("tag_seq"),
+        (F.year(date) * 100 + F.month(date)).alias("tag_seq"),
         F.concat_ws("_", "o_orderpriority", F.col("o_custkey") % 50).alias("component"),
-    ).agg(F.max("o_orderstatus").alias("version"))
-    return K.release_delta(tags.filter("tag_seq % 4 <> 1"))
+    ).agg(F.max("o_orderstatus").alias("version"), F.min("o_orderstatus").alias("other"))
+    both = tags.select("tag_seq", "component", F.explode(F.array(F.nullif("version", F.lit("F")), F.when(F.col("tag_seq") % 5 == 0, F.nullif("other", F.lit("F"))))).alias("version"))
+    return K.release_delta(both)
 
 
 DELTA = """
-WITH t AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS tag_seq,
-             o_orderpriority || '_' || (o_custkey % 50) AS component, max(o_orderstatus) AS version FROM orders
-           WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 4 <> 1 GROUP BY 1, 2),
+WITH g AS (SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS tag_seq, o_orderpriority || '_' || (o_custkey % 50) AS component,
+             nullif(max(o_orderstatus), 'F') AS a, nullif(min(o_orderstatus), 'F') AS b FROM orders GROUP BY 1, 2),
+t AS (SELECT tag_seq, component, CASE WHEN tag_seq % 5 <> 0 OR b IS NULL OR a = b THEN a WHEN a IS NULL THEN b ELSE least(a, b) || ',' || greatest(a, b) END AS version FROM g),
 o AS (SELECT tag_seq, lead(tag_seq) OVER (ORDER BY tag_seq) AS later FROM (SELECT DISTINCT tag_seq FROM t)),
 p AS (SELECT later AS tag_seq, component, version FROM t JOIN o USING (tag_seq) WHERE later IS NOT NULL),
-j AS (SELECT coalesce(n.tag_seq, p.tag_seq) AS tag_seq, coalesce(n.component, p.component) AS component,
+j AS (SELECT coalesce(n.tag_seq, p.tag_seq) AS tag_seq, coalesce(n.component, p.component) AS component, n.component IS NOT NULL AS here, p.component IS NOT NULL AS there,
         n.version AS version, p.version AS previous
       FROM t n FULL JOIN p ON n.component = p.component AND n.tag_seq = p.tag_seq)
 SELECT component, tag_seq, version, previous,
-       CASE WHEN previous IS NULL THEN 'added' WHEN version IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM j WHERE version IS DISTINCT FROM previous"""
+       CASE WHEN NOT there THEN 'added' WHEN NOT here THEN 'removed' ELSE 'changed' END AS change
+FROM j WHERE NOT here OR NOT there OR version IS DISTINCT FROM previous"""
 
 
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:

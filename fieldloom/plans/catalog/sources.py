@@ -9,8 +9,8 @@ from fieldloom.operators.reduce import Hours, history_reduce
 from fieldloom.plans.catalog.adapters import EVENTS, TAPE, Query, events_history, sql_avg, table
 from fieldloom.session import scratch_path
 from fieldloom.sources.history import history_write
-from fieldloom.sources.records import flatten_records, parse_ragged
-from fieldloom.sources.runlog import runlog_success
+from fieldloom.sources.records import flatten_records, parse_ragged, parse_xml
+from fieldloom.sources.runlog import read_log, runlog_success
 from fieldloom.sources.settings import settings_rows
 
 
@@ -54,17 +54,52 @@ FROM embeddings"""
 
 
 def nested_structs_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as records with a list of turns, some of them empty or null, laid flat again."""
+    """Conversations as records with a list of turns, beside records whose list is empty or null, laid flat again."""
     turn = F.struct("turn", "role", F.length("text").alias("size"))
     records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    emptied = F.when(F.col("conv_id") % 10 == 3, F.array().cast(records.schema["turns"].dataType)).when(F.col("conv_id") % 10 != 7, F.col("turns"))
-    return flatten_records(records.withColumn("turns", emptied), ["turns"], position=True)
+    empty = F.when(F.col("conv_id") % 2 == 0, F.array().cast(records.schema["turns"].dataType)).alias("turns")
+    more = records.select((-1 - F.col("conv_id")).alias("conv_id"), empty)
+    return flatten_records(records.unionByName(more), ["turns"], position=True)
 
 
 NESTED_STRUCTS = """
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turns_pos, turn, role,
-       CAST(length(text) AS INTEGER) AS size FROM conversations WHERE conv_id % 10 NOT IN (3, 7)
-UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL FROM conversations WHERE conv_id % 10 IN (3, 7)"""
+       CAST(length(text) AS INTEGER) AS size FROM conversations
+UNION ALL SELECT DISTINCT -1 - conv_id, NULL, NULL, NULL, NULL FROM conversations"""
+
+
+def xml_records_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as XML records, with comments in them and some cut off, read and laid flat again.
+
+    A record that is broken keeps one row with the reason.
+    """
+    turn = F.concat(F.lit('<turn n="'), "turn", F.lit('" role="'), "role", F.lit('"> '), F.length("text"), F.lit(" </turn><!-- <turn n='9'>no</turn> -->"))
+    one = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("xml")))), lambda x: x["xml"]), "\n").alias("body"))
+    whole = F.concat(F.lit("<conversation>"), "body", F.when(F.col("conv_id") % 11 != 4, "</conversation>").otherwise(""))
+    records = one.select("conv_id", whole.alias("record"))
+    good, bad = parse_xml(records, "record", "turn array<struct<_VALUE: int, _n: bigint, _role: string>>")
+    flat = flatten_records(good, ["turn"]).select("conv_id", F.col("n").alias("turn"), "role", F.col("VALUE").alias("size"), F.lit(None).cast("string").alias("reject"))
+    return flat.unionByName(bad.drop("record"), allowMissingColumns=True)
+
+
+XML_RECORDS = """
+SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS size, NULL::VARCHAR AS reject FROM conversations WHERE conv_id % 11 <> 4
+UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, 'not well-formed' FROM conversations WHERE conv_id % 11 = 4"""
+
+
+def runlog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs written as files, one of each group of users, read with their line numbers; did they end with a purchase?"""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("run"), "event_id", F.concat_ws(" ", "event_type", "value").alias("value"))
+    path = scratch_path(spark, "logs")
+    events.repartition("run").sortWithinPartitions("run", "event_id").select("run", "value").write.partitionBy("run").text(path)
+    lines = read_log(spark, path).withColumn("run", F.regexp_extract("path", "/run=([0-9]+)/", 1).cast("long"))
+    return runlog_success(lines, "purchase", 3, by=["run"])
+
+
+RUNLOG_FILES = """
+WITH l AS (SELECT user_id % 12 AS run, row_number() OVER (PARTITION BY user_id % 12 ORDER BY event_id) AS n, event_type FROM events),
+r AS (SELECT run, max(n) AS last_line, max(n) FILTER (event_type = 'purchase') AS marker_line FROM l GROUP BY run)
+SELECT run, last_line, marker_line, coalesce(marker_line > last_line - 3, false) AS success FROM r"""
 
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
@@ -137,6 +172,8 @@ QUERIES: dict[str, Query] = {
     "settings_scan": (settings_scan, SETTINGS_SCAN),
     "nested_records_flatten": (nested_records_flatten, NESTED),
     "nested_structs_flatten": (nested_structs_flatten, NESTED_STRUCTS),
+    "xml_records_flatten": (xml_records_flatten, XML_RECORDS),
+    "runlog_files": (runlog_files, RUNLOG_FILES),
     "ragged_csv_scan": (ragged_csv_scan, RAGGED),
     "runlog_success": (runlog, RUNLOG),
     "history_write": (history_write_back, HISTORY_WRITE),

@@ -14,6 +14,38 @@ def read_records(spark: SparkSession, path: str, row_tag: str, schema: T.StructT
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
+def parse_xml(rows: DataFrame, col: str, schema: str, options: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """XML records in a text column -> (rows with the columns of ``schema``, rejected rows with a reason).
+
+    Comments are taken out first, so what they hold is not read. A record that is null or blank is ``empty``, one that
+    cannot be parsed is ``not well-formed``, and one whose values do not fit the types is ``not of the schema``.
+    """
+    rest = [c for c in rows.columns if c != col]
+    settings = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **(options or {})}
+    text = F.regexp_replace(F.col(col), r"(?s)<!--.*?-->", "")
+    # parsed twice: as text alone, and into the types; what only the second refuses has values of other types
+    loose = _as_text(T._parse_datatype_string(schema))
+    loose.add("_corrupt", T.StringType())
+    parsed = rows.withColumn("_text", text).withColumn("_loose", F.from_xml("_text", loose.json(), settings))
+    parsed = parsed.withColumn("_row", F.from_xml("_text", f"{schema}, _corrupt string", settings))
+    reason = (
+        F.when(F.coalesce(F.trim("_text"), F.lit("")) == "", "empty").when(F.col("_loose._corrupt").isNotNull(), "not well-formed").when(F.col("_row._corrupt").isNotNull(), "not of the schema")
+    )
+    parsed = parsed.withColumn("reject", reason)
+    names = [n for n in parsed.schema["_row"].dataType.names if n != "_corrupt"]
+    good = parsed.filter(F.col("reject").isNull()).select(*rest, *[F.col(f"_row.{n}").alias(n) for n in names])
+    return good, parsed.filter(F.col("reject").isNotNull()).select(*rest, col, "reject")
+
+
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with every value a string."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    return T.StringType()
+
+
 def flatten_records(df: DataFrame, arrays: Sequence[str], outer: bool = True, position: bool = False) -> DataFrame:
     """One row per record and child; struct children become columns.
 

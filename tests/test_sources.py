@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.sources import records, runlog
 from fieldloom.sources.history import HISTORY_SCHEMA, history_scan, history_write
 from fieldloom.sources.records import flatten_records, name_list, options_map, read_ragged, read_records
 from fieldloom.sources.runlog import runlog_success
@@ -142,3 +143,43 @@ def test_write_groups_samples_into_files(spark, tmp_path):
     assert sorted((r.field, r.file_id, r.n) for r in got) == [("a", 0, 2), ("a", 1, 2), ("a", 2, 1), ("b", 0, 1), ("b", 1, 2)]
     with pytest.raises(ValueError):
         history_write(tape, str(tmp_path / "u"), dtype="half")
+
+
+def test_lines_of_logs_larger_than_a_split(spark, tmp_path):
+    """Numbers run through all splits of a file; empty lines count."""
+    want = set()
+    for name, n in (("a", 4000), ("b", 1), ("c", 900)):
+        lines = [f"{name} line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(n)]
+        (tmp_path / f"{name}.log").write_text("\n".join(lines) + "\n")
+        want |= {(f"{name}.log", i + 1, x) for i, x in enumerate(lines)}
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = runlog.read_log(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        rows = [(r.path.rsplit("/", 1)[1], r.line_no, r.value) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_tail_of_a_log_with_gaps(spark):
+    lines = [("a", n * 100, "DONE" if n == 8 else "x") for n in range(10)] + [("b", n, "DONE" if n == 2 else "x") for n in range(10)] + [("c", 1, "x"), ("c", None, "DONE"), (None, 5, "DONE")]
+    df = spark.createDataFrame(lines, "path string, line_no long, value string")
+    got = {r.path: (r.last_line, r.marker_line, r.success) for r in runlog.runlog_success(df, "DONE", 3).collect()}
+    assert got == {"a": (900, 800, True), "b": (9, 2, False), "c": (1, None, False), None: (5, 5, True)}
+
+
+def test_broken_xml_records_keep_a_reason(spark):
+    texts = {
+        1: "<r><m name='x'>1</m><!-- <m name='no'>9</m> --><m name='y'>2</m></r>", 2: "<r><m name='x'>1</m>", 3: None, 4: "  <!-- nothing --> ", 5: "<r><m name='x'>one</m></r>",
+        6: "<r></r>", 7: "<r><m name='z'>3</m></r>", 8: "not xml",
+    }
+    df = spark.createDataFrame(list(texts.items()), "id int, record string")
+    good, bad = records.parse_xml(df, "record", "m array<struct<_VALUE: int, _name: string>>")
+    rows = {r.id: [(m["_name"], m["_VALUE"]) for m in r.m or []] for r in good.collect()}
+    assert rows == {1: [("x", 1), ("y", 2)], 6: [], 7: [("z", 3)]}
+    assert {r.id: (r.record, r.reject) for r in bad.collect()} == {2: (texts[2], "not well-formed"), 3: (None, "empty"), 4: (texts[4], "empty"), 5: (texts[5], "not of the schema"), 8: (texts[8], "not well-formed")}

@@ -410,3 +410,12 @@ def test_overlaps_of_a_group_with_all_the_rows(spark):
     last = sum(min(499_999, i + 66_666) - i for i in range(7, 500_000, 100_000))
     assert found.count() == (500_000 - 1 - 5) + last and long >= last
     assert found.filter("shared_lo >= shared_hi").isEmpty()
+
+
+def test_delta_of_conflicting_and_unknown_versions(spark):
+    rows = [(1, "atm", "1"), (1, "atm", "2"), (4, "atm", "2"), (9, "atm", None), (9, "ice", "5"), (1, "ocn", None), (4, "ocn", None), (9, "ocn", "3"), (4, "rof", "1"), (4, "rof", "1")]
+    got = {(r.component, r.tag_seq): (r.version, r.previous, r.change) for r in compare.release_delta(spark.createDataFrame(rows, "tag_seq int, component string, version string")).collect()}
+    assert got == {
+        ("atm", 1): ("1,2", None, "added"), ("atm", 4): ("2", "1,2", "changed"), ("atm", 9): (None, "2", "changed"), ("ice", 9): ("5", None, "added"),
+        ("ocn", 1): (None, None, "added"), ("ocn", 9): ("3", None, "changed"), ("rof", 4): ("1", None, "added"), ("rof", 9): (None, "1", "removed"),
+    }
