@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fieldloom.llm.text import reachable
+from fieldloom.llm.text import fresh, reachable
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: Strings that models treat as marks, whatever the template.
@@ -90,8 +90,10 @@ def canonical_turns(records: DataFrame, keep: list[str], record: str = "record",
     """``keep`` columns of each record, ``fingerprint``, ``place`` of the turn in the record, ``role`` and ``text``.
 
     Records that are null, no JSON objects, or of an unknown layout give one row with ``role`` and ``text``
-    null; a record with an empty list of turns gives none. Records that repeat give their turns each.
+    null; a record with an empty list of turns gives none. Records that repeat give their turns each. Where
+    ``keep`` has a column of one of these names, the made one's name begins with an underscore.
     """
+    made_names = [fresh(records.select(*keep), name) for name in ("fingerprint", "place", "role", "text")]
     by_print = {p: m for m in mappings for p in m.fingerprints()}
     empty_lists = {m.turns: m for m in mappings if m.turns}
 
@@ -112,10 +114,10 @@ def canonical_turns(records: DataFrame, keep: list[str], record: str = "record",
                         column.append(x)
             kept = batch.select(list(range(len(keep)))).take(pa.array(rows, pa.int64()))
             made = [pa.array(prints, pa.string()), pa.array(places, pa.int64()), pa.array(roles, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(kept.columns + made, names=[*keep, "fingerprint", "place", "role", "text"])
+            yield pa.RecordBatch.from_arrays(kept.columns + made, names=[*keep, *made_names])
 
-    given = records.select(*keep, F.col(record).cast("string").alias("record"))
-    more = records.sparkSession.createDataFrame([], "fingerprint string, place long, role string, text string").schema
+    given = records.select(*keep, F.col(record).cast("string").alias(fresh(records.select(*keep), "record")))
+    more = records.sparkSession.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in zip(made_names, ("string", "long", "string", "string")))).schema
     return reachable(given).mapInArrow(run, StructType([*(given.schema[c] for c in keep), *more.fields]))
 
 
@@ -129,14 +131,18 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "l" else m[1], role, flags=re.S)
+
+
 def format_turns(turns: DataFrame, order: list[str], group: str, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """``group``, ``order`` columns, and each turn's ``segment`` with its loss mask (``loss_start``, ``loss_length``).
 
     Turns without a role (records that no mapping fits) are left out here. The mask covers the text of
-    ``learn`` roles, in code points of the segment; elsewhere it is null. A role is one line: line breaks
-    in it become blanks.
+    ``learn`` roles, in code points of the segment; elsewhere it is null. A role is one line: a line break
+    in it is written as a backslash and an l, which nothing else is.
     """
-    role, text = escape(F.translate("role", "\n", " ")), escape(F.col("text"))
+    role, text = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\l")), escape(F.col("text"))
     head = F.concat(F.lit(BEGIN), role, F.lit("\n"))
     learned = F.col("role").isin(*learn)
     return turns.filter("role IS NOT NULL").select(
@@ -174,7 +180,7 @@ def read_back(segments: DataFrame, order: list[str], group: str) -> DataFrame:
                     state = [groups.slice(i, 1), 0, hashlib.sha256(), 0, hashlib.sha256(), 0, g]
                 role, _, text = segment[len(BEGIN) : -len(END) - 1].partition("\n")
                 state[1] += 1
-                state[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                state[2].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
                 if start is not None:
                     learned = unescape(segment[start : start + length])
                     state[3] += len(learned)
@@ -206,5 +212,5 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({marks} + length({escaped('role')}) + length({escaped('t')})) AS BIGINT) AS formatted_chars
+  CAST(sum({marks} + length({escaped('role')}) + length(role) - length(replace(role, chr(10), '')) + length({escaped('t')})) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""

@@ -155,6 +155,25 @@ def test_chat_of_awkward_rows(spark):
     assert chat.read_back(chat.format_turns(turns.filter("false"), ["turn"], "conv_id"), ["turn"], "conv_id").count() == 0
 
 
+def test_line_breaks_in_roles_come_back(spark):
+    rows = [(1, 0, 0, "us\ner", "hi\n"), (1, 1, 0, "a\\l", "x\\l\n"), (1, 2, 0, "<s>\n\n", ""), (1, 3, 0, "assistant", "yes\\")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, place long, role string, text string")
+    segments = chat.format_turns(turns, ["turn", "place"], "conv_id")
+    assert all(r.segment.count("\n") == 2 + r.segment.partition("\n")[2].count("\n") - 1 for r in segments.collect())
+    got = chat.read_back(segments, ["turn", "place"], "conv_id").first()
+    import hashlib
+
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in rows).encode()).hexdigest()
+
+
+def test_canonical_turns_beside_columns_of_their_names(spark):
+    records = spark.createDataFrame([(1, "p", "r", "t", '{"prompt": "a", "completion": "b"}')], "fingerprint long, place string, role string, Text string, record string")
+    got = chat.canonical_turns(records, ["fingerprint", "place", "role", "Text"])
+    assert got.columns == ["fingerprint", "place", "role", "Text", "_fingerprint", "_place", "_role", "_text"]
+    assert [(r.fingerprint, r._role, r._text) for r in got.collect()] == [(1, "user", "a"), (1, "assistant", "b")]
+    assert chat.canonical_turns(records, ["record"]).columns == ["record", "fingerprint", "place", "role", "text"]
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     """Each stage against plain Python on what its predecessor kept."""
     small = "/root/testdata/sf0.001"
