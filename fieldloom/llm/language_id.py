@@ -224,7 +224,9 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, modulus: int) ->
                 parts.append(t[at : at + WINDOW])
         return [pa.array(rows, pa.int64()), pa.array(parts, pa.binary())]
 
-    got = sorted({(r.lang, r.row_key, bytes(r.part)) for r in map_texts(chosen, "text", ["lang", "row_key"], cut, "part binary").collect()})
+    # distinct before it is gathered: a chosen document may have any number of copies
+    parts = map_texts(chosen, "text", ["lang", "row_key"], cut, "part binary").distinct()
+    got = sorted((r.lang, r.row_key, bytes(r.part)) for r in parts.collect())
     rows = np.concatenate([windows(part) for _, _, part in got]) if got else np.zeros((0, WINDOW), np.int16)
     return rows, np.array([names.index(name) for name, _, _ in got], int), names
 

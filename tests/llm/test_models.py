@@ -61,6 +61,37 @@ def test_network_slopes_are_those_of_the_loss():
             assert g[at] == pytest.approx((up - down) / 2e-3, abs=2e-4)
 
 
+def plain_states(net, direction, text):
+    """States after each byte, one unit and one byte at a time."""
+    import math
+
+    x, u = net.x[direction].tolist(), net.u[direction].tolist()
+    units = len(u[0])
+    h, found = [0.0] * units, {}
+    for t in range(len(text)) if direction == 0 else range(len(text) - 1, -1, -1):
+        fed = [x[k][text[t]] for k in range(3 * units)]
+        back = [sum(u[k][j] * h[j] for j in range(units)) for k in range(3 * units)]
+        z = [math.tanh(fed[k] + back[k]) for k in range(units)]
+        r = [math.tanh(fed[units + k] + back[units + k]) for k in range(units)]
+        new = [math.tanh(fed[2 * units + k] + 0.5 * (1 + r[k]) * back[2 * units + k]) for k in range(units)]
+        h = [0.5 * (1 + z[k]) * h[k] + 0.5 * (1 - z[k]) * new[k] for k in range(units)]
+        found[t] = h
+    return [found[t] for t in range(len(text))]
+
+
+def test_recurrence_one_byte_at_a_time():
+    import math
+
+    net = language_id.start(3, units=4, seed=5)
+    text = "Ça va — déjà vu, ok?".encode()
+    states = [a + b for a, b in zip(plain_states(net, 0, text), plain_states(net, 1, text))]
+    got = language_id.position_probabilities(net, language_id.windows(text)[0][:, None])[:, :, 0]
+    for t, h in enumerate(states):
+        scores = [sum(w * x for w, x in zip(row, h)) + b for row, b in zip(net.out.tolist(), net.bias[:, 0].tolist())]
+        total = sum(math.exp(s) for s in scores)
+        np.testing.assert_allclose(got[t], [math.exp(s) / total for s in scores], rtol=2e-4)
+
+
 def test_pooling_is_the_mean_over_all_positions_of_whole_texts():
     net = language_id.start(3)
     texts = [b"abc" * 100, b"", b"x", bytes(range(256)) * 3]
