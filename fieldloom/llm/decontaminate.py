@@ -2,7 +2,7 @@
 
 A seed is a mask over words: those under a 1 are hashed together, those under a 0 are ignored. With
 masks that leave out different places, a copy with one word in five replaced still has seeds in
-common with the benchmark. Hashes of all documents meet those of the benchmark; each hit gives an
+common with the benchmark (tested by trying every set of replacements). Hashes of all documents meet those of the benchmark; each hit gives an
 alignment (document, item, shift), and along it the words are compared: an overlap counts if some
 window of ``overlap`` words agrees in ``agree`` of them. Everything is DataFrame expressions.
 
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from fieldloom.llm.text import fresh, row_key
 from fieldloom.session import materialize
 
-#: Masks. Each leaves out another remainder of positions modulo 5.
+#: Masks. Each leaves out another remainder of positions modulo 5. With up to two words in ten replaced, items of
+#: ``OVERLAP`` words or more always have a seed under one of them.
 MASKS = ("111101", "1101101", "1011011")
+#: The mask of shorter items: of 6 to 12 words with so many replaced, three in a row always stay.
+SHORT_MASK, LEAST_WORDS = "111", 6
 #: Words of a window, and the share of them that must agree.
 OVERLAP, AGREE = 13, 0.8
 #: Rows of benchmark hashes in a block (about 40 bytes each).
@@ -44,11 +47,16 @@ def seeds(text: str, masks: tuple[str, ...] = MASKS) -> Column:
     return F.expr(f"transform(array({words(text)}), w -> named_struct('n', size(w), 'hashes', concat({', '.join(parts)})))[0]")
 
 
+def _begin(masks: tuple[str, ...], number: int) -> Column:
+    """Position in ``seeds`` of the first seed under a mask."""
+    return sum((F.greatest(F.col("n") - len(m) + 1, F.lit(0)) for m in masks[:number]), F.lit(0))
+
+
 def _place(masks: tuple[str, ...]) -> Column:
     """Word position of a seed, from its position in ``seeds`` and the number of words ``n``."""
-    place, at = F.col("pos"), F.lit(0)
-    for mask in masks[:-1]:
-        at = at + F.greatest(F.col("n") - len(mask) + 1, F.lit(0))
+    place = F.col("pos")
+    for number in range(1, len(masks)):
+        at = _begin(masks, number)
         place = F.when(F.col("pos") >= at, F.col("pos") - at).otherwise(place)
     return place
 
@@ -73,8 +81,8 @@ def contaminated(
 
     ``doc_id, item_id, doc_word`` and ``item_word`` (where the aligned words begin), ``n_words`` (aligned),
     ``n_equal``, ``best_window`` (most equal words in a window), ``row_key``. An item shorter than a window
-    is the window. Items of fewer words than the shortest mask are too short to tell and found nowhere; null
-    texts have no words. Items with the same text are searched once and reported each. Rows of ``docs`` that
+    is the window. Items of fewer than ``LEAST_WORDS`` words are too short to tell and found nowhere; null
+    texts have no words. A mask for short items is used if there are any. Items with the same text are searched once and reported each. Rows of ``docs`` that
     are equal in id and text give their pairs once.
     """
     key = fresh(docs, "row_key")
@@ -83,8 +91,14 @@ def contaminated(
     items = read.groupBy("item_text").agg(F.collect_set("item_id").alias("item_ids"), F.max(F.col("item_id").isNull()).alias("unnamed"))
     items = materialize(items.select(F.xxhash64("item_text").alias("item"), "item_text", F.expr(words("item_text")).alias("w"), "item_ids", "unnamed"), "items")
 
+    short = items.filter(F.size("w").between(LEAST_WORDS, overlap - 1))
+    if not short.isEmpty():
+        masks = (*masks, SHORT_MASK)
     place = _place(masks)
-    sought = materialize(_seeded(items, "item", "item_text", masks).select("item", "hash", place.alias("item_word")).distinct(), "sought")
+    of_items = _seeded(items.filter(F.size("w") >= LEAST_WORDS), "item", "item_text", masks)
+    if masks[-1] == SHORT_MASK:
+        of_items = of_items.filter((F.col("n") < overlap) | (F.col("pos") < _begin(masks, len(masks) - 1)))
+    sought = materialize(of_items.select("item", "hash", place.alias("item_word")).distinct(), "sought")
     blocks = max(1, -(-sought.count() // block_rows))
 
     hashed = _seeded(keyed, key, "text", masks)

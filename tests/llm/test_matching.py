@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections import Counter
 
 import numpy as np
@@ -270,10 +272,40 @@ def test_passages_of_awkward_rows(spark):
 def test_decontamination_query(spark, sf_dir, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"][0](spark, sf_dir).collect()}
-    assert got == overlaps([(i, t) for i, t in documents if i % 4 == 0], items) | {p for p in got if p[0] % 4}
+    # every document against every item is slow in plain Python: a quarter of them, and every pair that is found
+    assert {p for p in got if p[0] % 4 == 0} == overlaps([(i, t) for i, t in documents if i % 4 == 0], items)
+    texts, of_item = dict(documents), dict(items)
+    assert all(overlaps([(i, texts[i])], [(j, of_item[j])]) for i, j in got if i % 4)
     assert len(got) > 10
 
 
+def test_seeds_of_all_allowed_replacements():
+    """Whatever words of an item are replaced, as many as an overlap allows, some seed of it stays."""
+    for n in range(decontaminate.LEAST_WORDS, 21):
+        window = min(n, decontaminate.OVERLAP)
+        masks = decontaminate.MASKS if n >= decontaminate.OVERLAP else (*decontaminate.MASKS, decontaminate.SHORT_MASK)
+        replaced = window - int(np.ceil(window * decontaminate.AGREE))
+        for gone in itertools.combinations(range(window), replaced):
+            assert any(all(at + k not in gone for k, bit in enumerate(m) if bit == "1") for m in masks for at in range(window - len(m) + 1)), (n, gone)
+
+
+def test_short_items_with_replacements(spark):
+    rng = random.Random(7)
+    items, docs = [], []
+    for n in range(5, 16):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        window = min(n, decontaminate.OVERLAP)
+        for trial in range(6):
+            copy = list(words)
+            for k in rng.sample(range(window), window - int(np.ceil(window * decontaminate.AGREE)) + trial % 2):
+                copy[k] = f"other{trial}x{k}"
+            docs.append((n * 10 + trial, " ".join(["before"] * 9 + copy + ["after"] * 9)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, [(i, t, "en", "a", 1) for i, t in docs]), bench).collect()}
+    assert got == overlaps(docs, items) and len(got) >= 30
+
+
 def test_overlaps_with_words_replaced(spark):
     base = [f"w{i}" for i in range(30)]
     every_fifth = [x if i % 5 else "other" for i, x in enumerate(base)]
