@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import codes
-from fieldloom.operators import audits, rules, settings
+from fieldloom.operators import audits, cycles, rules, settings
 from fieldloom.plans.catalog.adapters import Query, table
 
 
@@ -168,6 +168,29 @@ walk(root, node, depth) AS (
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth, root = node AS is_cycle, node < 0 AS is_leaf, node < 0 AS missing FROM walk GROUP BY root, node"""
 
 
+def include_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that include each other by tens, and the tens below; every eighth ten includes no other, part 0 also itself."""
+    part = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    around = parts.select(part.alias("src"), F.when(part % 10 == 9, part - 9).otherwise(part + 1).alias("dst"))
+    down = parts.select(part.alias("src"), F.when((part % 10 == 3) & (F.floor(part / 10) % 8 > 0), part - 10).when(part == 0, part).alias("dst"))
+    members, between = cycles.condensed(around.unionByName(down).filter("dst IS NOT NULL"))
+    below = between.groupBy(F.col("root").alias("component")).agg(F.count(F.lit(1)).alias("n_below"))
+    return members.join(below, "component", "left").select("node", "component", "n_members", "is_cycle", F.coalesce("n_below", F.lit(0)).alias("n_below"))
+
+
+CYCLES = """
+WITH RECURSIVE e AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 9 ELSE p_partkey + 1 END AS dst FROM part
+  UNION SELECT p_partkey, p_partkey - 10 FROM part WHERE p_partkey % 10 = 3 AND (p_partkey // 10) % 8 > 0 UNION SELECT 0, 0),
+walk(root, node) AS (SELECT src, dst FROM e UNION SELECT root, dst FROM walk JOIN e ON src = node),
+own AS (SELECT a.root AS node, a.node AS other FROM walk a JOIN walk b ON a.root = b.node AND a.node = b.root),
+every AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+c AS (SELECT v.node, least(v.node, coalesce(min(other), v.node)) AS component, CASE WHEN count(other) = 0 THEN 1 ELSE count(other) END AS n_members, count(other) > 0 AS is_cycle
+  FROM every v LEFT JOIN own USING (node) GROUP BY v.node),
+r AS (SELECT x.component, count(DISTINCT y.component) AS n_below FROM walk JOIN c x ON x.node = walk.root JOIN c y ON y.node = walk.node WHERE x.component <> y.component GROUP BY x.component)
+SELECT node, component, CAST(n_members AS BIGINT) AS n_members, is_cycle, coalesce(n_below, 0) AS n_below FROM c LEFT JOIN r USING (component)"""
+
+
 def settings_of_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each part's settings come to with those it includes: set and appended, the deepest first."""
     part = F.col("p_partkey")
@@ -319,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "settings_merge": (settings_merge, MERGE),
     "settings_append": (settings_append, APPEND),
     "include_closure": (include_closure, CLOSURE),
+    "include_cycles": (include_cycles, CYCLES),
     "settings_of_includes": (settings_of_includes, OF_INCLUDES),
     "matrix_filter": (matrix_filter, MATRIX),
     "composite_key": (composite_key, COMPOSITE),

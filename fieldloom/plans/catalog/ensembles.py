@@ -242,8 +242,11 @@ def _new_and_trusted(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_gaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fields beside the measured ones that the ensemble has, and of the new runs the first alone."""
     new, trusted = _new_and_trusted(_settled_means(spark, sf_dir))
-    return new.filter(~(F.col("field").endswith("_N") & (F.col("member") > 0))), trusted
+    lone = F.concat("field", F.lit("_lone")).alias("field")
+    more = [df.filter(F.col("field").endswith("_N")).select("member", lone, "value") for df in (new.filter("member = 0"), trusted)]
+    return new.unionByName(more[0]), trusted.unionByName(more[1])
 
 
 def ect_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,11 +255,12 @@ def ect_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ect_features(new, C.limits_from(trusted, "field", "value"), "field", "value", m=0.5)
 
 
-FEATURES = f"""{MEANS}, lim AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM gm WHERE member >= 3 GROUP BY field),
+FEATURES = f"""{MEANS}, fm AS (SELECT member, field, value FROM gm UNION ALL SELECT member, field || '_lone', value FROM gm WHERE suffix(field, '_N') AND (member = 0 OR member >= 3)),
+lim AS (SELECT field, avg(value) AS mean, stddev_samp(value) AS std FROM fm WHERE member >= 3 GROUP BY field),
 features AS (
   SELECT field, CAST(sum(CASE WHEN abs(value - mean) > std * 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fail_runs,
          count(value) AS n_runs, count(std) > 0 AND count(value) >= 2 AS judged
-  FROM lim FULL JOIN (SELECT * FROM gm WHERE member < 3 AND NOT (field LIKE '%_N' AND member > 0)) USING (field) GROUP BY field)"""
+  FROM lim FULL JOIN (SELECT * FROM fm WHERE member < 3) USING (field) GROUP BY field)"""
 
 
 def ect_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
