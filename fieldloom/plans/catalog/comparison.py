@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import compare as K
+from fieldloom.operators.digests import differing_rows
 from fieldloom.plans.catalog.adapters import Query, table
 
 
@@ -53,6 +54,23 @@ WITH {TWO_RUNS.format(field=PRIORITY)}
 SELECT * REPLACE (round(rms, 6) AS rms, round(rms_left, 3) AS rms_left) FROM d"""
 
 
+def digest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which priorities differ between two runs that have two in common, and how many of their keys."""
+    a, b = _two_runs(spark, sf_dir, F.col("o_orderpriority"))
+    common = F.col("field").isin("4-NOT SPECIFIED", "5-LOW")
+    fields, rows = differing_rows(a, b.filter(~common).unionByName(a.filter(common)), ["field", "cell"], "value")
+    counts = rows.groupBy("field").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("only_left", "only_right", "different")))
+    shown = [F.coalesce(s, F.lit(0)).alias(s) for s in ("only_left", "only_right", "different")]
+    return fields.join(counts, "field", "left").select("field", (F.col("n_differing") == 0).alias("same"), "n_left", "n_right", *shown)
+
+
+DIGEST_DIFF = f"""
+WITH {TWO_RUNS.format(field=PRIORITY)}
+SELECT field, field IN ('4-NOT SPECIFIED', '5-LOW') AS same, CAST(sum(nl) AS BIGINT) AS n_left, CAST(sum(CASE WHEN field IN ('4-NOT SPECIFIED', '5-LOW') THEN nl ELSE nr END) AS BIGINT) AS n_right,
+       count(*) FILTER (WHERE nr = 0 AND field NOT IN ('4-NOT SPECIFIED', '5-LOW')) AS only_left, count(*) FILTER (WHERE nl = 0 AND field NOT IN ('4-NOT SPECIFIED', '5-LOW')) AS only_right,
+       count(*) FILTER (WHERE nl > 0 AND nr > 0 AND NOT same AND field NOT IN ('4-NOT SPECIFIED', '5-LOW')) AS different FROM k GROUP BY field"""
+
+
 def change_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two_runs(spark, sf_dir, F.concat(F.lit("F"), F.col("o_orderkey") % 1001))
     diff = K.dataset_diff(a, b, ["field", "cell"], "value")
@@ -166,6 +184,7 @@ UNION ALL SELECT DISTINCT p_type, NULL, NULL, NULL, 'draft-' || p_brand, 1, 'unk
 
 QUERIES: dict[str, Query] = {
     "dataset_diff": (dataset_diff, DATASET_DIFF),
+    "digest_diff": (digest_diff, DIGEST_DIFF),
     "change_class": (change_class, CHANGE_CLASS),
     "expected_fail_reconcile": (expected_fail_reconcile, RECONCILE),
     "release_gate": (release_gate, GATE),
