@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.rules import ANY
+from fieldloom.session import materialize
 
 #: Lengths of indexed pieces: the longer one where a literal is long enough.
 SHORT, LONG = 3, 6
@@ -56,8 +57,10 @@ def pattern_matches(codes: DataFrame, patterns: DataFrame) -> DataFrame:
     """``code, pattern`` of every code and expression that occurs in it; both tables have one column, without repeats.
 
     No row is collected and nothing is broadcast by force; the number of expressions without a literal is counted.
+    Expressions are written with their literals, which are read once. A code has dozens of pieces, which estimates from
+    the codes do not see, so the pieces are sorted and never broadcast, however few codes there seem to be.
     """
-    known = patterns.filter("pattern IS NOT NULL").select("pattern", literals(F.col("pattern")).alias("runs"))
+    known = materialize(patterns.filter("pattern IS NOT NULL").select("pattern", literals(F.col("pattern")).alias("runs")), "patterns")
     code = F.col("code")
     of_code = codes.filter("code IS NOT NULL").select("code", F.explode(F.array_distinct(F.concat(_pieces(code, SHORT), _pieces(code, LONG)))).alias("piece"))
     frequency = of_code.groupBy("piece").agg(F.count("*").alias("n"))
@@ -66,7 +69,7 @@ def pattern_matches(codes: DataFrame, patterns: DataFrame) -> DataFrame:
     # a piece that no code contains decides that the expression occurs nowhere
     rarest = of_rule.join(frequency, "piece", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
     entries = rarest.filter("rarest.n > 0").select("pattern", F.col("rarest.piece").alias("piece"))
-    met = of_code.join(entries, "piece").select("code", "pattern")
+    met = of_code.join(entries.hint("merge"), "piece").select("code", "pattern")
     found = met.filter(F.rlike("code", F.col("pattern")))
 
     unread = known.filter("runs IS NULL").select("pattern")

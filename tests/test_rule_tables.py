@@ -92,3 +92,13 @@ def test_fifty_thousand_rules(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = {i * 7919 % 100_003: i for i in range(50_000)}
     assert {r.id: r.value for r in out.collect()} == {i: (str(want[k]) if (k := i * 3 % 100_003) in want else None) for i in range(20_000)}
+
+
+def test_pieces_are_not_broadcast(spark):
+    """A code has dozens of pieces; however few the codes are, their pieces never go to the driver."""
+    codes = spark.range(300).select(F.concat(F.lit("https://www.example.org/"), F.sha2(F.col("id").cast("string"), 512)).alias("code")).distinct()
+    patterns = spark.range(300).select(F.concat(F.lit("/"), F.substring(F.sha2(F.col("id").cast("string"), 512), 1, 12), F.lit(".*[0-9]")).alias("pattern"))
+    out = R.pattern_matches(codes, patterns)
+    assert len(out.collect()) == 300
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert [line for line in plan.splitlines() if "SortMergeJoin [piece" in line and "Inner" in line]
