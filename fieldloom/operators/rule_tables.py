@@ -24,6 +24,8 @@ from fieldloom.session import materialize
 SHORT, LONG = 3, 6
 #: Expressions without a literal that are tried on a code at a time.
 BLOCK = 256
+#: Rows of keys that meet wildcard rules in one task, and nodes of a prefix tree that are few enough to be sent to all tasks.
+ROWS, FEW = 100_000, 20_000
 
 _BREAK = "\x00"
 # syntax that the reading below does not understand: flags and look-around, quoting and coded characters, nested classes
@@ -106,6 +108,23 @@ def _step(key: Column) -> Column:
     return F.concat(F.lit("="), F.length(key).cast("string"), F.lit(":"), key, F.lit(";"))
 
 
+def _hot(state: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The values of ``on`` that more than ``ROWS`` rows have, with the ``_parts`` to deal those into; one for ``ROWS`` rows at most."""
+    return materialize(state.groupBy(*on).agg(F.ceil(F.count("*") / ROWS).cast("int").alias("_parts")).filter("_parts > 1"), "hot")
+
+
+def _dealt(state: DataFrame, hot: DataFrame, on: Sequence[str], n_tasks: int) -> DataFrame:
+    """Rows with the part (``_salt``) of their value they are dealt into, spread over so many tasks."""
+    salt = F.pmod(F.xxhash64("_row"), F.coalesce("_parts", F.lit(1))).cast("int")
+    return state.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_parts").repartition(n_tasks, *on, "_salt")
+
+
+def _copied(right: DataFrame, hot: DataFrame, on: Sequence[str], n_tasks: int) -> DataFrame:
+    """The other side's rows once for each part, spread over the same tasks."""
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return right.join(F.broadcast(hot), list(on), "left").withColumn("_salt", parts).drop("_parts").repartition(n_tasks, *on, "_salt").hint("merge")
+
+
 def specific_table(
     df: DataFrame, rules: DataFrame, keys: Sequence[str], attrs: Sequence[str], code: str | None = None, pattern: str = "pattern", position: str = "rule_id"
 ) -> DataFrame:
@@ -113,7 +132,9 @@ def specific_table(
 
     ``rules`` has the columns ``keys`` (``any`` or null fits everything), ``pattern`` if ``code`` is given (``any`` or
     null fits too), ``position`` and ``attrs``. A rule is as specific as it has conditions; ties go to the higher
-    position. A null key in ``df`` fits ``any`` only. Rows that no rule fits have nulls.
+    position. A null key in ``df`` fits ``any`` only. Rows that no rule fits have nulls. Rows and nodes are counted: what
+    fits a row is sorted, so there are as many tasks as keep a task's share at ``ROWS`` rows of keys, and nodes that more
+    rows than that have come to are dealt over several.
     """
     named = {k: F.col(k).cast("string") for k in keys}
     whole = [F.coalesce(_step(named[k]), F.lit("-;")) for k in keys]
@@ -134,19 +155,40 @@ def specific_table(
     # of rules with equal conditions only the last can win
     best = rules.select(*paths, wanted.alias("pattern"), rank.alias("rank")).groupBy(*(f"_p{i}" for i in range(len(keys))), "pattern").agg(F.max("rank").alias("rank"))
 
-    state = rows.withColumn("node", F.lit(""))
+    n_tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    node = [f"_p{i}" for i in range(len(keys))]
+    # a rule's last node and expression; none is told from all others by the mark before them
+    wants = F.coalesce(F.concat(F.lit("="), "pattern"), F.lit("")).alias("want")
+    leaf = best.select(F.col(node[-1]).alias("node") if keys else F.lit("").alias("node"), wants, "rank")
+    n_nodes = best.agg(*(F.approx_count_distinct(p) for p in node), F.count("*")).first()
+    state, hot = rows.repartition(n_tasks, "_row").withColumn("node", F.lit("")), None
     for i in range(len(keys)):
         children = F.array(F.concat("node", F.lit("*;")), F.concat("node", f"_k{i}"))
-        nodes = best.select(F.col(f"_p{i}").alias("node")).distinct()
-        state = state.withColumn("node", F.explode(children)).join(nodes, "node", "left_semi")
-    leaf = best.select(F.col(f"_p{len(keys) - 1}").alias("node") if keys else F.lit("").alias("node"), "pattern", "rank")
-    plain = state.join(leaf.filter("pattern IS NULL").select("node", "rank"), "node").select("_row", "rank")
-    fitting = plain
-    if code is not None:
+        state = state.drop("_salt").withColumn("node", F.explode(children))
+        nodes, hot = best.select(F.col(node[i]).alias("node")).distinct(), None
+        if n_nodes[i] <= FEW:
+            state = state.join(F.broadcast(nodes), "node", "left_semi")
+        else:
+            # a node of conditions that most rows meet would have them all in one task
+            hot = _hot(state, ["node"])
+            state = _dealt(state, hot, ["node"], n_tasks).join(_copied(nodes, hot, ["node"], n_tasks), ["node", "_salt"], "left_semi")
+    if code is None:
+        state = state.withColumn("want", F.lit(""))
+    else:
         codes = rows.select("code").distinct()
-        matches = pattern_matches(codes, leaf.filter("pattern IS NOT NULL").select("pattern").distinct())
-        with_code = state.join(matches, "code").join(leaf.filter("pattern IS NOT NULL"), ["node", "pattern"])
-        fitting = plain.unionByName(with_code.select("_row", "rank"))
+        matches = pattern_matches(codes, best.select("pattern").filter("pattern IS NOT NULL").distinct())
+        # every code fits the rules without an expression
+        fits = codes.select("code", F.lit(None).cast("string").alias("pattern")).unionByName(matches)
+        state = state.join(fits.select(F.col("code").alias("_code"), wants), F.col("code").eqNullSafe(F.col("_code")))
+    if n_nodes[len(keys)] <= FEW:
+        fitting = state.join(F.broadcast(leaf), ["node", "want"])
+    elif hot is not None:
+        fitting = state.join(_copied(leaf, hot, ["node"], n_tasks), ["node", "_salt", "want"])
+    else:
+        hot = _hot(state, ["node", "want"])
+        fitting = _dealt(state, hot, ["node", "want"], n_tasks).join(_copied(leaf, hot, ["node", "want"], n_tasks), ["node", "want", "_salt"])
+    if hot is not None:
+        fitting = fitting.select("_row", "rank").repartition(n_tasks, "_row")
     chosen = fitting.groupBy("_row").agg(F.max("rank").alias("_rank"))
     joined = marked.join(chosen, "_row", "left")
     return joined.select(*df.columns, F.col("_rank.position").alias(position), *(F.col(f"_rank.attrs.{a}").alias(a) for a in attrs))

@@ -102,3 +102,19 @@ def test_pieces_are_not_broadcast(spark):
     assert len(out.collect()) == 300
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert [line for line in plan.splitlines() if "SortMergeJoin [piece" in line and "Inner" in line]
+
+
+def test_nodes_of_many_rows_are_dealt(spark, monkeypatch):
+    """Keys and conditions that most rows share are dealt over several tasks and give what they give in one."""
+    rules = [("any", "any", "any", 1, "all"), ("x", "any", "any", 2, "x"), ("any", "7", "any", 3, "seven"), ("any", "any", "^a", 4, "a"), ("y", "9", "b", 5, "y9b")]
+    rules += [("any", str(i), "any", 100 + i, f"own {i}") for i in range(1000, 1040)]
+    table = spark.createDataFrame(rules, "a string, b string, pattern string, rule_id long, label string")
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("a"), (F.col("id") % 1100).cast("string").alias("b"), F.when(F.col("id") % 2 == 0, "abc").alias("code"))
+    want = sorted(map(tuple, R.specific_table(df, table, ["a", "b"], ["label"], code="code").collect()))
+    monkeypatch.setattr(R, "ROWS", 50)
+    monkeypatch.setattr(R, "FEW", 3)
+    out = R.specific_table(df, table, ["a", "b"], ["label"], code="code")
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # as many tasks as there are rows of keys, whatever the number of partitions is set to
+    assert ", 60), REPARTITION_BY_NUM" in plan and "_salt" in plan
