@@ -37,9 +37,12 @@ def _window(name: str, stream: Stream) -> Column:
 
 
 def stream_states(samples: DataFrame, spec: dict[str, str], streams: Mapping[str, Stream], by: Sequence[str] = ("member", "cell"), digits: int | None = None) -> DataFrame:
-    """States by (stream, field, by, window) of some samples, in one aggregation over all streams."""
+    """States by (stream, field, by, window) of some samples, in one aggregation over all streams.
+
+    A micro-batch may be a file or two: its samples are dealt to all tasks before they are copied into the windows.
+    """
     windows = F.array(*(_window(name, s) for name, s in streams.items()))
-    each = select_fields(samples, spec).select("*", F.inline(windows))
+    each = select_fields(samples, spec).repartition("field", *by, "ts", "step").select("*", F.inline(windows))
     return each.groupBy("stream", "field", *by, "win", "win_number").agg(*state_columns(digits))
 
 

@@ -154,3 +154,11 @@ def test_steps_count_from_the_start(spark):
     whole = R.run_window(history.filter("member = 1").drop("member"), "2024-01-05", "nsteps", 2)
     assert sorted(r.step for r in whole.collect()) == [105, 106]
     assert R.run_window(history, "2030-01-01", "nsteps", 5).count() == 0
+
+
+def test_a_batch_of_one_file_is_dealt_to_all_tasks(spark, tmp_path):
+    """Samples are shuffled before they are copied into the windows, so that one file is not one task's work."""
+    samples(spark).coalesce(1).write.parquet(str(tmp_path / "one"))
+    states = T.stream_states(spark.read.parquet(str(tmp_path / "one")), SPEC, STREAMS, digits=2)
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan[plan.index("Generate") :]
