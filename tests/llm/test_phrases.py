@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -129,3 +130,21 @@ def test_numbers_of_words():
         numbers = w.numbers()[:, lane].tolist()
         assert numbers == back.numbers()[:, lane].tolist()[::-1] and len({*numbers, *other.numbers()[:, lane].tolist()}) == 2 * len(words)
     assert (w.numbers(1)[:, 0] == w.numbers()[:, 0]).all()
+
+
+def test_memory_of_numbers():
+    """The letters of a part are not worked on all at once: numbers take a few times their own size and the part's."""
+    raw = b" ".join(b"word%d" % (i % 5000) for i in range(400_000))
+    words = phrases.Words(raw, "en")
+    tracemalloc.start()
+    numbers = words.numbers()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20 and len({tuple(x) for x in numbers[:5000].tolist()}) == 5000 and (numbers[:5000] == numbers[-5000:]).all()
+
+
+def test_counts_are_handed_on_in_parts():
+    found = {b"%d" % i: i for i in range(2 * phrases.HANDED + 5)}
+    parts = list(phrases._handed(found))
+    assert [len(p) for p, _ in parts] == [phrases.HANDED, phrases.HANDED, 5]
+    assert {p: n for ps, ns in parts for p, n in zip(ps, ns)} == found
