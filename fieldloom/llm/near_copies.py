@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.components import components
 from fieldloom.llm.simhash import from_lanes, to_lanes
 from fieldloom.llm.text import fresh, map_texts, quoted, reachable, words_of
-from fieldloom.session import discard, materialize
+from fieldloom.session import discard, materialize, settle
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -265,9 +265,12 @@ def similar_links(met: DataFrame, sets: DataFrame, similarity: float, bucket: in
             pairs = met_pairs(left.join(sets.select("node", "bits", "keys"), "node"), similarity, bucket)
         found = materialize(verified(pairs, sets, similarity), "similar")
         links = found if links is None else links.unionByName(found)
+        if turn:
+            discard(placed)
         reached = components(links)
         if turn < STARS:
             placed = materialize(met.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        settle(met.sparkSession)
     discard(met)
     return reached
 
@@ -294,9 +297,14 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = materialize(banded.join(materialize(shared, "shared"), "key"), "meetings")
     needed = nodes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("best.named").alias(key), F.col("best.mark").alias(mark))
-    spoken = marked.select(F.col(quoted(text)), key, mark).join(materialize(needed, "needed"), [key, mark], "left_semi").dropDuplicates([key, mark])
+    needed = materialize(needed, "needed")
+    discard(nodes)
+    spoken = marked.select(F.col(quoted(text)), key, mark).join(needed, [key, mark], "left_semi").dropDuplicates([key, mark])
     sets = materialize(map_texts(spoken, text, [], _sets(shingle), "node binary, bits array<long>, keys array<long>, hashes binary").dropDuplicates(["node"]), "sets")
+    settle(docs.sparkSession)
     reached = similar_links(met.select("key", "node", "size"), sets, similarity, bucket)
+    discard(met)
+    discard(sets)
 
     best = found.join(reached, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(rank).alias("best"))
     wanted = materialize(best.select(F.col("best.named").alias(key), F.col("best.mark").alias(mark)), "kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,3 +70,12 @@ def discard(df: DataFrame) -> None:
         if own in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of what has ended.
+
+    It does so once the driver's collectors have found their plans, which may be long after the last use where the driver has little to do.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import itertools
 import random
 from collections import Counter
@@ -14,6 +15,7 @@ from cases import awkward_rows, classes, fingerprint, frame, kept_by_jaccard, lo
 import corpus_pipeline
 from fieldloom.llm import components, decontaminate, line_dedup, near_copies, secrets, simhash
 from fieldloom.llm.queries import QUERIES
+from fieldloom.session import scratch_path
 from oracle import compare, connect
 
 
@@ -386,3 +388,13 @@ def test_trigram_queries():
     assert secrets.trigram_query("(abc|xyz)[^q]*(def)?") == [["abc"], ["xyz"]]
     assert secrets.trigram_query("a[bc]d") == [["abd"], ["acd"]]
     assert secrets.trigram_query("(?:foo)+bar") == [["bar", "foo"]]
+
+
+def test_near_copies_leave_little_behind(spark):
+    """Of what the search for near copies writes, sets, sketches of nodes and places go as soon as nothing reads them."""
+    rows = [(i, " ".join(f"w{(i // 2) * 50 + k}" for k in range(40)) + (" more" if i % 2 else ""), "en", "a", 1) for i in range(40)]
+    folder = pathlib.Path(scratch_path(spark, "x")).parent
+    before = set(folder.glob("*"))
+    assert near_copies.keep_one(frame(spark, rows)).count() == 20
+    left = {p.name.split("-")[0] for p in set(folder.glob("*")) - before}
+    assert "kept" in left and not left & {"sets", "nodes", "meetings", "met", "placed"}
