@@ -19,12 +19,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
+from fieldloom.llm.phrases import bitmap
 from fieldloom.llm.simhash import from_lanes, to_lanes
 from fieldloom.llm.text import fresh, map_texts, quoted, reachable, words_of
 from fieldloom.session import discard, materialize, settle
@@ -218,6 +220,20 @@ def met_pairs(met: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFr
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
 
+def likely(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` (strings) are not in ``wanted``, found without a shuffle.
+
+    A bitmap of bounded size tells them apart. It loses no row that is wanted; a join drops the others that stay.
+    """
+    known = bitmap(wanted.select(F.xxhash64(*columns).alias("number")))
+
+    @F.pandas_udf("boolean")
+    def has(number: pd.Series) -> pd.Series:
+        return pd.Series(known.value.has(number.to_numpy().view(np.uint64)))
+
+    return reachable(rows).filter(has(F.xxhash64(*columns)))
+
+
 def _apart(a: str, b: str) -> Column:
     """Differing bits of two fingerprints."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -263,7 +279,11 @@ def similar_links(met: DataFrame, sets: DataFrame, similarity: float, bucket: in
             split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
             left = placed.join(split, "key", "left_semi").drop("head")
             pairs = met_pairs(left.join(sets.select("node", "bits", "keys"), "node"), similarity, bucket)
+        pairs = materialize(pairs, "pairs")
+        settle(met.sparkSession)
         found = materialize(verified(pairs, sets, similarity), "similar")
+        discard(pairs)
+        settle(met.sparkSession)
         links = found if links is None else links.unionByName(found)
         if turn:
             discard(placed)
@@ -299,8 +319,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     needed = nodes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("best.named").alias(key), F.col("best.mark").alias(mark))
     needed = materialize(needed, "needed")
     discard(nodes)
-    spoken = marked.select(F.col(quoted(text)), key, mark).join(needed, [key, mark], "left_semi").dropDuplicates([key, mark])
-    sets = materialize(map_texts(spoken, text, [], _sets(shingle), "node binary, bits array<long>, keys array<long>, hashes binary").dropDuplicates(["node"]), "sets")
+    settle(docs.sparkSession)
+    # only texts that are likely needed are shuffled; the rows of one id and text are of one node
+    asked = likely(marked.select(F.col(quoted(text)), key, mark), needed, [key, mark])
+    spoken = asked.join(needed, [key, mark], "left_semi").dropDuplicates([key, mark])
+    sets = materialize(map_texts(spoken, text, [], _sets(shingle), "node binary, bits array<long>, keys array<long>, hashes binary"), "sets")
     settle(docs.sparkSession)
     reached = similar_links(met.select("key", "node", "size"), sets, similarity, bucket)
     discard(met)
@@ -308,4 +331,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
 
     best = found.join(reached, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(rank).alias("best"))
     wanted = materialize(best.select(F.col("best.named").alias(key), F.col("best.mark").alias(mark)), "kept")
+    discard(found)
+    settle(docs.sparkSession)
     return marked.join(wanted, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*(F.col(quoted(c)) for c in docs.columns))

@@ -398,3 +398,24 @@ def test_near_copies_leave_little_behind(spark):
     assert near_copies.keep_one(frame(spark, rows)).count() == 20
     left = {p.name.split("-")[0] for p in set(folder.glob("*")) - before}
     assert "kept" in left and not left & {"sets", "nodes", "meetings", "met", "placed"}
+
+
+def test_kept_rows_are_found_without_sketches(spark):
+    """When the rows that stay are known, the sketches of all texts are removed too."""
+    folder = pathlib.Path(scratch_path(spark, "x")).parent
+    before = set(folder.glob("*"))
+    kept = near_copies.keep_one(frame(spark, [(i, f"a b c d e f {i // 2}", "en", "a", 1) for i in range(20)] * 2))
+    left = {p.name.split("-")[0] for p in set(folder.glob("*")) - before}
+    assert "kept" in left and not left & {"sketches", "pairs"}
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 20, 2))
+
+
+def test_texts_that_nobody_asks_for_are_not_shuffled(spark):
+    """Of 3000 rows the 30 that are asked for stay, with a few others at most, whatever nulls and repeats there are."""
+    rows = spark.createDataFrame([(f"={i % 1500}" if i % 7 else "null", f"m{i % 1500}") for i in range(3000)], "k string, m string")
+    wanted = rows.filter("k = 'null' AND m < 'm11' OR k IN ('=1', '=2', '=3')").distinct()
+    left = near_copies.likely(rows, wanted, ["k", "m"])
+    assert left.join(wanted, ["k", "m"], "left_semi").exceptAll(rows.join(wanted, ["k", "m"], "left_semi")).count() == 0
+    assert rows.join(wanted, ["k", "m"], "left_semi").count() <= left.count() < rows.join(wanted, ["k", "m"], "left_semi").count() + 30
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+    assert near_copies.likely(rows, wanted.limit(0), ["k", "m"]).count() == 0
