@@ -6,8 +6,10 @@ import re
 import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from cases import awkward_rows, frame, rows_of
+from pyspark.sql import functions as F
 
 from fieldloom.llm import phrases
 from fieldloom.llm.queries import QUERIES
@@ -148,3 +150,43 @@ def test_counts_are_handed_on_in_parts():
     parts = list(phrases._handed(found))
     assert [len(p) for p, _ in parts] == [phrases.HANDED, phrases.HANDED, 5]
     assert {p: n for ps, ns in parts for p, n in zip(ps, ns)} == found
+
+
+def test_tasks_hand_on_words_and_numbers_only(spark, monkeypatch):
+    """No task spells the phrases it has found, which are more in each task the larger the corpus: frequent ones are spelled by joins."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(60)), "en", "a", 0) for i in range(160)]
+    docs = frame(spark, rows).repartition(16)
+    made, plain = [], type(docs).mapInArrow
+
+    def noted(self, func, schema, *rest, **named):
+        made.append(schema)
+        return plain(self, func, schema, *rest, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    assert rows_of(phrases.collocations(docs), *COLUMNS) == listed([(r[2], r[1]) for r in rows])
+    assert [x for x in made if "phrase" in x] == ["lang string, phrase string, number long, n long"]
+
+
+def test_tallies_of_phrases_that_share_a_number():
+    """Where two phrases have one number their words count them apart."""
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 9, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64)
+    want = Counter(zip(a.tolist(), b.tolist()))
+    for numbers in (a * np.uint64(16) + b, a, np.zeros(500, np.uint64)):
+        (x, y), n = phrases.tallied(numbers, [a, b])
+        assert dict(zip(zip(x.tolist(), y.tolist()), n.tolist())) == want and len(n) == len(want)
+    assert len(phrases.tallied(a[:0], [a[:0], b[:0]])[1]) == 0
+
+
+def test_words_that_share_a_number_get_others(spark, monkeypatch):
+    """Where all words have one number at first, the next seed tells them apart."""
+    plain = phrases.word_counts
+
+    def clashing(texts, seed=0):
+        return plain(texts, seed) if seed else plain(texts).withColumn("number", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(phrases, "word_counts", clashing)
+    rows = [(i, "one two three. two one", "en", "a", 0) for i in range(12)]
+    words, seed = phrases.numbered_words(frame(spark, rows).select("lang", "text"))
+    assert seed == 1 and {(r.phrase, r.n) for r in words.collect()} == {("one", 24), ("two", 24), ("three", 12)}
+    assert rows_of(phrases.collocations(frame(spark, rows)), *COLUMNS) == listed([(r[2], r[1]) for r in rows])
